@@ -30,9 +30,9 @@ def _nodes(spark: SparkSession, shards: int, virtual: int) -> DataFrame:
 def _owners(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """cell, node: the first node at or after each cell, clockwise."""
     first = nodes.groupBy("cell").agg(F.min("node").alias("node"))
-    after = Window.orderBy("cell").rowsBetween(0, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     cells = spark.range(CELLS).select(F.col("id").alias("cell")).join(first, "cell", "left")
-    return cells.select("cell", F.coalesce(F.first("node", ignorenulls=True).over(after), F.lit(0)).alias("node"))
+    return cells.select("cell", F.coalesce(F.last("node", ignorenulls=True).over(after), F.lit(0)).alias("node"))
 
 
 def assign(keys: DataFrame, shards: int, virtual: int = VIRTUAL) -> DataFrame:
