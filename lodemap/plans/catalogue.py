@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import change, code, registry, stores, system, text  # noqa: F401  (they register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLES)
