@@ -1 +1,134 @@
-"""Queries."""
+"""Queries over texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import similarity as S
+from ..sources import markdown, source_code
+from .registry import Source, query
+
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)"
+
+
+@query(f"""WITH t AS (SELECT unnest({WORDS}) AS word FROM benchmark), p AS (SELECT list_zip(w[:-2], w[2:]) AS z FROM (SELECT {WORDS} AS w FROM benchmark) q WHERE len(w) > 1),
+    u AS (SELECT z1[1] AS a, z1[2] AS b FROM (SELECT unnest(z) AS z1 FROM p) q),
+    c AS (SELECT word FROM t WHERE length(word) >= 3 AND word NOT IN ({STOP}) UNION ALL SELECT concat(a, ' ', b) FROM u WHERE a NOT IN ({STOP}) AND b NOT IN ({STOP}))
+    SELECT word, count(*) AS n FROM c GROUP BY word ORDER BY n DESC, word LIMIT 20""")
+def keyword_tf(s: Source):
+    per = S.keywords(s("benchmark"), "item_id", "text")
+    return per.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(20)
+
+
+_SETS = "s AS (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))) AS t FROM conversations), k AS (SELECT t, min(id) AS id FROM s WHERE len(t) > 0 GROUP BY t)"
+
+
+@query(f"""WITH {_SETS} SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS similarity
+    FROM k a JOIN k b ON a.id < b.id AND len(list_intersect(a.t, b.t)) >= 0.15 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
+def jaccard_pairs(s: Source):
+    sets = s("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.word_set(F.col("text")).alias("t"))
+    return S.similar_pairs(sets, "id", "t", 0.15)
+
+
+@query(f"WITH {_SETS}, m AS (SELECT s.id, min(o.id) OVER (PARTITION BY s.t) AS class_id FROM s JOIN s o ON o.id = s.id) SELECT id, class_id FROM m")
+def jaccard_classes(s: Source):
+    sets = s("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.word_set(F.col("text")).alias("t"))
+    return S.class_members(sets, "id", "t")
+
+
+_COLOURS = {"colour": ["red", "blue", "green"], "database": ["ring", "bolt", "widget"]}
+
+
+@query("""WITH m AS (SELECT id, grp, tech FROM requirements, (VALUES ('colour', 'red'), ('colour', 'blue'), ('colour', 'green'), ('database', 'ring'), ('database', 'bolt'), ('database', 'widget')) v(grp, tech)
+    WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || tech || '($|[^a-z0-9])')), f AS (SELECT grp, tech, min(id) AS id, count(*) AS n FROM m GROUP BY grp, tech)
+    SELECT x.grp, x.tech AS tech_a, y.tech AS tech_b, x.id AS a, y.id AS b, x.n AS rows_a, y.n AS rows_b, CASE WHEN x.grp = 'database' THEN 'blocker' ELSE 'warning' END AS severity
+    FROM f x JOIN f y ON x.grp = y.grp AND x.tech < y.tech""")
+def conflict_groups(s: Source):
+    return S.tech_conflicts(S.tech_mentions(s("requirements"), "id", "text", _COLOURS), "id")
+
+
+@query("""WITH sig(capability, signal) AS (VALUES ('fasteners', 'bolt'), ('fasteners', 'ring'), ('gadgets', 'widget'), ('gadgets', 'ring'), ('paint', 'red'), ('paint', 'blue'), ('paint', 'small')),
+    u AS (SELECT signal, count(DISTINCT capability) AS used FROM sig GROUP BY signal), t AS (SELECT capability, count(*) AS total FROM sig GROUP BY capability),
+    h AS (SELECT DISTINCT p_brand AS module, signal FROM part JOIN u ON contains(p_name, signal)),
+    g AS (SELECT module, capability, least(sum(CASE used WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END) / max(total), 1.0) * 4 AS points
+      FROM h JOIN sig USING (signal) JOIN u USING (signal) JOIN t USING (capability) GROUP BY module, capability)
+    SELECT module, capability, floor(points / 4.0 * 100 + 0.5) / 100 AS confidence FROM g WHERE floor(points / 4.0 * 100 + 0.5) / 100 >= 0.1""")
+def capability_scores(s: Source):
+    rows = [("fasteners", "bolt"), ("fasteners", "ring"), ("gadgets", "widget"), ("gadgets", "ring"), ("paint", "red"), ("paint", "blue"), ("paint", "small")]
+    signals = s.rows([(c, "content", x) for c, x in rows], "capability string, kind string, signal string")
+    words = signals.select("kind", "signal").distinct()
+    hits = s("part").join(F.broadcast(words), F.col("p_name").contains(F.col("signal"))).select(F.col("p_brand").alias("module"), "kind", "signal").distinct()
+    return S.capability_scores(signals, hits.withColumn("n", F.lit(1)))
+
+
+@query("""SELECT count(*) AS total, count(CASE WHEN regexp_matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$') THEN 1 END) AS camel, count(CASE WHEN regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 1 END) AS snake,
+    count(CASE WHEN regexp_matches(name, '^([A-Z][a-z0-9]*)+$') THEN 1 END) AS pascal, CASE WHEN count(CASE WHEN regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 1 END) > 0.6 * count(*) THEN 'snake_case' ELSE 'mixed' END AS style
+    FROM symbols WHERE exported AND kind NOT IN ('class', 'interface', 'type', 'enum')""")
+def naming_conventions(s: Source):
+    return S.naming_conventions(s("symbols"))
+
+
+_COUNT = " + ".join(f"len(regexp_extract_all(text, '{b}'))" for b in T.BRANCHES)
+
+
+@query(f"SELECT doc_id, 1 + {_COUNT} AS complexity, len(string_split(text, chr(10))) AS loc, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def text_complexity(s: Source):
+    t = F.col("text")
+    return s("documents").select("doc_id", T.complexity(t).alias("complexity"), T.loc(t).alias("loc"), T.token_estimate(t).alias("tokens"))
+
+
+@query("""SELECT page_id, count(*) AS urls, count(DISTINCT u) AS distinct_urls FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=[^ >]+')) AS u FROM pages) x GROUP BY page_id""")
+def detect_urls(s: Source):
+    found = s("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?:href|src)=[^ >]+"), F.lit(0))).alias("u"))
+    return found.groupBy("page_id").agg(F.count("*").alias("urls"), F.countDistinct("u").alias("distinct_urls"))
+
+
+@query("SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(concat(p_name, '!! ', p_brand)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, substr(sha256(p_name), 1, 16) AS hash FROM part")
+def slugs(s: Source):
+    return s("part").select(F.col("p_partkey").alias("id"), T.slug(F.concat("p_name", F.lit("!! "), "p_brand")).alias("slug"), T.content_hash(F.col("p_name")).alias("hash"))
+
+
+_SOURCE = "concat('import { a', CAST(p_partkey AS STRING), ' } from ''./m', CAST(p_partkey % 7 AS STRING), ''';\n', 'export function f', CAST(p_partkey AS STRING), '(x, y) {\n  return x;\n}\nconst v', CAST(p_partkey AS STRING), ' = 1;\nexport class C', CAST(p_partkey AS STRING), ' extends Base {}\n')"
+
+
+@query("""SELECT concat('p', p_partkey) AS path, 'function' AS kind, concat('f', p_partkey) AS name, 2 AS line, true AS exported FROM part
+    UNION ALL SELECT concat('p', p_partkey), 'const', concat('v', p_partkey), 5, false FROM part UNION ALL SELECT concat('p', p_partkey), 'class', concat('C', p_partkey), 6, true FROM part""")
+def extract_symbols(s: Source):
+    src = s("part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.expr(_SOURCE).alias("text"), F.lit("javascript").alias("language"))
+    return source_code.symbols(src).select("path", "kind", "name", "line", "exported")
+
+
+@query("SELECT concat('p', p_partkey) AS path, concat('./m', p_partkey % 7) AS target, 'named' AS import_type, 1 AS line FROM part")
+def extract_imports(s: Source):
+    src = s("part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.expr(_SOURCE).alias("text"), F.lit("javascript").alias("language"))
+    return source_code.imports(src).select("path", "target", "import_type", "line")
+
+
+@query("SELECT concat('p', p_partkey) AS path, concat('C', p_partkey) AS child, 'extends' AS relation, 'Base' AS parent FROM part")
+def extract_hierarchy(s: Source):
+    src = s("part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.expr(_SOURCE).alias("text"), F.lit("javascript").alias("language"))
+    return source_code.hierarchy(src)
+
+
+_REQ = "concat('## ', p_brand, '\n- [ ] **REQ-', CAST(p_partkey AS STRING), '**: ', p_name, '\n  depends_on: [REQ-', CAST(p_partkey % 10 AS STRING), ', AUTH-1]\n- [x] **AUTH-', CAST(p_partkey AS STRING), '**: second\n')"
+
+
+@query("""SELECT p_partkey AS doc, concat('REQ-', p_partkey) AS id, p_brand AS category, p_name AS text, concat('REQ-', p_partkey % 10, ',AUTH-1') AS depends_on, 2 AS line FROM part
+    UNION ALL SELECT p_partkey, concat('AUTH-', p_partkey), p_brand, 'second', '', 4 FROM part""")
+def parse_requirements(s: Source):
+    src = s("part").select(F.col("p_partkey").alias("doc"), F.expr(_REQ).alias("text"))
+    return markdown.requirements(src, "doc").withColumn("depends_on", F.array_join("depends_on", ","))
+
+
+@query("""SELECT p_partkey AS doc, p_name AS term, p_brand AS definition FROM part""")
+def parse_glossary(s: Source):
+    body = "concat('# Terms\n\n| Term | Definition |\n|---|---|\n| ', p_name, ' | ', p_brand, ' |\n| lone |\n')"
+    return markdown.glossary(s("part").select(F.col("p_partkey").alias("doc"), F.expr(body).alias("text")), "doc").select("doc", "term", "definition")
+
+
+@query("""SELECT p_partkey AS doc, 'api' AS type, p_brand AS provider, p_type AS consumer, concat('/v1/', p_partkey) AS endpoint FROM part""")
+def parse_contracts(s: Source):
+    body = "concat('## ', p_brand, ' -> ', p_type, '\n### api\n- **Endpoint**: /v1/', CAST(p_partkey AS STRING), '\n- **Response**: { id: string, n: number }\n')"
+    return markdown.contracts(s("part").select(F.col("p_partkey").alias("doc"), F.expr(body).alias("text")), "doc").select("doc", "type", "provider", "consumer", "endpoint")
