@@ -93,8 +93,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Trims nodes without edges on one side, then colours what is left: the largest label is pushed forward to a fixed
     point, and from each colour's own node the colour is walked backward; whoever is met makes up one component.
     """
-    from pyspark.sql import types as T
-
     edges = staged(distinct_edges(edges), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     live = staged(edges.where("src <> dst"), "live")
@@ -135,7 +133,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
     found = done[0] if done else nodes.select("node", F.col("node").alias("component")).limit(0)
     for d in done[1:]:
         found = found.unionByName(d)
-    assert isinstance(nodes.schema, T.StructType)
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -148,9 +145,10 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def topological_layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, layer: layer 0 has the nodes without incoming edges; -1 marks nodes on or behind a cycle."""
-    edges = staged(distinct_edges(edges).where("src <> dst"), "edges")
-    every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    """node, layer: layer 0 has the nodes without incoming edges; -1 marks nodes on or behind a cycle (self loops order nothing)."""
+    given = distinct_edges(edges)
+    every = given.select(F.col("src").alias("node")).union(given.select("dst"))
+    edges = staged(given.where("src <> dst"), "edges")
     every = staged((every.union(nodes.select("node")) if nodes is not None else every).distinct(), "nodes")
     left, live, layers = every, edges, []
     for layer in range(DEPTH_CAP):
