@@ -22,20 +22,22 @@ def keyword_tf(s: Source):
     return per.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 
-_SETS = "s AS (SELECT conv_id * 100 + turn AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))) AS t FROM conversations), k AS (SELECT t, min(id) AS id FROM s WHERE len(t) > 0 GROUP BY t)"
+_SETS = "s AS (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))) AS t FROM requirements), k AS (SELECT t, min(id) AS id FROM s WHERE len(t) > 0 GROUP BY t)"
+
+
+def _word_sets(s: Source):
+    return s("requirements").select("id", T.word_set(F.col("text")).alias("t"))
 
 
 @query(f"""WITH {_SETS} SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS similarity
-    FROM k a JOIN k b ON a.id < b.id AND len(list_intersect(a.t, b.t)) >= 0.15 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
+    FROM k a JOIN k b ON a.id < b.id AND len(list_intersect(a.t, b.t)) >= 0.75 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
 def jaccard_pairs(s: Source):
-    sets = s("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.word_set(F.col("text")).alias("t"))
-    return S.similar_pairs(sets, "id", "t", 0.15)
+    return S.similar_pairs(_word_sets(s), "id", "t", 0.75)
 
 
-@query(f"WITH {_SETS}, m AS (SELECT s.id, min(o.id) OVER (PARTITION BY s.t) AS class_id FROM s JOIN s o ON o.id = s.id) SELECT id, class_id FROM m")
+@query(f"WITH {_SETS}, m AS (SELECT id, min(id) OVER (PARTITION BY t) AS class_id FROM s) SELECT id, class_id FROM m")
 def jaccard_classes(s: Source):
-    sets = s("conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.word_set(F.col("text")).alias("t"))
-    return S.class_members(sets, "id", "t")
+    return S.class_members(_word_sets(s), "id", "t")
 
 
 _COLOURS = {"colour": ["red", "blue", "green"], "database": ["ring", "bolt", "widget"]}
