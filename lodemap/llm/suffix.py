@@ -130,6 +130,9 @@ def _scan_runs(docs: DataFrame) -> DataFrame:
                     doc = docs_[i:][row] if len(row) else np.zeros(0, np.int64)
                     at = (subs[i:][row] << 40 if len(row) else doc) | (first + shift) << 8 | n
                     order = np.lexsort((at, doc, seg, fp))
+                    once = np.ones(len(order), bool)  # a repeated row is the same place, not a later one
+                    once[1:] = (fp[order][1:] != fp[order][:-1]) | (seg[order][1:] != seg[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])
+                    order = order[once]
                     doc, at, fp, seg = doc[order], at[order], fp[order], seg[order]
                     known = np.zeros(len(doc), bool)
                     known[1:] = (fp[1:] == fp[:-1]) & (seg[1:] == seg[:-1])
@@ -177,7 +180,9 @@ def _cut_windows(candidates: DataFrame, docs: DataFrame) -> DataFrame:
 def _repeats_of(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """(doc, at) of the stretches of windows with an equal earlier window, of runs given in order of place."""
     doc, at, data, size = (np.concatenate(c) for c in zip(*rows, strict=True))
-    windows = at & 255
+    again = np.zeros(len(at), bool)  # of a repeated row
+    again[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+    windows = np.where(again, 0, at & 255)
     start = np.cumsum(size) - size
     total = int(windows.sum())
     run = np.repeat(np.arange(len(at)), windows)
@@ -246,7 +251,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_seg = Window.partitionBy("fp", "seg").orderBy("doc", "at")
     by_fp = Window.partitionBy("fp")
     runs = _scan_runs(docs).repartition("fp")
-    marked = runs.withColumn("nth", F.row_number().over(by_seg)).withColumn("texts", F.sum((F.col("nth") == 1).cast("int")).over(by_fp))
+    marked = runs.withColumn("nth", F.rank().over(by_seg)).withColumn("texts", F.sum((F.col("nth") == 1).cast("int")).over(by_fp))
     marked = marked.where("known or nth > 1 or texts > 1").select("fp", "doc", "at", (F.col("known") | (F.col("nth") > 1)).alias("repeats"), (F.col("texts") > GROUP).alias("crowded"))
     marked = written(marked, "runs")
     partial = _sorted_repeats(_cut_windows(marked.where("not repeats"), docs))
