@@ -1,0 +1,334 @@
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodemap.llm import gearcdc, kernels, linetree, media, packing, queries, ring, secrets, setsketch, suffix, toxicity, winnow
+
+lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+sha = lambda b: hashlib.sha256(b).hexdigest()
+
+
+def empty(corpus):
+    return corpus.limit(0)
+
+
+# 1 media
+def test_media_round_trip_at_every_border():
+    for n in [*range(0, 800, 7), 2879, 2880, 2881, 5760, 70_001]:
+        payload = os.urandom(n)
+        s = media.demultiplex(media.multiplex(payload))
+        assert b"".join(s.data.values()) == payload and (s.gaps, s.damaged, s.bad_tables) == (0, 0, 0)
+
+
+def test_media_finds_damage():
+    raw = bytearray(media.multiplex(os.urandom(30_000)))
+    s = media.demultiplex(bytes(raw))
+    assert s.programs == {1: 0x100} and s.streams == {0x101: 6}
+    assert [u[1] for u in s.units] == [k * media.TICKS for k in range(len(s.units))] and [k for k, u in enumerate(s.units) if u[4]] == [0, 8]
+    del raw[188 * 10 : 188 * 11]
+    assert media.demultiplex(bytes(raw)).gaps == 1
+    raw[188 * 5] = 0
+    assert media.demultiplex(bytes(raw)).damaged >= 1
+    for junk in (b"", b"G", os.urandom(999), b"G" * 1000):
+        media.demultiplex(junk)
+
+
+def test_media_rows(corpus, rows):
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.media_digests(corpus).collect())
+    want = Counter()
+    for d, t in rows:
+        p = media.padded((t or "").encode())
+        want[d, len((t or "").encode()), sha(p), zlib.crc32(p[-16:])] += 1
+    assert got == want and media.media_digests(empty(corpus)).count() == 0
+    parsed = media.parse_media(media.store_media(corpus), "doc_id")
+    assert parsed.where("gaps > 0 or damaged > 0 or packets = 0").count() == 0
+
+
+# 2 packing
+def test_tokens_equal_the_tokenizer():
+    e = packing._Encoder(queries.tokenizer_path())
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab'sdtrevml 1!?\nÉé×<|ŸS.İ日") for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    texts += ["it's they'RE we'll 'stop !'s ''s don't'", "a×b ÷3 Ÿ", "<|endoftext|> hi", "", "\t\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = [x for _, _, data, offs in kernels.rows_of(batch, "text", 2000) for x in e.encode(data, offs)]
+    assert [g.tolist() for g in got] == [e.encoder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_hold_every_piece(seed):
+    r = random.Random(seed)
+    hist = Counter(r.randint(1, 64) for _ in range(3000))
+    patterns = packing.pack_lengths(dict(hist), 64)
+    used = Counter()
+    for times, pattern in patterns:
+        assert sum(n * k for n, k in pattern.items()) <= 64
+        for n, k in pattern.items():
+            used[n] += k * times
+    fewest = max(-(-sum(n * c for n, c in hist.items()) // 64), sum(c for n, c in hist.items() if n > 32))
+    assert used == hist and sum(t for t, _ in patterns) <= 1.02 * fewest + 1
+
+
+def test_fullest_is_optimal():
+    r = random.Random(9)
+    for _ in range(200):
+        counts = {r.randint(1, 12): r.randint(1, 3) for _ in range(4)}
+        room, sums = r.randint(1, 30), {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        got = packing.fullest(counts, room, 99)
+        assert all(got[n] <= counts[n] for n in got) and sum(n * k for n, k in got.items()) == max(s for s in sums if s <= room)
+
+
+def test_packing_rows(corpus, rows):
+    out = packing.pack_documents(corpus, queries.tokenizer_path()).collect()
+    spans = defaultdict(list)
+    for r in out:
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in spans.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= 2048
+    tok = packing._Encoder(queries.tokenizer_path()).encoder
+    want = Counter()
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[d, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    assert len(spans) == -(-sum(k[3] * c for k, c in want.items()) // 2048)
+    assert packing.pack_documents(empty(corpus), queries.tokenizer_path()).count() == 0
+
+
+# 3 line dedup
+def test_line_templates(spark, corpus):
+    out = {r["doc_id"]: r for r in linetree.dedup_lines(corpus.where("doc_id >= 15")).collect()}
+    assert out[15]["n_dropped"] == 0 and all(out[k]["n_dropped"] == 2 and "logged" not in out[k]["text"] for k in range(16, 20))
+    got = linetree.dedup_lines(corpus)
+    assert got.count() == corpus.count() and got.columns == [*corpus.columns, "n_lines", "n_dropped"]
+    assert got.where("doc_id = 3").first()["text"] is None and linetree.line_report(empty(corpus)).count() == 0
+    free = [(k, f"session opened for user {a}{b} by the daemon process") for k, (a, b) in enumerate([(a, b) for a in "abcdefg" for b in "uvwxyz"])]
+    docs = spark.createDataFrame([*free, (99, "session opened for quite another reason than all others")], "doc_id long, text string")
+    kept = {r["doc_id"] for r in linetree.dedup_lines(docs).where("n_dropped = 0").collect()}
+    assert kept == {0, 99}
+
+
+def test_line_report_equals_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = sorted(con.execute(linetree.REPORT_SQL).fetchall())
+    assert sorted(tuple(r) for r in queries.op3_line_dedup(spark, folder).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()) == want
+
+
+# 4 suffix order
+def test_longest_previous_factors():
+    r = random.Random(2)
+    for _ in range(40):
+        x = bytes(r.choice(b"ab") for _ in range(r.randint(0, 30)))
+        want = [max([0] + [next(k for k in range(len(x) - i + 1) if i + k == len(x) or x[i + k] != x[j + k]) for j in range(i)]) for i in range(len(x))]
+        assert suffix.longest_previous_factors(x).tolist() == want
+
+
+def removed(rows):
+    """Brute force over rows in order; equal (id, text) rows share their fate."""
+    seen, out = set(), {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        b = (t or "").encode()
+        m = bytearray(len(b))
+        for i in range(len(b) - 99):
+            w = b[i : i + 100]
+            if w in seen:
+                m[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        spans = sum(1 for i in range(len(m)) if m[i] and (not i or not m[i - 1]))
+        out[d, t] = (len(b), sum(m), spans, sha(bytes(x for x, y in zip(b, m, strict=True) if not y)))
+    return out
+
+
+@pytest.mark.parametrize("group", [2000, 1])
+def test_repeats_equal_brute_force(spark, corpus, rows, group, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    r = random.Random(4)
+    shared = ["".join(r.choice("abcdefgh ") for _ in range(150)) for _ in range(3)]
+    more = [(1000 + k, "".join(r.choice("xyz ") for _ in range(r.randint(0, 90))) + r.choice(shared)[r.randint(0, 30) :] + "".join(r.choice("xyz ") for _ in range(60))) for k in range(40)]
+    docs = corpus.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    want = removed([*rows, *more])
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix.remove_repeats(docs).collect())
+    assert got == Counter((d, *want[d, t]) for d, t in [*rows, *more])
+    assert suffix.remove_repeats(empty(corpus)).count() == 0
+
+
+# 5 winnowing
+def test_decontamination_equals_brute_force(spark, corpus, rows):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    long = next(t for d, t in rows if d == 9).split(" ")
+    items = [(1, " ".join(long[50:75])), (10, "One, TWO"), (2, None), (3, "..."), (4, " ".join(long[200:212]) + " zzz"), (5, "x"), (6, " ".join(long[300:309]))]
+    windows = defaultdict(set)
+    for i, t in items:
+        w = pattern.findall(lower(t))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(str(i))
+    want = Counter()
+    for d, t in rows:
+        w, hit, found = pattern.findall(lower(t)), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if (x := tuple(w[k : k + n])) in windows:
+                    hit |= set(range(k, k + n))
+                    found |= windows[x]
+        want[d, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), len(hit) > 0] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = winnow.decontaminate(corpus, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert Counter(tuple(r) for r in got) == want and sum(k[2] > 0 for k in want) >= 3
+    assert winnow.decontaminate(corpus, bench.limit(0)).where("contaminated").count() == 0 and winnow.decontaminate(empty(corpus), bench).count() == 0
+
+
+# 6 near-duplicates
+def components(rows, percent):
+    sets, parent = {}, {}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for k, (_, t) in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[k], parent[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set(), k
+        for j in range(k):
+            if sets[j] and 100 * len(sets[j] & sets[k]) >= percent * len(sets[j] | sets[k]):
+                a, b = find(j), find(k)
+                parent[max(a, b)] = min(a, b)
+    ids = defaultdict(list)
+    for k in parent:
+        ids[find(k)].append(rows[k][0])
+    least = {k: min((i for i in v if i is not None), default=None) for k, v in ids.items()}
+    return Counter((rows[k][0], len(sets[k]), least[find(k)], rows[k][0] == least[find(k)]) for k in parent)
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_duplicates_equal_brute_force(spark, corpus, rows, small, monkeypatch):
+    monkeypatch.setattr(setsketch, "SMALL", small)
+    r = random.Random(7)
+    base = [f"w{r.randint(0, 999)}" for _ in range(100)]
+    more = []
+    for k in range(70):  # a group with every distance from its base
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(100)] = f"v{r.randint(0, 9999)}"
+        more.append((2000 + k, " ".join(w)))
+    docs = corpus.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in setsketch.near_duplicates(docs).collect())
+    assert got == components([*rows, *more], 85)
+    if small == 16:
+        assert setsketch.near_duplicates(empty(corpus)).count() == 0
+
+
+def test_sketches_merge_and_estimate():
+    r = np.random.default_rng(1)
+    h = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    sets = [h[:2000], h[500:2500], h[:2500]]
+    regs = [setsketch.registers(np.zeros(len(x), np.int64), x, 1) for x in sets]
+    assert (np.maximum(regs[0], regs[1]) == regs[2]).all()
+    got = setsketch.estimate(regs[0], regs[1], np.array([2000]), np.array([2000]))[0]
+    assert abs(got - 1500 / 2500) < 0.15
+
+
+# 7 sharding
+def test_shards_differ_by_one_row(corpus, rows):
+    out = ring.shard_documents(corpus, 4, 8).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(len(s) for s in slots.values())[-1] - min(len(slots.get(k, [])) for k in range(4)) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    assert ring.shard_documents(empty(corpus)).count() == 0
+
+
+def test_ring_moves_little(spark):
+    keys = spark.range(4000).select(F.col("id").alias("ring_key"))
+    a, b = (ring.assign(keys, n, 64).select("ring_key", F.col("shard").alias(f"s{n}")) for n in (8, 9))
+    moved = a.join(b, "ring_key").where("s8 <> s9").count()
+    assert moved < 4000 * 0.45  # a ninth must; an even reshuffle would move eight ninths
+
+
+# 8 toxicity
+def test_toxicity_on_held_out_rows(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    docs, labels = [], []
+    for k in range(1500):
+        w = [r.choice(words) for _ in range(40)]
+        bad = k % 6 == 0
+        if bad:
+            for _ in range(3):
+                w[r.randrange(40)] = r.choice(["vile", "nasty", "awful"])
+        docs.append((k, " ".join(w)))
+        labels.append((k, None, int(bad)))
+    docs += [(9001, None), (9002, ""), (None, "nasty vile awful nasty")]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1, 1), (77777, 1, None)], "doc_id long, quality int, toxic int")
+    out = {x["doc_id"]: x for x in toxicity.toxicity(d, y).collect()}
+    assert len(out) == len(docs) and all(0 <= x["score"] <= 1 for x in out.values())
+    held = [k for k in range(1500) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(out[k]["held_out"] == (k in set(held)) for k in range(1500))
+    assert sum(out[k]["predicted"] == (k % 6 == 0) for k in held) >= 0.98 * len(held)
+    assert out[9001]["score"] == out[9002]["score"] and toxicity.toxicity(d.limit(0), y).count() == 0
+    assert {x["score"] for x in toxicity.toxicity(d, y.limit(0)).collect()} == {0.5}
+
+
+# 9 secrets
+def naive(text):
+    kinds = (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile(r"[0-9a-f]+"), 0, 16),
+    )
+    found = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in p.finditer(text) if len(m[g]) >= n)
+    return [(kinds[k][0], s, e) for s, k, e in found]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(5)
+    bits = ["token", "=", ":", " ", "'", "secret", "AKIA", "ABC123", "deadbeef", "0123456789abcdef", "é", "x", "API_KEY", "\n", "Passwd", ".", "-_"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 14)))
+        assert [(secrets.BASE[k][0], s, e) for s, k, e in secrets.base_spans(t)] == naive(t)
+
+
+def test_linking_needs_complements(spark):
+    key, value, url = "AKIA" + "Q7" * 8, "h8Kd03mZpW5xT1vL9cR4bN6yJ2sF7gQa0uEi", "https://store.example.com/bucket"
+    kinds = lambda t: [k for _, k, _ in secrets.linked_spans(t, secrets.base_spans(t))]
+    assert kinds(f"{value} and {url}") == [] and kinds(f"{key} {url}") == []
+    assert sorted(kinds(f"{key} {value} {url}")) == ["credential", "linked_endpoint", "linked_value"]
+    assert kinds(f"{key}\n\n{value}") == [] and kinds(f"{key}{' ' * 500}{value}") == []
+    df = spark.createDataFrame([(1, f"é {key} {value}"), (2, None), (2, None), (None, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(df).collect()}
+    assert got[1] == f"access:2:{2 + len(key)},credential:2:{3 + len(key) + len(value)},linked_value:{3 + len(key)}:{3 + len(key) + len(value)}" and got[2] == got[None] == ""
+
+
+# 10 chunks
+def test_chunks_cover_and_resist_shifts():
+    r = random.Random(1)
+    text = bytes(r.randrange(97, 123) for _ in range(20_000))
+    cut = lambda b: [b[i:j] for i, j in zip([0, *c[:-1]], c, strict=True)] if (c := gearcdc.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]) else []
+    a, b = cut(text), cut(b"inserted here " + text)
+    assert b"".join(a) == text and all(gearcdc.LEAST <= len(x) for x in a) and len(set(a) & set(b)) > 0.95 * len(a)
+    assert cut(b"") == [] and cut(b"tiny") == [b"tiny"]
+
+
+def test_repeated_chunks(spark, corpus, rows):
+    out = gearcdc.repeated_chunks(corpus).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows) and got[0]["n_removed"] == 0 and got[1]["n_removed"] == got[1]["n_bytes"] and got[12]["n_removed"] == 1
+    assert got[8]["n_removed"] > 100 and got[13]["n_removed"] == 0 and got[3]["n_chunks"] == 0
+    assert gearcdc.repeated_chunks(empty(corpus)).count() == 0
