@@ -51,14 +51,14 @@ def assign(keys: DataFrame, shards: int, virtual: int = VIRTUAL) -> DataFrame:
     ring = owners.join(counts, "cell", "left").fillna(0, ["n"])
     up_to = Window.partitionBy("node").orderBy(F.col("_turn"), F.col("cell")).rowsBetween(Window.unboundedPreceding, -1)
     # cells past the last node belong to node 0 and come before its other cells
-    last = nodes.agg(F.max("cell").alias("_last"))
-    ring = ring.crossJoin(F.broadcast(last)).withColumn("_turn", F.when(F.col("cell") > F.col("_last"), 0).otherwise(1))
+    last = nodes.agg(F.max("cell")).first()[0]
+    ring = ring.withColumn("_turn", F.when(F.col("cell") > last, 0).otherwise(1))
     cells = written(ring.select("cell", "node", "n", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before")), "cells")
 
     loads = cells.groupBy("node").agg(F.sum("n").alias("load"))
-    whole = loads.agg(F.sum("load").alias("_total"))
-    per = nodes.join(loads, "node", "left").fillna(0, ["load"]).crossJoin(F.broadcast(whole))
-    quota = F.floor(F.col("_total") / shards) + (F.col("shard") < F.col("_total") % shards).cast("long")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    per = nodes.join(loads, "node", "left").fillna(0, ["load"])
+    quota = F.lit(total // shards) + (F.col("shard") < total % shards).cast("long")
     per = per.withColumn("_q", quota).withColumn("quota", F.floor(F.col("_q") / virtual) + (F.col("nth") < F.col("_q") % virtual).cast("long"))
     in_shard = Window.partitionBy("shard").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("base", F.coalesce(F.sum("quota").over(in_shard), F.lit(0)))
