@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linetree.REPORT_SQL}
+    return {"op3_line_dedup": linetree.REPORT_SQL, "op5_benchmark_decontamination": winnow.REPORT_SQL}

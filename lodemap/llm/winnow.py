@@ -203,3 +203,22 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
         F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), found.alias("items"),
     )
+
+
+def _words_sql(table: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({table}.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: The contract's rows in the oracle's SQL, by exact windows.
+REPORT_SQL = f"""
+WITH d AS (SELECT doc_id, {_words_sql("documents")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words_sql("benchmark")} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, unnest(CASE WHEN len(w) >= {WINDOW} THEN list_transform(range(1, len(w) - {WINDOW} + 2), lambda i: w[i:i + {WINDOW - 1}]) ELSE [w] END) AS g FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(g) AS n FROM bw),
+dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'p': i, 'g': w[i:i + n - 1]}})) AS x FROM d, lens WHERE len(w) >= n),
+hit AS (SELECT doc_id, x.p AS p, n, item FROM dw JOIN bw ON bw.g = x.g),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) h GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS said FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
+"""
