@@ -258,3 +258,54 @@ def score_risk(row: DataFrame) -> DataFrame:
         )
     )
     return row.withColumn("score", score.cast("long")).withColumn("level", graph.risk_level(F.col("score"))).withColumn("reasons", F.array_join(reasons, "; "))
+
+
+def tests_near(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, test: tests below the folder of each path (by ancestor folders, an equi-join)."""
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    parts = F.split("test", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    tests = files.where("is_test").select(F.col("path").alias("test")).select("test", F.explode(above).alias("folder"))
+    return paths.select("path").distinct().withColumn("folder", F.lower(folder)).join(tests.withColumn("folder", F.lower("folder")), "folder").select("path", "test")
+
+
+def affected_files(deps: DataFrame, changed: DataFrame) -> DataFrame:
+    """path: the changed files, what they import and who imports them."""
+    c = changed.select("path").distinct()
+    ups = deps.join(c.withColumnRenamed("path", "target_file"), "target_file", "left_semi").select(F.col("source_file").alias("path"))
+    downs = deps.join(c.withColumnRenamed("path", "source_file"), "source_file", "left_semi").select(F.col("target_file").alias("path"))
+    return c.union(ups).union(downs).distinct()
+
+
+def consumer_counts(interfaces: DataFrame, deps: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """id, consumer_count: distinct importing files of the interface's file; of the given files (column path) only, if any."""
+    own = interfaces if only is None else interfaces.join(only.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    n = deps.groupBy(F.col("target_file").alias("file")).agg(F.countDistinct("source_file").alias("n"))
+    return own.select("id", "file").join(n, "file", "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("consumer_count"))
+
+
+def cycle_gate(found: DataFrame, baseline: DataFrame, changed: list) -> DataFrame:
+    """component, members of cycles (see ``graph.cycles``) that the baseline lacks and that touch a changed node."""
+    fresh = found.join(baseline.select("members"), "members", "left_anti")
+    return fresh.where(F.arrays_overlap("members", F.array(*[F.lit(x) for x in changed]))) if changed else fresh.limit(0)
+
+
+def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """calls with callee_file and resolved: the symbol of largest id of each name wins."""
+    last = symbols.groupBy(F.col("name").alias("callee")).agg(F.max_by("file", "id").alias("callee_file"))
+    out = calls.join(last, "callee", "left")
+    return out.withColumn("resolved", F.col("callee_file").isNotNull()).withColumn("call_type", F.when(F.col("resolved"), "direct").otherwise("unresolved"))
+
+
+def resolve_parents(hierarchy: DataFrame, symbols: DataFrame) -> DataFrame:
+    """hierarchy with parent_file: the class of smallest id of the parent's name."""
+    first = symbols.where("kind = 'class'").groupBy(F.col("name").alias("parent")).agg(F.min_by("file", "id").alias("parent_file"))
+    return hierarchy.join(first, "parent", "left")
+
+
+def visibility(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """path, visibility: public for index files and files directly under their module's root, else internal."""
+    j = files.select("path", "module").join(modules.select(F.col("name").alias("module"), "root_path"), "module")
+    direct = F.regexp_replace("path", "/[^/]*$", "") == F.col("root_path")
+    barrel = F.col("path").rlike(r"(^|/)(index\.[a-z]+|__init__\.py|mod\.rs)$")
+    return j.select("path", F.when(direct | barrel, "public").otherwise("internal").alias("visibility"))

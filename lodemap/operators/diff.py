@@ -183,3 +183,51 @@ def regression(base: DataFrame, now: DataFrame) -> DataFrame:
 def mutation_score(results: DataFrame, by: str) -> DataFrame:
     killed, lived = F.count_if(F.col("status") == "killed"), F.count_if(F.col("status") == "survived")
     return results.groupBy(by).agg(killed.alias("killed"), lived.alias("survived")).withColumn("score", F.when(F.col("killed") + F.col("survived") == 0, 1.0).otherwise(half_up(F.col("killed") / (F.col("killed") + F.col("survived")), 4)))
+
+
+def drift_total(drift: DataFrame) -> DataFrame:
+    """mean (of requirements with must-haves), green, yellow, red."""
+    return drift.agg(F.avg("drift").alias("mean"), *[F.count_if(F.col("level") == x).alias(x.lower()) for x in ("GREEN", "YELLOW", "RED")])
+
+
+def verdicts_in(docs: DataFrame, key: str) -> DataFrame:
+    """key, verdict: every verification verdict in a text."""
+    found = F.regexp_extract_all("text", F.lit(r"\b(VERIFIED|WIRED|UNCERTAIN|ORPHANED|PARTIAL|FAILED|MISSING)\b"), F.lit(1))
+    return docs.select(key, F.explode(found).alias("verdict"))
+
+
+def requirement_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """id, change, changed: added, removed or modified requirements."""
+    return diff(old, new, ["id"], ["text", "category"])
+
+
+def compatibility(old: DataFrame, new: DataFrame) -> DataFrame:
+    """type, name, finding: interfaces that went, and whose protocol changed; routes (array) that went."""
+    a = old.select("type", "name", F.col("protocol").alias("p0"), F.col("routes").alias("r0"))
+    b = new.select("type", "name", F.col("protocol").alias("p1"), F.col("routes").alias("r1"), F.lit(True).alias("there"))
+    none = F.array().cast("array<string>")
+    lost = F.array_except(F.coalesce("r0", none), F.coalesce("r1", none))
+    found = F.concat(
+        F.array_compact(F.array(F.when(F.col("there").isNull(), "removed_interface"), F.when(F.col("there") & ~F.col("p0").eqNullSafe(F.col("p1")), "protocol_change"))),
+        F.when(F.col("there"), F.transform(lost, lambda r: F.concat(F.lit("removed_endpoint:"), r))).otherwise(none),
+    )
+    return a.join(b, ["type", "name"], "left").select("type", "name", F.explode(found).alias("finding"))
+
+
+def snapshot(files: DataFrame, interfaces: DataFrame, capabilities: DataFrame) -> dict[str, DataFrame]:
+    """What a snapshot keeps: the 200 most used interfaces, the 100 most complex files, capabilities, languages."""
+    return {
+        "interfaces": interfaces.orderBy(F.desc("consumer_count"), "name", "file").limit(200),
+        "hotspots": files.orderBy(F.desc("complexity_score"), "path").limit(100),
+        "capabilities": capabilities,
+        "languages": files.where("language is not null").groupBy("language").agg(F.count("*").alias("files"), F.sum("loc").alias("loc")),
+    }
+
+
+def snapshot_diff(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Differences of two snapshots, per section."""
+    return {
+        "interfaces": diff(old["interfaces"], new["interfaces"], ["name", "file"], ["contract_hash", "consumer_count"]),
+        "capabilities": diff(old["capabilities"], new["capabilities"], ["module_name", "capability"], ["confidence"]),
+        "languages": diff(old["languages"], new["languages"], ["language"], ["files", "loc"]),
+    }

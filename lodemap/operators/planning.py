@@ -128,3 +128,51 @@ def template_size(text: Column) -> Column:
     files = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"`([^`\s]+\.[a-z]+)`"), F.lit(1))))
     decided = F.lower(text).contains("decision")
     return F.when((tasks <= 2) & (files <= 3) & ~decided, "minimal").when(decided | (files > 6) | (tasks > 5), "complex").otherwise("standard")
+
+
+def todos(docs: DataFrame, key: str, area: str | None = None) -> DataFrame:
+    """key, title, area, created of todo texts, with defaults; of one area, if given."""
+    get = lambda p, d: F.coalesce(F.nullif(F.regexp_extract("text", rf"(?m)^{p}:\s*(.+?)\s*$", 1), F.lit("")), F.lit(d))
+    out = docs.select(key, get("title", "Untitled").alias("title"), get("area", "general").alias("area"), get("created", "unknown").alias("created"))
+    return out if area is None else out.where(F.col("area") == area)
+
+
+def list_phases(phases: DataFrame, prefix: str | None = None, archived: DataFrame | None = None) -> DataFrame:
+    """Phases (name) in numeric order, archived ones too if given; those that begin with a phase number, if given."""
+    out = phases if archived is None else phases.unionByName(archived)
+    if prefix is not None:
+        out = out.where(normal_phase(F.regexp_extract("name", r"^(\d+(?:\.\d+)?)", 1)) == normal_phase(F.lit(prefix)))
+    return out.orderBy(phase_number(F.col("name")), "name")
+
+
+def roadmap(phases: DataFrame, plans: DataFrame) -> DataFrame:
+    """phase, status, percent of the phases of a roadmap, with those that have no plans as empty."""
+    done = progress(plans, "phase")
+    return phases.select("phase").join(done, "phase", "left").select("phase", F.coalesce("plans", F.lit(0).cast("long")).alias("plans"), F.coalesce("status", F.lit("empty")).alias("status"), F.coalesce("percent", F.lit(0).cast("long")).alias("percent"))
+
+
+def roadmap_vs_disk(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """phase, finding of normalised phase numbers on one side only."""
+    a, b = (d.select(normal_phase(F.col("phase")).alias("phase")).distinct() for d in (listed, found))
+    return a.join(b, "phase", "left_anti").withColumn("finding", F.lit("not_on_disk")).unionByName(b.join(a, "phase", "left_anti").withColumn("finding", F.lit("not_in_roadmap")))
+
+
+def references(docs: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """key, path, found: paths that a text names after @ or in backticks."""
+    at = F.regexp_extract_all("text", F.lit(r"(?:^|\s)@([\w./-]+\.\w+)"), F.lit(1))
+    ticks = F.regexp_extract_all("text", F.lit(r"`([\w./-]+/[\w.-]+\.\w+)`"), F.lit(1))
+    named = docs.select(key, F.explode(F.array_distinct(F.concat(at, ticks))).alias("path"))
+    return named.join(existing.select("path").distinct().withColumn("found", F.lit(True)), "path", "left").select(key, "path", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def plan_signals(plans: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
+    """key, value: dictionary words (value) of a plan's text, as whole words; an equi-join on the words."""
+    words = plans.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9.+#-]+"))).alias("value"))
+    return words.join(F.broadcast(dictionary.select(F.lower("value").alias("value")).distinct()), "value").select(key, "value")
+
+
+def prune_sections(text: Column, signals: list[str]) -> Column:
+    """A body without the ### sections whose title and first 300 characters name no signal; the opening stays."""
+    parts = F.split(text, r"(?m)^(?=### )")
+    said = lambda p: F.exists(F.array(*[F.lit(s.lower()) for s in signals]), lambda s: F.lower(F.substring(p, 1, 300)).contains(s)) if signals else F.lit(False)
+    return F.array_join(F.filter(parts, lambda p: ~p.startswith("### ") | said(p)), "")

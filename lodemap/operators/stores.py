@@ -90,3 +90,31 @@ def cost_rollup(units: DataFrame) -> DataFrame:
 def check_budget(units: DataFrame, budget: float, more: int = 5) -> DataFrame:
     out = units.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent"), F.count("*").alias("n"), F.coalesce(F.avg("cost_usd"), F.lit(0.0)).alias("mean"))
     return out.select("spent", (F.lit(budget) - F.col("spent")).alias("remaining"), (F.col("spent") <= budget).alias("within_budget"), (F.col("mean") * (F.col("n") + more)).alias("projected"))
+
+
+def decisions_for(store: DataFrame, tags: DataFrame, phase: str, modules: list[str], names: list[str]) -> DataFrame:
+    """Active decisions that are global, of a module at hand (ignoring case), or tagged with a module, a file name or the phase."""
+    low = [m.lower() for m in modules]
+    wanted = [*low, *[n.lower() for n in names]]
+    t = tags.groupBy(F.col("decision_id").alias("id")).agg(F.collect_set(F.lower("tag")).alias("_tags"))
+    j = store.where("active").join(t, "id", "left").withColumn("_tags", F.coalesce("_tags", F.array().cast("array<string>")))
+    tagged = F.arrays_overlap("_tags", F.array(*[F.lit(w) for w in wanted])) if wanted else F.lit(False)
+    mine = F.lower("module").isin(low) if low else F.lit(False)
+    return j.where((F.col("scope") == "global") | mine | tagged | ((F.col("scope") == "phase") & F.array_contains("_tags", phase.lower()))).drop("_tags")
+
+
+def session_context(lines: DataFrame, terms: list[str]) -> DataFrame:
+    """Ledger lines for a session: decisions and preferences whole, others if generic or if they name a term."""
+    named = F.lit(False)
+    for t in terms:
+        named = named | F.lower("text").contains(t.lower())
+    return lines.where(F.col("section").isin("Decisions", "User Preferences") | named | (F.coalesce("severity", F.lit("low")) == "critical"))
+
+
+def ledger_counts(lines: DataFrame, by: str) -> DataFrame:
+    """by, section, n, tokens: lines and their token estimate per section."""
+    return lines.groupBy(by, "section").agg(F.count("*").alias("n"), F.sum(F.ceil(F.length("text") / 4)).alias("tokens"))
+
+
+def recent(log: DataFrame, order: str, most: int = 20) -> DataFrame:
+    return newest(log, [order], most)

@@ -127,3 +127,48 @@ class SystemGraph:
             found = found.unionByName(t.select("service", "name", "rank"))
         best = found.groupBy("name").agg(F.min_by("service", F.struct("rank", "service")).alias("service"))
         return wanted.join(best, "name", "left")
+
+
+def find_service(services: DataFrame, path: str) -> DataFrame:
+    """The service of a repository path: exact path, else the folder's name as id, else within the repository's name."""
+    base = path.rstrip("/").rpartition("/")[2]
+    rank = F.when(F.col("repo") == path, 0).when(F.col("id") == base, 1).when(F.col("repo").ilike(f"%{base}%"), 2)
+    return services.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "id").limit(1).drop("_rank")
+
+
+def resolve_topics(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """imports (topic) with provider: the exporter (service_id, name, seq) of largest seq of each topic."""
+    last = exports.groupBy(F.col("name").alias("topic")).agg(F.max_by("service_id", F.struct("seq", "service_id")).alias("provider"))
+    return imports.join(last, "topic", "left")
+
+
+def task_interfaces(interfaces: DataFrame, service: str, changed: list[str]) -> DataFrame:
+    """Exports of a service whose endpoints (array of structs with source) overlap a changed path; all, if none does."""
+    own = interfaces.where(F.col("service_id") == service)
+
+    def overlaps(path: str):
+        return F.exists("endpoints", lambda e: e["source"].contains(path) | F.lit(path).contains(e["source"]))
+
+    hit = F.lit(False)
+    for c in changed:
+        hit = hit | overlaps(c)
+    marked = own.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    some = marked.agg(F.max("_hit").alias("_some"))
+    return marked.join(F.broadcast(some)).where("_hit or not _some").drop("_hit", "_some")
+
+
+def manifest_diff(old: DataFrame, new: DataFrame, by: str = "service") -> DataFrame:
+    """by, added, removed: numbers of exports (type, name) that came and went."""
+    keys = [by, "type", "name"]
+    a = new.select(*keys).distinct().join(old, keys, "left_anti").groupBy(by).agg(F.count("*").alias("added"))
+    r = old.select(*keys).distinct().join(new, keys, "left_anti").groupBy(by).agg(F.count("*").alias("removed"))
+    return a.join(r, by, "full").fillna(0, ["added", "removed"])
+
+
+def ripple(breaking: DataFrame, dependencies: DataFrame, services: DataFrame) -> DataFrame:
+    """provider_id, consumers, teams, risk of providers with breaking changes."""
+    c = dependencies.join(breaking.select("provider_id").distinct(), "provider_id", "left_semi").select("provider_id", "consumer_id").distinct()
+    out = c.join(services.select(F.col("id").alias("consumer_id"), "team"), "consumer_id", "left").groupBy("provider_id")
+    out = out.agg(F.count("*").alias("consumers"), F.countDistinct("team").alias("teams"))
+    n = F.col("consumers")
+    return out.withColumn("risk", F.when(n >= 5, "critical").when(n >= 3, "high").when(n >= 1, "medium").otherwise("low"))

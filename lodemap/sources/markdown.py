@@ -137,3 +137,24 @@ def compile_errors(docs: DataFrame, key: str, most: int = 30) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
     nth = F.row_number().over(Window.partitionBy(key).orderBy("line"))
     return out.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n", "line")
+
+
+def state_fields(docs: DataFrame, key: str) -> DataFrame:
+    """key, field, value of every bold 'Field:' line."""
+    pattern = r"^\s*-?\s*\*\*([^*:]+):\*\*\s*(.*?)\s*$"
+    rows = lines(docs, key).withColumn("field", F.regexp_extract("body", pattern, 1)).where("field <> ''")
+    return rows.select(key, "field", F.regexp_extract("body", pattern, 2).alias("value"))
+
+
+def plan_tasks(docs: DataFrame, key: str) -> DataFrame:
+    """key, nth, type, name, files, action of every <task> block of a plan."""
+    blocks = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(<task\b.*?</task>)"), F.lit(1))).alias("nth", "block"))
+    tag = lambda t: F.trim(F.regexp_extract("block", rf"(?s)<{t}>(.*?)</{t}>", 1))
+    files = F.filter(F.transform(F.split(tag("files"), r"[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    return blocks.select(key, (F.col("nth") + 1).alias("nth"), F.regexp_extract("block", r"<task[^>]*\btype=\"([^\"]*)\"", 1).alias("type"), tag("name").alias("name"), files.alias("files"), tag("action").alias("action"))
+
+
+def test_references(docs: DataFrame, key: str) -> DataFrame:
+    """path, first: test files that texts name, with the first text that does."""
+    found = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(r"([\w./-]+(?:\.test|\.spec|_test)\.\w+)"), F.lit(1))).alias("path"))
+    return found.groupBy("path").agg(F.min(key).alias("first"))
