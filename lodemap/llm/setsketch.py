@@ -29,6 +29,7 @@ BANDS = REGISTERS // ROWS
 SHINGLE = 5
 MARGIN = 0.15  # an estimate this far below the bound is over six standard errors away
 U_BLOCK, A_BLOCK = 256, 512
+SMALL = 16  # members of a bucket whose pairs may be listed; larger buckets are verified in place
 _LOWER = lower_ascii_table()
 _FLAG = np.ones(256, bool)
 _FLAG[[0x20, *range(0x09, 0x0E)]] = False
@@ -191,17 +192,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint")
 
 
-def _left_over(multi: DataFrame, roots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components that share a bucket and may be linked, from bounded blocks of buckets."""
+def _set_rows(texts: DataFrame, size: int) -> DataFrame:
+    """cid and the sorted shingle hashes of its text, as bytes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: list[bytes] = []
+            for i, j, data, offs in rows_of(batch, "text", 4 << 20):
+                row, h = shingle_sets(data, offs, size)
+                edge = np.searchsorted(row, np.arange(j - i + 1))
+                sets += [h[edge[k] : edge[k + 1]].tobytes() for k in range(j - i)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "set"])
+
+    return texts.mapInArrow(scan, "cid bigint, set binary")
+
+
+def _mixed(multi: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component: band, cid, root, other (not the hub's component), blocks."""
     held = multi.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("band", "hub", "cid", F.coalesce("root", "cid").alias("root"))
     hubs = held.where("cid = hub").select("band", F.col("root").alias("hub_root"))
     marked = held.join(hubs, "band").withColumn("other", (F.col("root") != F.col("hub_root")).cast("int"))
     sizes = marked.groupBy("band").agg(F.count("*").alias("na"), F.sum("other").alias("nu")).where("nu > 0")
-    sizes = sizes.select("band", F.ceil(F.col("nu") / U_BLOCK).cast("int").alias("ub"), F.ceil(F.col("na") / A_BLOCK).cast("int").alias("ab"))
-    rows = marked.select("band", "cid", "root", "other").join(sizes, "band").join(reps.select("cid", "n_shingles", "regs"), "cid")
+    sizes = sizes.select("band", "na", F.ceil(F.col("nu") / U_BLOCK).cast("int").alias("ub"), F.ceil(F.col("na") / A_BLOCK).cast("int").alias("ab"))
+    return marked.select("band", "cid", "root", "other").join(sizes, "band")
+
+
+def _blocked(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a bucket's comparison, dealt out in blocks: members outside the hub's component, and all members."""
+    kept = ["cid", "root", *columns]
     mine, all_ = F.pmod(F.xxhash64("cid"), F.col("ub")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("ab"))
-    u = rows.where("other = 1").select("band", mine.cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), "cid", "root", "n_shingles", "regs")
-    a = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("ub") - 1)).alias("i"), all_.cast("int").alias("j"), "cid", "root", "n_shingles", "regs")
+    u = rows.where("other = 1").select("band", mine.cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("j"), *kept)
+    a = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("ub") - 1)).alias("i"), all_.cast("int").alias("j"), *kept)
+    return u, a.toDF("band_", "i_", "j_", *[f"{c}_" for c in kept])
+
+
+def _left_over(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components in small mixed buckets that may be linked."""
+    u, a = _blocked(mixed.where(F.col("na") <= SMALL).join(reps.select("cid", "n_shingles", "regs"), "cid"), "n_shingles", "regs")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
@@ -220,7 +247,38 @@ def _left_over(multi: DataFrame, roots: DataFrame, reps: DataFrame, percent: int
                         found_b.append(max(c, o))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    a = a.toDF("band_", "i_", "j_", "cid_", "root_", "n_shingles_", "regs_")
+    return u.groupBy("band", "i", "j").cogroup(a.groupBy("band_", "i_", "j_")).applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _crowded_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between components in larger mixed buckets, verified on the full sets within each block.
+
+    A block reports one link for each pair of components that it joins, so what comes out follows the members and not
+    their pairs.
+    """
+    u, a = _blocked(mixed.join(sets, "cid"), "set")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if left.num_rows and right.num_rows:
+            get = lambda t, c: t.column(c).combine_chunks()
+            ids, roots_ = get(right, "cid_").to_numpy(), get(right, "root_").to_numpy()
+            data, offs = arrow_bytes(get(right, "set_"))
+            n = np.diff(offs) >> 3
+            h = np.frombuffer(data.tobytes(), np.uint64)
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], np.repeat(np.arange(len(ids)), n)[order]
+            for c, r, raw in zip(get(left, "cid").to_pylist(), get(left, "root").to_pylist(), get(left, "set"), strict=True):
+                x = np.frombuffer(raw.as_py(), np.uint64)
+                lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
+                long = hi - lo
+                at = np.repeat(lo - (np.cumsum(long) - long), long) + np.arange(long.sum())
+                common = np.bincount(owner[at], minlength=len(ids))
+                for k in np.flatnonzero((roots_ != r) & (100 * common >= percent * (len(x) + n - common))).tolist():
+                    found.setdefault((min(r, int(roots_[k])), max(r, int(roots_[k]))), (c, int(ids[k])))
+        cols = list(zip(*found.values(), strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
     return u.groupBy("band", "i", "j").cogroup(a.groupBy("band_", "i_", "j_")).applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -255,14 +313,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
     links = written(_verified(best, texts_of(best), percent, size), "links")
     roots = written(connected_components(links), "roots")
-    for again in (likely.select("a", "b").join(best, ["a", "b"], "left_anti"), None):
-        if again is None:
-            again = _left_over(multi, roots, reps, percent).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+    def cross(pairs: DataFrame) -> DataFrame:
         ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-        cross = again.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        cross = written(cross.select("a", "b"), "cross-pairs")
-        links = links.unionByName(written(_verified(cross, texts_of(cross), percent, size), "links"))
-        roots = written(connected_components(links), "roots")
+        apart = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        return written(apart.select("a", "b"), "cross-pairs")
+
+    rest = cross(likely.select("a", "b").join(best, ["a", "b"], "left_anti"))
+    links = links.unionByName(written(_verified(rest, texts_of(rest), percent, size), "links"))
+    roots = written(connected_components(links), "roots")
+
+    mixed = written(_mixed(multi, roots), "mixed-buckets")
+    crowded = mixed.where(F.col("na") > SMALL)
+    wanted = crowded.select("cid").distinct()
+    sets = written(_set_rows(texts_of(wanted.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), size), "sets")
+    links = links.unionByName(written(_crowded_links(crowded, sets, percent), "links"))
+    roots = written(connected_components(links), "roots")
+    few = _left_over(mixed, reps, percent).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = cross(few)
+    links = links.unionByName(written(_verified(rest, texts_of(rest), percent, size), "links"))
+    roots = written(connected_components(links), "roots")
 
     named = reps.select("cid", "digest", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
