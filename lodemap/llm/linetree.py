@@ -11,7 +11,7 @@ what a group of copies says is not lost with the copies. Lines of fewer than ``L
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
@@ -22,13 +22,24 @@ WILD = "<*>"
 LEAST = -(2**63)
 
 
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+
+
+def _plain() -> Column:
+    """``line`` with single spaces between its tokens."""
+    line = F.col("line")
+    return F.trim(F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+
+
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
-    """doc, key, n_line, tokens (digits masked), leaf (tokens counted and leading) of every line of ``lead`` tokens."""
+    """doc, key, n_line, line (single-spaced), leaf (tokens counted, the leading ones with digits masked) of lines of ``lead`` tokens."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("doc"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("n_line", "line"))
-    tokens = F.filter(F.split("line", "[ \t\r]+"), lambda t: t != "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
-    made = source.select("doc", "key", "n_line", masked.alias("tokens")).where(F.size("tokens") >= lead)
-    return made.withColumn("leaf", F.unhex(F.md5(F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, lead)).cast("binary"))))
+    made = source.withColumn("line", _plain())
+    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    made = made.withColumn("n", tokens).where(F.col("n") >= lead)
+    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), _masked(F.split(F.substring_index("line", " ", lead), " "))).cast("binary")))
+    return made.select("doc", "key", "n_line", "line", leaf.alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
@@ -36,7 +47,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, sup
     who = F.struct("doc", "key")
     lines = _lines(docs, lead)
     busy = lines.select("leaf", "doc", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    shared = written(lines.join(busy, "leaf"), "shared-lines")
+    shared = lines.join(busy, "leaf").select("leaf", "doc", "key", "n_line", _masked(F.split("line", " ")).alias("tokens"))
+    shared = written(shared, "shared-lines")
 
     places = shared.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     sizes = shared.groupBy("leaf").agg(F.count("*").alias("of"))
