@@ -22,8 +22,9 @@ WILD = "<*>"
 LEAST = -(2**63)
 
 
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))
+def _masked(text: Column) -> Column:
+    """Tokens with a digit become the wildcard (of text with single spaces)."""
+    return F.regexp_replace(text, "[^ ]*[0-9][^ ]*", WILD)
 
 
 def _plain() -> Column:
@@ -38,7 +39,7 @@ def _lines(docs: DataFrame, lead: int) -> DataFrame:
     made = source.withColumn("line", _plain())
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
     made = made.withColumn("n", tokens).where(F.col("n") >= lead)
-    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), _masked(F.split(F.substring_index("line", " ", lead), " "))).cast("binary")))
+    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), _masked(F.substring_index("line", " ", lead))).cast("binary")))
     return made.select("doc", "key", "n_line", "line", leaf.alias("leaf"))
 
 
@@ -47,7 +48,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, sup
     who = F.struct("doc", "key")
     lines = _lines(docs, lead)
     busy = lines.select("leaf", "doc", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    shared = lines.join(busy, "leaf").select("leaf", "doc", "key", "n_line", _masked(F.split("line", " ")).alias("tokens"))
+    shared = lines.join(busy, "leaf").select("leaf", "doc", "key", "n_line", F.split(_masked(F.col("line")), " ").alias("tokens"))
     shared = written(shared, "shared-lines")
 
     places = shared.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
