@@ -6,12 +6,17 @@ executors; only counts reach the driver. Self loops and repeated edges are allow
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
 
 DEPTH_CAP = 1000
+FEW = 500_000  # edges that one task orders in memory
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -145,13 +150,20 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def topological_layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, layer: layer 0 has the nodes without incoming edges; -1 marks nodes on or behind a cycle (self loops order nothing)."""
+    """node, layer: layer 0 has the nodes without incoming edges; -1 marks nodes on or behind a cycle (self loops order nothing).
+
+    A layer is peeled off at a time; as soon as at most ``FEW`` edges are left, one task peels off all others.
+    """
     given = distinct_edges(edges)
     every = given.select(F.col("src").alias("node")).union(given.select("dst"))
     edges = staged(given.where("src <> dst"), "edges")
     every = staged((every.union(nodes.select("node")) if nodes is not None else every).distinct(), "nodes")
     left, live, layers = every, edges, []
     for layer in range(DEPTH_CAP):
+        if live.count() <= FEW:
+            layers.append(_few_layers(left, live, layer))
+            left = left.limit(0)
+            break
         free = staged(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "free")
         if free.isEmpty():
             break
@@ -164,6 +176,36 @@ def topological_layers(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     return out
 
 
+def _few_layers(nodes: DataFrame, edges: DataFrame, first: int) -> DataFrame:
+    """node, layer of ``nodes``, counted from ``first``, in one task; nodes without an edge are in layer ``first`` and stay distributed."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    ends = edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
+    alone = nodes.join(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(first))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after, waits, kinds = defaultdict(list), defaultdict(int), None
+        for batch in batches:
+            kinds = batch.schema.field(0).type
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                after[a].append(b)
+                waits[b] += 1
+        layer, found = first, {n: -1 for n in (*after, *waits)}
+        free = [n for n in after if n not in waits]
+        while free:
+            found |= dict.fromkeys(free, layer)
+            layer, behind = layer + 1, []
+            for n in free:
+                for b in after.get(n, ()):
+                    waits[b] -= 1
+                    if not waits[b]:
+                        behind.append(b)
+            free = behind
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), kinds), pa.array(list(found.values()), pa.int32())], ["node", "layer"])
+
+    return alone.unionByName(ends.repartition(1).mapInArrow(walk, f"node {kind}, layer int"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, fan_in, fan_out: distinct neighbours on either side."""
     e = distinct_edges(edges)

@@ -74,7 +74,7 @@ RELATIONS: dict[str, str] = {
     "cyclic_edges": """
         SELECT DISTINCT a.l_suppkey % 1000 AS src, b.l_suppkey % 1000 AS dst
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-        WHERE a.l_suppkey % 1000 <> b.l_suppkey % 1000 AND a.l_quantity >= 47 AND b.l_quantity >= 47 AND a.l_orderkey < 15000""",
+        WHERE a.l_suppkey % 1000 <> b.l_suppkey % 1000""",
     "layered_edges": """
         SELECT DISTINCT src, dst FROM cyclic_edges WHERE src < dst""",
     "requirements": """

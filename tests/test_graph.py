@@ -51,3 +51,44 @@ def test_components_partition_random_graphs(spark, seed):
     nodes = {x for e in edges for x in e}
     expect = {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
     assert dict(rows(graph.strong_components(spark.createDataFrame(edges, EDGES)))) == expect
+
+
+def test_graph_queries_take_every_lineitem(spark, tmp_path):
+    from lodemap.plans import catalogue
+
+    r = random.Random(1)
+    lines = [(k, n, r.randrange(40), 1.0) for k in range(14_990, 15_020) for n in range(1, 3)]  # order keys beyond 15,000, small quantities
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(a[2], b[2]) for a, b in zip(lines[::2], lines[1::2], strict=True) if a[2] != b[2]}
+    nodes = {n for e in edges for n in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for s in reach.values():
+                if a in s:
+                    s.add(b)
+    component = {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
+    layer = dict.fromkeys({n for a, b in edges if a < b for n in (a, b)}, 0)
+    for a, b in sorted(e for e in edges if e[0] < e[1]):
+        layer[b] = max(layer[b], layer[a] + 1)
+    root = min(a for a, _ in edges)
+    length, todo = {root: 0}, [root]
+    for n in todo:
+        for a, b in sorted(edges):
+            if a == n and b not in length:
+                length[b] = length[n] + 1
+                todo.append(b)
+    got = {q: rows(catalogue.queries()[q](spark, str(tmp_path))) for q in ("graph_nodes", "scc", "cycles", "shortest_path", "topo_layers", "tree_children")}
+    assert got["graph_nodes"] == [(n,) for n in sorted(nodes)] and dict(got["scc"]) == component and dict(got["topo_layers"]) == layer
+    groups = {c: sorted(n for n in nodes if component[n] == c) for c in set(component.values())}
+    assert got["cycles"] == sorted((c, len(g), ",".join(map(str, g))) for c, g in groups.items() if len(g) > 1)
+    assert got["shortest_path"] == sorted((root, b, length.get(b, -1)) for b in {b for _, b in edges})
+    assert got["tree_children"] == sorted((a, b, k) for a in nodes for k, b in enumerate(sorted(d for s, d in edges if s == a), 1) if k <= 3)
+
+
+def test_layers_agree_level_by_level_and_in_one_task(spark, monkeypatch):
+    r = random.Random(3)
+    e = spark.createDataFrame([(r.randrange(30), r.randrange(30)) for _ in range(25)], EDGES)
+    whole = rows(graph.topological_layers(e))
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert rows(graph.topological_layers(e)) == whole
