@@ -28,16 +28,35 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.withColumn("n_chars", length).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the keys by which the operators tell rows apart."""
+    return docs.select("*", F.col("doc_id").cast("bigint").alias("_doc_id"), F.xxhash64("text").alias("_text_key"))
+
+
+def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of keyed ``docs`` with doc_id and text_key of ``keys``."""
+    keys = keys.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"))
+    return docs.join(keys, docs["_doc_id"].eqNullSafe(keys["_of_id"]) & (docs["_text_key"] == keys["_of_key"]), how)
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of smallest id of each component of near-duplicates."""
-    gone = setsketch.near_duplicates(docs, PERCENT).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each component of near-duplicates: smallest id (null last), text key and columns; rows without words stay."""
+    groups = storage.written(setsketch.grouped(docs, PERCENT).where("pick is not null").select("doc_id", "text_key", "pick"), "near-groups")
+    first = F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & (F.col("text_key") == F.col("pick.text_key"))
+    gone = groups.where(~first).select("doc_id", "text_key").distinct()
+    twice = storage.written(groups.where(first).groupBy("doc_id", "text_key").count().where("count > 1").drop("count"), "repeated-rows")
+    keyed = _keyed(docs)
+    rest = _joined(keyed, gone.union(twice), "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return rest
+    again = _joined(keyed, twice, "left_semi").groupBy("_doc_id", "_text_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rest.unionByName(again.select("_row.*"))
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    hit = winnow.decontaminate(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """Rows that hold no window of a benchmark item."""
+    hit = winnow.scored(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_key").distinct()
+    return _joined(_keyed(docs), hit, "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,9 +290,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     with nothing and kept. A null doc_id is kept only if its component has no other. Repeated rows share a component.
     Other columns are ignored.
     """
+    out = grouped(docs, percent, size)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def grouped(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, pick: each row with the doc_id and text_key that stand for its component.
+
+    The pick has the smallest doc_id (null last), then the smallest text_key; texts without words have none.
+    """
     table = written(sketches(docs, size), "sketches")
     filled = table.where("n_shingles > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").alias("rep_id"), F.col("text_key").alias("rep_key"))).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").alias("rep_id"), F.col("text_key").alias("rep_key"))).alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("pick"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     reps = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     bands = written(_bands(reps), "bands")
@@ -334,9 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     links = links.unionByName(written(_verified(rest, texts_of(rest), percent, size), "links"))
     roots = written(connected_components(links), "roots")
 
-    named = reps.select("cid", "digest", "first").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id")
-    out = table.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = reps.select("cid", "digest", "first", "pick").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min("pick").alias("pick"))
+    named = named.drop("pick").join(least, "root").select("digest", "component_id", "pick")
+    return table.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left").drop("digest")

@@ -177,6 +177,11 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     One row per input row; rows with equal doc_id but other texts stay apart. Null texts and items without words hit
     nothing; other columns are ignored.
     """
+    return scored(docs, items).drop("text_key")
+
+
+def scored(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``decontaminate`` with the text_key of each row behind its doc_id."""
     marks = written(benchmark_marks(items), "benchmark-marks")
     short = sorted(r["size"] for r in marks.where(F.col("size") < WINDOW).select("size").distinct().collect())
     scanned = written(document_marks(docs, membership(marks), short), "document-marks")
@@ -200,7 +205,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = F.coalesce("found", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
+        "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"),
         F.sha2(F.array_join(found, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), found.alias("items"),
     )
 

@@ -35,3 +35,28 @@ def test_each_stage_keeps_what_it_should(stages):
     rows = list(lines[["doc_id", "text"]].itertuples(index=False, name=None))
     assert set(near.doc_id) == {d for d, _, _, kept in components(rows, corpus_pipeline.PERCENT) if kept} | {d for d, t in rows if not (t or "").split()}
     assert set(packed.doc_id) == set(clean.doc_id)
+
+
+def test_rows_go_by_id_and_text(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    prose = lambda n=60: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    a, b, c, d, e, f, g = (prose() for _ in range(7))
+    rows = [(1, a), (None, near(a)), (None, b), (None, ""), (None, None), (None, ""), (5, c), (5, near(a)), (5, d)]
+    rows += [(7, e), (7, e), (7, e), (None, f), (None, near(f)), (None, f), (9, near(g)), (9, g)]
+    data = [(i, t, lang, "s", len(t or "")) for (i, t), lang in zip(rows, "abcdefghijklmnopqr", strict=False)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    got = [(x["doc_id"], x["text"]) for x in out]
+    for row in [(1, a), (None, b), (None, None), (5, c), (5, d), (7, e)]:
+        assert got.count(row) == 1
+    assert got.count((None, "")) == 2 and (None, near(a)) not in got and (5, near(a)) not in got
+    assert got.count((None, f)) + got.count((None, near(f))) == 1 and got.count((9, g)) + got.count((9, near(g))) == 1
+    assert len(got) == 10 and [x["lang"] for x in out if x["doc_id"] == 7] == ["j"]
+
+    spark.createDataFrame([(1, " ".join(a.split()[10:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.reject_contaminated(spark, docs, str(tmp_path)).collect()
+    want = [x for x in rows if x[1] not in (a, near(a))]
+    assert sorted(map(str, ((x["doc_id"], x["text"]) for x in clean))) == sorted(map(str, want))
