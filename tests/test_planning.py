@@ -40,3 +40,36 @@ def test_freshness(spark):
     df = spark.createDataFrame([("graph", "2024-01-01 00:00:00"), ("graph", "2024-01-02 00:00:00"), ("old", "2023-12-01 00:00:00")], "what string, ts string")
     out = checks.freshness(df, F.lit("2024-01-02 12:00:00").cast("timestamp"), F.lit(24.0))
     assert {r["what"]: r["stale"] for r in out.collect()} == {"graph": False, "old": True}
+
+
+def test_register_and_outcomes_are_whole(spark, tmp_path):
+    from lodemap.plans import catalogue
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    table("part", [(k, "Brand#1", "SMALL", 5, 10.0, f"part {k}") for k in range(1, 7)], "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double, p_name string")
+    walk = [1, 2, 3, 1, 4, 5, 6]  # 1, 2 and 3 are a cycle; 4, 5 and 6 hang behind it
+    table("lineitem", [(7, n, k, "A") for n, k in enumerate(walk)], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string")
+    events = [(k, u, t, 1.0) for k, (u, t) in enumerate([(u, t) for t in ("click", "error", "view") for u in range(10)])]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 3600))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+
+    register = catalogue.queries()["risk_register"](spark, str(tmp_path)).collect()
+    assert [(r["subject"], r["metric"], r["level"]) for r in register if r["kind"] == "cycle"] == [("src/Brand#1/p1.js", 3.0, "MEDIUM")]
+    assert {r["kind"] for r in register} == {"hotspot", "interface", "cycle", "churn"}
+
+    def verdict(k, user, kind):
+        code = user % 3
+        if k % 5 == 0:
+            return "PASS" if code == 2 else "FAIL"
+        if k % 5 == 1:
+            return "PASS" if kind == "click" else "FAIL"
+        if code:
+            return "FAIL"
+        if k % 5 == 4:
+            return "INCONCLUSIVE"  # the output is empty whatever the event
+        return "FAIL" if kind == "error" else "PASS"
+
+    got = dict(map(tuple, catalogue.queries()["evaluate_outcomes"](spark, str(tmp_path)).collect()))
+    assert got == {k: verdict(k, u, t) for k, u, t, _ in events}
