@@ -22,8 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates; n_chars follows the text."""
-    out = linetree.dedup_lines(docs)
+    """Documents without the lines of templates met in two documents or more, short lines too; n_chars follows the text."""
+    out = linetree.dedup_lines(docs, min_docs=2, short=True)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).select(*docs.columns)
 

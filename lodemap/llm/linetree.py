@@ -6,7 +6,7 @@ digit is a variable. In a leaf that lines of ``DOCS`` documents reach, a token i
 whose constants make up ``SHARE`` of its tokens, and ``FEWEST`` at least, has that template; any other line is its own
 template, digits apart.
 A template met in ``DOCS`` documents or more is recurring: its lines are dropped from all documents but the first, so
-what a group of copies says is not lost with the copies. Lines of fewer than ``LEAD`` tokens say too little and are never dropped.
+what a group of copies says is not lost with the copies. Lines of fewer than ``LEAD`` tokens are looked at only if ``short`` is set.
 """
 
 from __future__ import annotations
@@ -33,20 +33,23 @@ def _plain() -> Column:
     return F.trim(F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
 
 
-def _lines(docs: DataFrame, lead: int) -> DataFrame:
-    """doc, key, n_line, line (single-spaced), leaf (tokens counted, the leading ones with digits masked) of lines of ``lead`` tokens."""
+def _lines(docs: DataFrame, lead: int, short: bool) -> DataFrame:
+    """doc, key, n_line, line (single-spaced), leaf (tokens counted, the leading ones with digits masked) of lines of ``lead`` tokens.
+
+    With ``short``, lines of fewer tokens too, blank ones apart: their leaf holds their one template.
+    """
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("doc"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("n_line", "line"))
     made = source.withColumn("line", _plain())
     tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    made = made.withColumn("n", tokens).where(F.col("n") >= lead)
+    made = made.withColumn("n", tokens).where(F.col("line") != "" if short else F.col("n") >= lead)
     leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), _masked(F.substring_index("line", " ", lead))).cast("binary")))
     return made.select("doc", "key", "n_line", "line", leaf.alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, support: float = SUPPORT, share: float = SHARE, short: bool = False) -> DataFrame:
     """doc, key, n_line of the lines to drop, and their template."""
     who = F.struct("doc", "key")
-    lines = _lines(docs, lead)
+    lines = _lines(docs, lead, short)
     busy = lines.select("leaf", "doc", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     shared = lines.join(busy, "leaf").select("leaf", "doc", "key", "n_line", F.split(_masked(F.col("line")), " ").alias("tokens"))
     shared = written(shared, "shared-lines")
