@@ -60,13 +60,3 @@ def test_rows_go_by_id_and_text(spark, tmp_path):
     clean = corpus_pipeline.reject_contaminated(spark, docs, str(tmp_path)).collect()
     want = [x for x in rows if x[1] not in (a, near(a))]
     assert sorted(map(str, ((x["doc_id"], x["text"]) for x in clean))) == sorted(map(str, want))
-
-
-def test_lines_of_two_documents_and_short_lines(spark):
-    passage = "a long passage that two documents share and no third one has"
-    texts = [f"{passage}\nRead more\n\nalone", f"other words\n{passage}\n\nRead more", "全文を読む\nfirst of its kind", "全文を読む\n\n", "page 3", "page 4", "x y\nx y", None, ""]
-    data = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_recurring_lines(spark, docs, "").collect()}
-    want = {k: (t, len(t or "")) for k, t in enumerate(texts)} | {1: ("other words\n", 12), 3: ("\n", 1), 5: ("", 0)}
-    assert got == want
