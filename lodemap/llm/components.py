@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, root (the smallest node reachable) of every node in ``edges`` (a, b: long); loops and repeats are allowed.
 
     Each round is a minimum per node (combined before the shuffle) and a join, so a hub of any degree is split over
-    tasks. Edges stay distributed; only their number and checksum reach the driver.
+    tasks. Edges stay distributed; only their number and checksum reach the driver. Stars that move after ``most_rounds`` raise an error.
     """
     cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mark = None
@@ -28,5 +28,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     roots = cur.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

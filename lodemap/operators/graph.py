@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import staged
 
-DEPTH_CAP = 1000
 FEW = 500_000  # edges that one task orders in memory
 
 
@@ -31,7 +31,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None)
     edges = staged(distinct_edges(edges), "edges")
     seen = staged(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "seen")
     frontier = seen
-    for depth in range(1, (max_depth if max_depth is not None else DEPTH_CAP) + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         frontier = staged(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
@@ -78,7 +78,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     goals = staged(pairs.select("src", "dst").distinct(), "goals")
     seen = staged(goals.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path")), "seen")
     frontier = seen
-    for depth in range(1, DEPTH_CAP + 1):
+    for depth in count(1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("root", "node").agg(F.min("path").alias("path")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
         frontier = staged(step.select("root", "node", F.lit(depth).alias("depth"), "path"), "frontier")
@@ -159,7 +159,7 @@ def topological_layers(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     edges = staged(given.where("src <> dst"), "edges")
     every = staged((every.union(nodes.select("node")) if nodes is not None else every).distinct(), "nodes")
     left, live, layers = every, edges, []
-    for layer in range(DEPTH_CAP):
+    for layer in count():
         if live.count() <= FEW:
             layers.append(_few_layers(left, live, layer))
             left = left.limit(0)

@@ -332,3 +332,12 @@ def test_repeated_chunks(spark, corpus, rows):
     assert len(out) == len(rows) and got[0]["n_removed"] == 0 and got[1]["n_removed"] == got[1]["n_bytes"] and got[12]["n_removed"] == 1
     assert got[8]["n_removed"] > 100 and got[13]["n_removed"] == 0 and got[3]["n_chunks"] == 0
     assert gearcdc.repeated_chunks(empty(corpus)).count() == 0
+
+
+def test_unsettled_components_raise(spark):
+    from lodemap.llm.components import connected_components
+
+    e = spark.createDataFrame([(k, k + 1) for k in range(5)], "a long, b long")
+    assert sorted(map(tuple, connected_components(e).collect())) == [(k, 0) for k in range(6)]
+    with pytest.raises(RuntimeError):
+        connected_components(e, 1)

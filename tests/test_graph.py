@@ -92,3 +92,12 @@ def test_layers_agree_level_by_level_and_in_one_task(spark, monkeypatch):
     whole = rows(graph.topological_layers(e))
     monkeypatch.setattr(graph, "FEW", 0)
     assert rows(graph.topological_layers(e)) == whole
+
+
+def test_walks_have_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DEPTH_CAP", 2, raising=False)
+    monkeypatch.setattr(graph, "FEW", 0)
+    e = spark.createDataFrame([(k, k + 1) for k in range(5)], EDGES)
+    assert rows(graph.topological_layers(e)) == [(k, k) for k in range(6)]
+    assert rows(graph.shortest_paths(e, spark.createDataFrame([(0, 5)], EDGES))) == [(0, 5, 5, [0, 1, 2, 3, 4, 5])]
+    assert rows(graph.reachable(e, spark.createDataFrame([(0,)], "root long"))) == [(0, k, k) for k in range(6)]
