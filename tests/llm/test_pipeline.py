@@ -30,7 +30,7 @@ def test_each_stage_keeps_what_it_should(stages):
     toxic = {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{FOLDER}/labels.parquet' WHERE toxic = 0").fetchall()}
     assert len(toxic & set(tox.doc_id)) >= 0.9 * len(toxic)
     assert set(lines.doc_id) == set(tox.doc_id) and set(near.doc_id) <= set(lines.doc_id) and set(clean.doc_id) <= set(near.doc_id)
-    from test_operators import components
+    from test_corpus_operators import components
 
     rows = list(lines[["doc_id", "text"]].itertuples(index=False, name=None))
     assert set(near.doc_id) == {d for d, _, _, kept in components(rows, corpus_pipeline.PERCENT) if kept} | {d for d, t in rows if not (t or "").split()}
