@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -23,7 +23,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = written(large.distinct(), "large-stars")
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        cur = written(small.where("a <> b").distinct(), "small-stars")
+        last, cur = cur, written(small.where("a <> b").distinct(), "small-stars")
+        discard(last)
+        discard(large)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, tuple[SparkSession, str]] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset (tests), a local one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset, one of our own, for a local master only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodemap-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -37,4 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_drop, *_roots[shared])
     path = f"{_roots[shared][1]}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote and nothing reads any more."""
+    ref, path = _paths.pop(id(df), (None, ""))
+    if ref is not None and ref() is df:
+        _drop(df.sparkSession, path)
