@@ -6,16 +6,15 @@ the block budget or, beyond it, the longest single document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, np.uint64)
-_unpowers = np.ones(1, np.uint64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_LONG_WORD = 256  # longer spans are hashed one by one
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -55,39 +54,70 @@ def blocks(offsets: np.ndarray, budget: int = 1 << 20) -> Iterator[tuple[int, in
         i = j
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _unpowers
-    if len(_powers) < n + 1:
-        size = max(n + 1, 1 << 20)
-        for name, base in (("_powers", _BASE), ("_unpowers", _UNBASE)):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            globals()[name] = np.multiply.accumulate(t)
-    return _powers, _unpowers
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number (zeros behind the end); of length len(data) + 1."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H[i]: polynomial hash (mod 2^64) of the first i bytes; of length len(data)+1."""
-    up, _ = _power_tables(len(data))
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=h[1:])
+def _chunks(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes of each span, those behind its end cleared."""
+    return wide[at] & np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (np.minimum(left, 8) << 3).astype(np.uint64))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans [start, end): eight bytes at a time are mixed in; long spans by a digest."""
+    wide, n = eight_bytes(data), end - start
+    h = mix64(n.astype(np.uint64) + np.uint64(int(_SEED) * (seed + 1) & (1 << 64) - 1))
+    who = np.flatnonzero((n > 0) & (n <= _LONG_WORD))
+    at, left = start[who], n[who]
+    while len(who):
+        h[who] = mix64((h[who] ^ _chunks(wide, at, left)) + _SEED)
+        on = left > 8
+        who, at, left = who[on], at[on] + 8, left[on] - 8
+    for k in np.flatnonzero(n > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(2, "little")).digest()
+        h[k] = np.frombuffer(digest, "<u8")[0]
     return h
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), equal for equal spans wherever they stand."""
-    _, down = _power_tables(len(h))
-    return mix64((h[end] - h[start]) * down[start])
+def equal_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span equals, byte for byte, the one whose index ``other`` gives."""
+    wide, n = eight_bytes(data), end - start
+    same = n == n[other]
+    who = np.flatnonzero(same & (other != np.arange(len(n))))
+    a, b, left = start[who], start[other[who]], n[who]
+    while len(who):
+        differ = _chunks(wide, a, left) != _chunks(wide, b, left)
+        same[who[differ]] = False
+        on = ~differ & (left > 8)
+        who, a, b, left = who[on], a[on] + 8, b[on] + 8, left[on] - 8
+    return same
+
+
+def span_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first span of each value, number of each span's value): numbers are equal exactly if the bytes are equal."""
+    _, first, back = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
+    if not equal_spans(data, start, end, first[back]).all():  # a collision: tell them apart by value
+        seen: dict[bytes, int] = {}
+        back = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        first = np.unique(back, return_index=True)[1]
+    return first, back
 
 
 def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k bytes from each position; of length len(data)-k+1 (none if shorter)."""
+    """Hashes of the k bytes (a multiple of 8) from each position; of length len(data)-k+1 (none if shorter)."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = prefix_hash(data)
-    _, down = _power_tables(len(h))
-    return mix64((h[k:] - h[:-k]) * down[:n])
+    wide = eight_bytes(data)
+    h = mix64(wide[:n] + _SEED)
+    for at in range(8, k, 8):
+        h ^= wide[at : at + n]
+        h += _SEED
+        h = mix64(h)
+    return h
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

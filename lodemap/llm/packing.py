@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import prefix_hash, rows_of, span_hash
+from .kernels import rows_of, span_ids
 from .storage import written
 
 CAPACITY = 2048
 SALTS = 256
-CACHED_UNITS = 1_000_000  # in each worker; beyond it the cache starts afresh
+CACHED_UNITS = 200_000  # in each worker; beyond it the cache starts afresh
 
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _FOREIGN = range(5)
@@ -71,7 +71,7 @@ class _Encoder:
         self.model = self.encoder.model
         self.letters = _byte_letters()
         self.table = _classes()
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # by the unit itself
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         made = (e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False))
@@ -121,14 +121,14 @@ class _Encoder:
         if foreign.any():
             keep = ~foreign[np.searchsorted(offs, start, "right") - 1]
             start, end = start[keep], end[keep]
-        seen, first, back = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        first, back = span_ids(data, start, end)
         if len(self.known) > CACHED_UNITS:
             self.known.clear()
-        known, keys = self.known, seen.tolist()
-        if new := [k for k, h in enumerate(keys) if h not in known]:
-            texts = [bytes(data[start[first[k]] : end[first[k]]]).decode() for k in new]
-            known.update(zip([keys[k] for k in new], self._unit_ids(texts), strict=True))
-        each = [known[h] for h in keys]
+        raw, known = data.tobytes(), self.known
+        units = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        if new := [u for u in units if u not in known]:
+            known.update(zip(new, self._unit_ids([u.decode() for u in new]), strict=True))
+        each = [known[u] for u in units]
         sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
         ids = np.frombuffer(b"".join(each), "<u4")
         base = np.cumsum(sizes) - sizes
@@ -160,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         for batch in batches:
             out: list[tuple] = []
             docs = batch.column(0).to_pylist()
-            for i, j, data, offs in rows_of(batch, "text", 4 << 20):
+            for i, j, data, offs in rows_of(batch, "text"):
                 for doc, ids in zip(docs[i:j], encoder.encode(data, offs), strict=True):
                     raw = ids.tobytes() + end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .kernels import arrow_bytes, lower_ascii_table, mix64, prefix_hash, rows_of, span_hash, word_grams, word_spans
+from .kernels import arrow_bytes, blocks, lower_ascii_table, mix64, rows_of, span_hash, span_ids, word_grams, word_spans
 from .storage import written
 
 REGISTERS, BASE, ROWS = 256, 1.2, 6
@@ -35,29 +35,58 @@ _FLAG = np.ones(256, bool)
 _FLAG[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each text's distinct shingles, sorted; a text of fewer words is one shingle, without words none."""
+def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, another hash) of each text's distinct shingles, sorted; a text of fewer words is one shingle, without words none."""
+    low = _LOWER[data]
     start, end = word_spans(_FLAG[data], offs)
-    words = span_hash(prefix_hash(_LOWER[data]), start, end)
     row = np.searchsorted(offs, start, "right") - 1
     counts = np.bincount(row, minlength=len(offs) - 1)
-    grams = word_grams(words, size)
-    same = row[: len(grams)] == row[size - 1 : size - 1 + len(grams)]
-    parts, rows = [grams[same]], [row[: len(grams)][same]]
     first = np.cumsum(counts) - counts
-    for n in set(counts[(counts > 0) & (counts < size)].tolist()):
-        own = np.flatnonzero(counts == n)
-        g = np.zeros(len(own), np.uint64)
-        for k in range(n):
-            g = mix64(g + words[first[own] + k] + np.uint64(n))
-        parts.append(g)
-        rows.append(own)
-    h, r = np.concatenate(parts), np.concatenate(rows)
+    same = row[: max(0, len(row) - size + 1)] == row[size - 1 :]
+    rows, hashes = [row[: len(same)][same]], []
+    for seed in (0, 1):
+        words = span_hash(low, start, end, seed)
+        parts = [word_grams(words, size)[same]]
+        for n in set(counts[(counts > 0) & (counts < size)].tolist()):
+            own = np.flatnonzero(counts == n)
+            g = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                g = mix64(g + words[first[own] + k] + np.uint64(n))
+            parts.append(g)
+            if seed == 0:
+                rows.append(own)
+        hashes.append(np.concatenate(parts))
+    r, (h, h2) = np.concatenate(rows), hashes
     order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+    r, h, h2 = r[order], h[order], h2[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return r[keep], h[keep]
+    return r[keep], h[keep], h2[keep]
+
+
+def exact_shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of each text's distinct shingles, sorted; numbers are equal exactly if the words are."""
+    start, end = word_spans(_FLAG[data], offs)
+    _, words = span_ids(_LOWER[data], start, end)
+    row = np.searchsorted(offs, start, "right") - 1
+    counts = np.bincount(row, minlength=len(offs) - 1)
+    first = np.cumsum(counts) - counts
+    same = row[: max(0, len(row) - size + 1)] == row[size - 1 :]
+    bits = int(words.max()).bit_length() if len(words) else 1
+    key, width = words[: len(same)], bits
+    for k in range(1, size):
+        if width + bits > 62:
+            key = np.unique(key, return_inverse=True)[1]
+            width = int(key.max()).bit_length() if len(key) else 1
+        key, width = key << bits | words[k : k + len(same)], width + bits
+    number = np.unique(key[same], return_inverse=True)[1]
+    short: dict[tuple[int, ...], int] = {}
+    own = np.flatnonzero((counts > 0) & (counts < size))
+    few = [short.setdefault(tuple(words[f : f + n].tolist()), len(number) + len(short)) for f, n in zip(first[own].tolist(), counts[own].tolist(), strict=True)]
+    rows, numbers = np.concatenate([row[: len(same)][same], own]), np.concatenate([number, np.array(few, np.int64)])
+    most = len(number) + len(short) + 1
+    both = np.unique(rows * most + numbers)
+    return both // most, both % most
 
 
 def registers(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -120,12 +149,12 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, regs = [], [], []
-            for i, j, data, offs in rows_of(batch, "text", 4 << 20):
-                row, h = shingle_sets(data, offs, size)
+            for i, j, data, offs in rows_of(batch, "text"):
+                row, h, h2 = shingle_sets(data, offs, size)
                 n = np.bincount(row, minlength=j - i)
                 edge = np.concatenate([[0], np.cumsum(n)])
-                raw = h.tobytes()
-                digests += [hashlib.blake2b(raw[8 * edge[k] : 8 * edge[k + 1]], digest_size=16).digest() for k in range(j - i)]
+                raw = np.stack([h, h2], axis=1).tobytes()
+                digests += [hashlib.blake2b(raw[16 * edge[k] : 16 * edge[k + 1]], digest_size=16).digest() for k in range(j - i)]
                 counts.append(n)
                 regs += [x.tobytes() for x in registers(row, h, j - i)]
             made = [pa.array(np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())]
@@ -163,28 +192,25 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b of the pairs whose full sets meet the bound."""
+    """a, b of the pairs whose full sets of words, compared by value, meet the bound."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = []
-                for c in (2, 3):
-                    own: list[np.ndarray] = []
-                    only = pa.RecordBatch.from_arrays([part.column(c)], ["text"])
-                    for i, j, data, offs in rows_of(only, "text", 4 << 20):
-                        row, h = shingle_sets(data, offs, size)
-                        edge = np.searchsorted(row, np.arange(j - i + 1))
-                        own += [h[edge[k] : edge[k + 1]] for k in range(j - i)]
-                    sets.append(own)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                m = part.num_rows
+                order = pa.array(np.arange(2 * m).reshape(2, m).T.ravel())
+                data, offs = arrow_bytes(pa.concat_arrays([part.column(2), part.column(3)]).take(order))
                 on = []
-                for x, y in zip(*sets, strict=True):
-                    z = np.concatenate([x, y])
-                    z.sort()
-                    common = int((z[1:] == z[:-1]).sum())
-                    on.append(100 * common >= percent * (len(x) + len(y) - common))
-                mask = pa.array(on, pa.bool_())
+                for i, j in blocks(offs[::2]):  # pairs side by side
+                    edge = offs[2 * i : 2 * j + 1]
+                    row, number = exact_shingles(data[edge[0] : edge[-1]], edge - edge[0], size)
+                    n = np.bincount(row, minlength=2 * (j - i)).reshape(-1, 2)
+                    both = np.sort((row >> 1) * (int(number.max(initial=0)) + 1) + number)
+                    met = both[1:][both[1:] == both[:-1]] // (int(number.max(initial=0)) + 1)
+                    common = np.bincount(met, minlength=j - i)
+                    on.append(100 * common >= percent * (n.sum(axis=1) - common))
+                mask = pa.array(np.concatenate([*on, np.zeros(0, bool)]))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
@@ -198,8 +224,8 @@ def _set_rows(texts: DataFrame, size: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: list[bytes] = []
-            for i, j, data, offs in rows_of(batch, "text", 4 << 20):
-                row, h = shingle_sets(data, offs, size)
+            for i, j, data, offs in rows_of(batch, "text"):
+                row, h, _ = shingle_sets(data, offs, size)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 sets += [h[edge[k] : edge[k + 1]].tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "set"])
@@ -226,6 +252,21 @@ def _blocked(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return u, a.toDF("band_", "i_", "j_", *[f"{c}_" for c in kept])
 
 
+def _worth(n: int, regs: np.ndarray, root: int, sizes: np.ndarray, others: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the members of other components whose estimated similarity to one member is not clearly below the bound."""
+    on = (roots != root) & (np.maximum(sizes, n) * percent <= np.minimum(sizes, n) * 100)
+    on &= (others == regs).sum(axis=1) >= int((percent / 100 - 2 * MARGIN) * REGISTERS)
+    at = np.flatnonzero(on)
+    if not len(at):
+        return at
+    likely = estimate(np.repeat(regs[None, :], len(at), axis=0), others[at], np.full(len(at), n), sizes[at]) >= percent / 100 - MARGIN
+    return at[likely]
+
+
+def _columns(table: pa.Table, *names: str) -> list[pa.Array]:
+    return [table.column(c).combine_chunks() for c in names]
+
+
 def _left_over(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of different components in small mixed buckets that may be linked."""
     u, a = _blocked(mixed.where(F.col("na") <= SMALL).join(reps.select("cid", "n_shingles", "regs"), "cid"), "n_shingles", "regs")
@@ -233,49 +274,40 @@ def _left_over(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found_a, found_b = [], []
         if left.num_rows and right.num_rows:
-            get = lambda t, c: t.column(c).combine_chunks()
-            ids, roots_, sizes_, regs = *(get(right, x).to_numpy() for x in ("cid_", "root_", "n_shingles_")), _matrix(get(right, "regs_"))
-            mine_ = _matrix(get(left, "regs"))
-            for k, (c, r, n) in enumerate(zip(*(get(left, x).to_pylist() for x in ("cid", "root", "n_shingles")), strict=True)):
-                on = (roots_ != r) & (np.maximum(sizes_, n) * percent <= np.minimum(sizes_, n) * 100)
-                on &= (regs == mine_[k]).sum(axis=1) >= int((percent / 100 - 2 * MARGIN) * REGISTERS)
-                at = np.flatnonzero(on)
-                if len(at):
-                    likely = estimate(np.repeat(mine_[k : k + 1], len(at), axis=0), regs[at], np.full(len(at), n), sizes_[at]) >= percent / 100 - MARGIN
-                    for o in ids[at[likely]].tolist():
-                        found_a.append(min(c, o))
-                        found_b.append(max(c, o))
+            ids, roots_, sizes_ = (x.to_numpy() for x in _columns(right, "cid_", "root_", "n_shingles_"))
+            mine, others = (_matrix(_columns(t, c)[0]) for t, c in ((left, "regs"), (right, "regs_")))
+            for k, (c, r, n) in enumerate(zip(*(x.to_pylist() for x in _columns(left, "cid", "root", "n_shingles")), strict=True)):
+                for o in ids[_worth(n, mine[k], r, sizes_, others, roots_, percent)].tolist():
+                    found_a.append(min(c, o))
+                    found_b.append(max(c, o))
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return u.groupBy("band", "i", "j").cogroup(a.groupBy("band_", "i_", "j_")).applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _crowded_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between components in larger mixed buckets, verified on the full sets within each block.
+def _crowded_links(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: likely links between components in larger mixed buckets, by the same estimate, then by the hashes of full sets within each block.
 
     A block reports one link for each pair of components that it joins, so what comes out follows the members and not
     their pairs.
     """
-    u, a = _blocked(mixed.join(sets, "cid"), "set")
+    u, a = _blocked(mixed.join(reps.select("cid", "n_shingles", "regs"), "cid").join(sets, "cid"), "n_shingles", "regs", "set")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[tuple[int, int], tuple[int, int]] = {}
         if left.num_rows and right.num_rows:
-            get = lambda t, c: t.column(c).combine_chunks()
-            ids, roots_ = get(right, "cid_").to_numpy(), get(right, "root_").to_numpy()
-            data, offs = arrow_bytes(get(right, "set_"))
-            n = np.diff(offs) >> 3
-            h = np.frombuffer(data.tobytes(), np.uint64)
-            order = np.argsort(h, kind="stable")
-            h, owner = h[order], np.repeat(np.arange(len(ids)), n)[order]
-            for c, r, raw in zip(get(left, "cid").to_pylist(), get(left, "root").to_pylist(), get(left, "set"), strict=True):
-                x = np.frombuffer(raw.as_py(), np.uint64)
-                lo, hi = np.searchsorted(h, x, "left"), np.searchsorted(h, x, "right")
-                long = hi - lo
-                at = np.repeat(lo - (np.cumsum(long) - long), long) + np.arange(long.sum())
-                common = np.bincount(owner[at], minlength=len(ids))
-                for k in np.flatnonzero((roots_ != r) & (100 * common >= percent * (len(x) + n - common))).tolist():
-                    found.setdefault((min(r, int(roots_[k])), max(r, int(roots_[k]))), (c, int(ids[k])))
+            ids, roots_, sizes_ = (x.to_numpy() for x in _columns(right, "cid_", "root_", "n_shingles_"))
+            mine, others = (_matrix(_columns(t, c)[0]) for t, c in ((left, "regs"), (right, "regs_")))
+            (theirs,) = _columns(right, "set_")
+            for k, (c, r, n, raw) in enumerate(zip(*(x.to_pylist() for x in _columns(left, "cid", "root", "n_shingles")), left.column("set"), strict=True)):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                for o in _worth(n, mine[k], r, sizes_, others, roots_, percent).tolist():
+                    pair = (min(r, int(roots_[o])), max(r, int(roots_[o])))
+                    if pair not in found:
+                        y = np.frombuffer(theirs[o].as_buffer(), np.uint64)
+                        common = int(np.isin(x, y, assume_unique=True).sum())
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            found[pair] = (c, int(ids[o]))
         cols = list(zip(*found.values(), strict=True)) or [(), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
@@ -337,7 +369,8 @@ def grouped(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFram
     crowded = mixed.where(F.col("na") > SMALL)
     wanted = crowded.select("cid").distinct()
     sets = written(_set_rows(texts_of(wanted.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), size), "sets")
-    links = links.unionByName(written(_crowded_links(crowded, sets, percent), "links"))
+    dense = written(_crowded_links(crowded, reps, sets, percent), "crowded-links")
+    links = links.unionByName(written(_verified(dense, texts_of(dense), percent, size), "links"))
     roots = written(connected_components(links), "roots")
     few = _left_over(mixed, reps, percent).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = cross(few)

@@ -6,10 +6,11 @@ earlier give the longest earlier match of each place.
 At scale, suffixes are dealt out by content. Of every window of ``LENGTH`` bytes, the smallest hash of ``GRAM`` bytes
 is its anchor, so equal windows have the same anchor at the same distance. A run is the stretch of windows of one
 anchor. Runs of equal text meet at their anchor's hash: all but the first repeat whole. Where an anchor has runs of
-different texts, their suffixes, cut at LENGTH bytes, are sorted; ties stand in order of place, so the previous smaller
-place of a suffix is its neighbour, and its factor reaches LENGTH exactly if the neighbour is equal. Runs of an anchor
-with more than ``GROUP`` texts are dealt out window by window (a window then stands by its 128-bit digest), so no
-group outgrows a task. Matches never cross documents.
+different texts, their suffixes, cut at LENGTH bytes, are put in suffix order; the previous and next smaller places
+and the common prefixes on the way there give the longest previous factors, and a window repeats where its factor
+reaches LENGTH. Runs of an anchor with more than ``GROUP`` texts are cut into their windows and dealt out by those, to
+the same steps; a group is worked off in blocks that carry over only what has no earlier copy, so no group outgrows a
+task's memory. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import arrow_bytes, gram_hash, mix64, prefix_hash, rows_of, sliding_min, span_hash
+from .kernels import arrow_bytes, equal_spans, gram_hash, mix64, rows_of, sliding_min, span_hash
 from .storage import written
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
-GROUP = 2000
-SEGMENT = 8 << 20  # a longer text is read in segments; runs end at their borders
+GROUP = 2000  # texts of an anchor that are dealt out together
+BLOCK = 4096  # rows that are put in order at once
+SEGMENT = 2 << 20  # a longer text is read in segments; runs end at their borders
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -93,8 +95,7 @@ def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.append(at[1:], len(anchor))
     keep = inside[at]
     at, ends = at[keep], ends[keep]
-    h = prefix_hash(data)
-    text = mix64(span_hash(h, at, ends - 1 + LENGTH) + (anchor[at] - at).astype(np.uint64))
+    text = mix64(span_hash(data, at, ends - 1 + LENGTH) + (anchor[at] - at).astype(np.uint64))
     r = row[at].astype(np.int64)
     return r, at - offs[r], ends - at, grams[anchor[at]], text
 
@@ -118,68 +119,149 @@ def _source(docs: DataFrame) -> DataFrame:
     )
 
 
+def _spread(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key that deals known repeats out evenly."""
+    return mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64))
+
+
+def _later(same: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of value and place, where ``same`` says that neighbours are equal: which are not the same place again, which stand later."""
+    once, known = np.ones(len(doc), bool), np.zeros(len(doc), bool)
+    once[1:] = ~(same & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))  # a repeated row is the same place, not a later one
+    known[1:] = same
+    return once, known
+
+
 def _scan_runs(docs: DataFrame) -> DataFrame:
-    """fp, seg, doc, at (sub, place and windows in one long), known: later equals within a block are known repeats at once."""
+    """fp, seg, doc, at (sub, place and windows in one long), known: later equals within a batch are known repeats at once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, subs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, _, data, offs in rows_of(batch, "text", 4 << 20):
+            parts = []
+            for i, _, data, offs in rows_of(batch, "text"):
                 for _, shift, part, edges in _segments(data, offs):
                     row, first, n, fp, seg = _runs(part, edges)
-                    doc = docs_[i:][row] if len(row) else np.zeros(0, np.int64)
-                    at = (subs[i:][row] << 40 if len(row) else doc) | (first + shift) << 8 | n
-                    order = np.lexsort((at, doc, seg, fp))
-                    once = np.ones(len(order), bool)  # a repeated row is the same place, not a later one
-                    once[1:] = (fp[order][1:] != fp[order][:-1]) | (seg[order][1:] != seg[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])
-                    order = order[once]
-                    doc, at, fp, seg = doc[order], at[order], fp[order], seg[order]
-                    known = np.zeros(len(doc), bool)
-                    known[1:] = (fp[1:] == fp[:-1]) & (seg[1:] == seg[:-1])
-                    fp = np.where(known, mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64)), fp)
-                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], ["fp", "seg", "doc", "at", "known"])
+                    if len(row):
+                        parts.append((fp, seg, docs_[i:][row], subs[i:][row] << 40 | (first + shift) << 8 | n))
+            if not parts:
+                continue
+            fp, seg, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((at, doc, seg, fp))
+            fp, seg, doc, at = fp[order], seg[order], doc[order], at[order]
+            once, known = _later((fp[1:] == fp[:-1]) & (seg[1:] == seg[:-1]), doc, at)
+            fp = np.where(known, _spread(doc, at), fp)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[once].view(np.int64), seg[once].view(np.int64), doc[once], at[once], known[once])], ["fp", "seg", "doc", "at", "known"])
 
     return _source(docs).mapInArrow(scan, "fp bigint, seg bigint, doc bigint, at bigint, known boolean")
 
 
+_PIECE = "key bigint, doc bigint, at bigint, body binary, known boolean"
+
+
+def _pieces(parts: list[tuple]) -> pa.RecordBatch:
+    """Runs as they are; runs of crowded anchors window by window, where later equals within a batch are known repeats."""
+    keys, docs_, ats, bodies, known = [], [], [], [], []
+    split: list[tuple] = []
+    for raw, d, runs in parts:
+        for fp, a, crowded in runs:
+            n, place = a & 255, a >> 8 & 0xFFFFFFFF
+            body = raw[place : place + n - 1 + LENGTH]
+            if crowded:
+                split.append((d, a, n, bytes(body)))
+            else:
+                keys.append(fp)
+                docs_.append(d)
+                ats.append(a)
+                bodies.append(bytes(body))
+                known.append(False)
+    if split:
+        d, a, n = (np.array(x, np.int64) for x in list(zip(*split, strict=True))[:3])
+        data = np.frombuffer(b"".join(x[3] for x in split), np.uint8)
+        size = n - 1 + LENGTH
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(np.cumsum(size) - size, n) + nth
+        doc, at = np.repeat(d, n), (np.repeat(a >> 8, n) + nth) << 8 | 1
+        key = span_hash(data, start, start + LENGTH, 3)
+        order = np.lexsort((at, doc, key))
+        start, doc, at, key = start[order], doc[order], at[order], key[order]
+        before = np.maximum(np.arange(len(key)) - 1, 0)
+        same = (key[1:] == key[:-1]) & equal_spans(data, start, start + LENGTH, before)[1:]
+        once, later = _later(same, doc, at)
+        key = np.where(later, _spread(doc, at), key).view(np.int64)
+        raw = data.tobytes()
+        keys += key[once].tolist()
+        docs_ += doc[once].tolist()
+        ats += at[once].tolist()
+        known += later[once].tolist()
+        bodies += [b"" if k else raw[s : s + LENGTH] for s, k in zip(start[once].tolist(), later[once].tolist(), strict=True)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((keys, docs_, ats, bodies, known), kinds, strict=True)], [x.split()[0] for x in _PIECE.split(", ")])
+
+
 def _cut_windows(candidates: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, doc, at, body: the text of each candidate run, or of a crowded anchor each window by its digest."""
+    """key, doc, at, body, known: the text of each candidate run, or of a crowded anchor each window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                key: list[int] = []
-                doc: list[int] = []
-                at: list[int] = []
-                body: list[bytes] = []
-                part = batch.slice(lo, 512)
-                for text, d, runs in zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    raw = memoryview(text.as_buffer())
-                    for run in runs:
-                        a, n, place = run["at"], run["at"] & 255, run["at"] >> 8 & 0xFFFFFFFF
-                        if not run["crowded"]:
-                            key.append(run["fp"])
-                            doc.append(d)
-                            at.append(a)
-                            body.append(bytes(raw[place : place + n - 1 + LENGTH]))
-                            continue
-                        for w in range(n):
-                            digest = hashlib.blake2b(raw[place + w : place + w + LENGTH], digest_size=16).digest()
-                            key.append(int.from_bytes(digest[:8], "little", signed=True))
-                            doc.append(d)
-                            at.append((a >> 8) + w << 8 | 1)
-                            body.append(digest)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(body, pa.binary())], ["key", "doc", "at", "body"])
+            parts, held = [], 0
+            for text, d, runs in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                fp, at, crowded = (runs.values.field(k).to_pylist() for k in range(3))
+                parts.append((memoryview(text.as_buffer()), d, zip(fp, at, crowded, strict=True)))
+                held += sum((a & 255) * LENGTH if c else LENGTH for a, c in zip(at, crowded, strict=True))
+                if held > 8 << 20:
+                    yield _pieces(parts)
+                    parts, held = [], 0
+            if parts:
+                yield _pieces(parts)
 
     runs = candidates.groupBy("doc", F.shiftrightunsigned("at", 40).alias("sub")).agg(F.collect_list(F.struct("fp", "at", "crowded")).alias("runs"))
     texts = _source(docs)
     joined = texts.join(runs.toDF("d", "s", "runs"), (F.col("doc") == F.col("d")) & (F.col("sub") == F.col("s")))
-    return joined.select(F.col("text").cast("binary").alias("text"), "doc", "runs").mapInArrow(cut, "key bigint, doc bigint, at bigint, body binary")
+    return joined.select(F.col("text").cast("binary").alias("text"), "doc", "runs").mapInArrow(cut, _PIECE)
 
 
-def _repeats_of(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, at) of the stretches of windows with an equal earlier window, of runs given in order of place."""
-    doc, at, data, size = (np.concatenate(c) for c in zip(*rows, strict=True))
+def _common(suffix: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each suffix (a row of bytes) with the one before it in order."""
+    out = np.zeros(len(suffix), np.int64)
+    for at in range(1, len(suffix), 1 << 16):
+        part = suffix[at - 1 : at + (1 << 16)]
+        differ = part[1:] != part[:-1]
+        out[at : at + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), suffix.shape[1])
+    return out
+
+
+def _factors_before(common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """In suffix order, the common prefix of each suffix with the nearest before it that has a smaller place (none: 0).
+
+    Every suffix points to one before it with larger places only in between; pointers that still meet a larger place
+    jump on along that one's own pointer, together with the shortest common prefix on the way.
+    """
+    near, least = np.arange(len(place)) - 1, common.copy()
+    open_ = np.flatnonzero(near >= 0)
+    open_ = open_[place[near[open_]] > place[open_]]
+    while len(open_):
+        over = near[open_]
+        least[open_] = np.minimum(least[open_], least[over])
+        near[open_] = near[over]
+        open_ = open_[near[open_] >= 0]
+        open_ = open_[place[near[open_]] > place[open_]]
+    return np.where(near >= 0, least, 0)
+
+
+def cut_factors(suffix: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Longest previous factors, up to the rows' width, of suffixes in order: with the previous and the next smaller place."""
+    common = _common(suffix)
+    before = _factors_before(common, place)
+    after = _factors_before(np.append(0, common[:0:-1]), place[::-1])[::-1]
+    return np.maximum(before, after)
+
+
+def _repeats_of(doc: np.ndarray, at: np.ndarray, data: np.ndarray, size: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, at) of the stretches of windows with an equal earlier window, of runs given in order of place; which runs repeat whole.
+
+    The first ``old`` runs were reported before.
+    """
     again = np.zeros(len(at), bool)  # of a repeated row
     again[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
     windows = np.where(again, 0, at & 255)
@@ -187,56 +269,47 @@ def _repeats_of(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndar
     total = int(windows.sum())
     run = np.repeat(np.arange(len(at)), windows)
     nth = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    # by place, so that the stable sort keeps equal suffixes in order of place
     d, p = doc[run], (at[run] >> 8) + nth
     order = np.lexsort((p, d))
-    where = (start[run] + nth)[order]
-    short = size[run][order] < LENGTH
-    padded = np.concatenate([data, np.zeros(LENGTH, np.uint8)])
-    suffix = padded[where[:, None] + np.arange(LENGTH)]
-    suffix[short, 16:] = 0
-    suffix = np.ascontiguousarray(suffix).view(f"V{LENGTH}").ravel()
-    rank = np.argsort(suffix, kind="stable")
-    equal = np.zeros(total, bool)
-    equal[1:] = (suffix[rank][1:] == suffix[rank][:-1]) & (short[rank][1:] == short[rank][:-1])
+    suffix = data[(start[run] + nth)[order][:, None] + np.arange(LENGTH)] if total else np.zeros((0, LENGTH), np.uint8)
+    rank = np.argsort(suffix.view(f"V{LENGTH}").ravel(), kind="stable")  # by place where cut suffixes are equal
     hit = np.zeros(total, bool)
-    hit[order[rank[equal]]] = True
+    hit[order[rank]] = cut_factors(suffix[rank], rank) >= LENGTH
+    whole = np.bincount(run[hit], minlength=len(at)) == windows
     opens = hit & ~np.concatenate([[False], hit[:-1] & (run[1:] == run[:-1])])
     closes = hit & ~np.concatenate([hit[1:] & (run[1:] == run[:-1]), [False]])
     o, c = np.flatnonzero(opens), np.flatnonzero(closes)
-    return doc[run[o]], (at[run[o]] >> 8) + nth[o] << 8 | nth[c] - nth[o] + 1
+    new = run[o] >= old
+    o, c = o[new], c[new]
+    return doc[run[o]], (at[run[o]] >> 8) + nth[o] << 8 | nth[c] - nth[o] + 1, whole
 
 
 def _sorted_repeats(windows: DataFrame) -> DataFrame:
-    """doc, at of repeated stretches; groups of a key come whole and in order of place, many to a block."""
+    """doc, at of repeated stretches. Rows come by key and place, many keys to a block; a key that goes on in the next block
+    takes with it the runs that have no earlier copy."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            d, a = _repeats_of(rows)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(a)], ["doc", "at"])
-
-        rows: list[tuple[np.ndarray, ...]] = []
-        held, last = 0, None
+        carry = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint8, np.int64))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc, at = (c.to_numpy() for c in batch.columns[:3])
-            data, offs = arrow_bytes(batch.column(3))
-            lo = 0
-            borders = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for b in [0, *borders] if rows and key[0] != last else borders:
-                if b < len(key) and held + b - lo < 4096:
-                    continue  # not yet a block's worth
-                if b > lo:
-                    rows.append((doc[lo:b], at[lo:b], data[offs[lo] : offs[b]], np.diff(offs[lo : b + 1])))
-                    held += b - lo
-                    lo = b
-                if b < len(key) and held >= 4096:
-                    yield flush(rows)
-                    rows, held = [], 0
-            last = key[-1]
-        if rows:
-            yield flush(rows)
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                known = part.column(4).to_numpy(zero_copy_only=False)
+                if known.any():
+                    yield pa.RecordBatch.from_arrays([c.filter(part.column(4)) for c in part.columns[1:3]], ["doc", "at"])
+                    part = part.filter(pa.array(~known))
+                    if not part.num_rows:
+                        continue
+                key, doc, at = (c.to_numpy() for c in part.columns[:3])
+                data, offs = arrow_bytes(part.column(3))
+                if len(carry[0]) and carry[0][0] == key[0]:
+                    old = len(carry[0])
+                    key, doc, at, data, size = (np.concatenate(x) for x in zip(carry, (key, doc, at, data, np.diff(offs)), strict=True))
+                else:
+                    old, size = 0, np.diff(offs)
+                d, a, whole = _repeats_of(doc, at, data, size, old)
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a)], ["doc", "at"])
+                stays = (key == key[-1]) & ~whole
+                carry = (key[stays], doc[stays], at[stays], data[np.repeat(stays, size)], size[stays])
 
     return windows.repartition("key").sortWithinPartitions("key", "doc", "at").mapInArrow(sort, "doc bigint, at bigint")
 

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .kernels import lower_ascii_table, mix64, prefix_hash, rows_of, span_hash, word_spans
+from .kernels import lower_ascii_table, mix64, rows_of, span_hash, word_spans
 
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 20.0, 1.0
@@ -31,7 +32,7 @@ def features(data: np.ndarray, offs: np.ndarray, bits: int = BITS, wanted: np.nd
     ``wanted`` (a flag for each coordinate) leaves out the others.
     """
     start, end = word_spans(_FLAG[data], offs)
-    words = span_hash(prefix_hash(_LOWER[data]), start, end)
+    words = span_hash(_LOWER[data], start, end)
     row = np.searchsorted(offs, start, "right") - 1
     grams, rows = [words], [row]
     for gap, salt in ((1, 0x51ED270B), (2, 0x7F4A7C15)):
@@ -78,7 +79,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: i
     """(coordinates, their weights, bias) learnt from at most ``rows`` labelled documents outside the held-out fifth.
 
     The sample is the rows of smallest hash, so it does not depend on order. Documents are reduced to their features
-    on the executors; one task fits the model. Without any labelled rows, the model is the constant 0.
+    on the executors, where they stand; the reductions of the sample, at most ``rows`` of them, are shuffled to the one
+    task that fits the model. Without any labelled rows, the model is the constant 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -105,21 +107,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: i
         return int(mix64(np.array([doc & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
     reduced = texts.mapInArrow(reduce, "doc_id bigint, toxic int, x binary")
-    got = reduced.coalesce(1).mapInArrow(learn, "at bigint, w double").collect()  # at most 2 ** bits weights
+    got = reduced.repartition(1).mapInArrow(learn, "at bigint, w double").collect()  # at most 2 ** bits weights
     pairs = sorted((r["at"], r["w"]) for r in got)
     bias = next((w for a, w in pairs if a == -1), 0.0)
     pairs = [p for p in pairs if p[0] >= 0]
     return np.array([a for a, _ in pairs], np.int64), np.array([w for _, w in pairs]), bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
-    """Add ``score`` (double, 0 to 1) to rows, from the words of ``text`` alone (null and empty texts: the bias)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, name: str = "score") -> DataFrame:
+    """Add ``name`` (double, 0 to 1; in place of a column called so) to rows, from the words of ``text`` alone (null and empty texts: the bias)."""
     at, weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights.astype(np.float64), bias))
-    kept = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    if "score" in kept:
-        raise ValueError("the input has a column named score")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << bits)
@@ -131,9 +131,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
                 row, x = features(data, offs, bits, wanted)
                 sums[i:j] += np.bincount(row, dense[x], j - i)
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(apply, f"{fields}, score double")
+    return docs.mapInArrow(apply, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import lower_ascii_table, mix64, prefix_hash, rows_of, sliding_min, span_hash, word_grams, word_spans
+from .kernels import lower_ascii_table, mix64, rows_of, sliding_min, span_hash, word_grams, word_spans
 from .storage import written
 
 WINDOW, GRAM = 10, 5
@@ -48,7 +48,7 @@ class _Marks:
         self.start, self.end = word_spans(_FLAG[data], offs)
         self.row = np.searchsorted(offs, self.start, "right") - 1
         self.edge = np.searchsorted(self.start, offs)
-        self.words = span_hash(prefix_hash(self.low), self.start, self.end)
+        self.words = span_hash(self.low, self.start, self.end)
 
     def of_windows(self) -> tuple[np.ndarray, np.ndarray]:
         grams = word_grams(self.words, GRAM)

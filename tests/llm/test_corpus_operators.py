@@ -341,3 +341,50 @@ def test_unsettled_components_raise(spark):
     assert sorted(map(tuple, connected_components(e).collect())) == [(k, 0) for k in range(6)]
     with pytest.raises(RuntimeError):
         connected_components(e, 1)
+
+
+# words whose polynomial hashes collide
+def thue_morse(n):
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_equal_hashes_are_not_taken_for_equal_words(spark, n, monkeypatch):
+    a, b = thue_morse(n)
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    tok = packing._Encoder(queries.tokenizer_path()).encoder
+    for r in packing.pack_documents(docs, queries.tokenizer_path()).where("piece = 0").collect():
+        ids = [*tok.encode(a if r["doc_id"] == 1 else b, add_special_tokens=False).ids, 0][:2048]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in setsketch.near_duplicates(docs).collect()} == {(1, 1, True), (2, 2, True)}
+
+
+def test_spans_are_told_apart_by_value(monkeypatch):
+    a, b = (x.encode() for x in thue_morse(300))
+    data = np.frombuffer(a + b + a, np.uint8)
+    start = np.array([0, 300, 600, 0, 5])
+    end = np.array([300, 600, 900, 3, 5])
+    monkeypatch.setattr(kernels, "span_hash", lambda data, start, end, seed=0: np.zeros(len(start), np.uint64))
+    _, number = kernels.span_ids(data, start, end)
+    assert number[0] == number[2] and len(set(number.tolist())) == 4
+    texts = pa.array(["a b c d e f", "a b c d e", "a b c d e f g", "a b"])
+    row, shingle = setsketch.exact_shingles(*kernels.arrow_bytes(texts))
+    sets = [set(shingle[row == k].tolist()) for k in range(4)]
+    assert [len(s) for s in sets] == [2, 1, 3, 1] and sets[1] < sets[0] < sets[2] and not sets[3] & sets[2]
+
+
+def test_cut_factors_equal_longest_previous_factors():
+    r = random.Random(12)
+    for _ in range(60):
+        text = bytes(r.choice(b"ab") for _ in range(r.randint(1, 60)))
+        width = r.randint(1, 12)
+        padded = np.frombuffer(text + bytes(width), np.uint8)
+        suffixes = padded[np.arange(len(text))[:, None] + np.arange(width)]
+        rank = np.argsort(np.ascontiguousarray(suffixes).view(f"V{width}").ravel(), kind="stable")
+        got = np.zeros(len(text), np.int64)
+        got[rank] = suffix.cut_factors(suffixes[rank], rank)
+        # zeros behind the end are bytes like others here
+        whole = text + bytes(width)
+        want = [max([0] + [next((k for k in range(width) if whole[i + k] != whole[j + k]), width) for j in range(i)]) for i in range(len(text))]
+        assert got.tolist() == want
