@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Small English stop list of the keyword operators.
-STOP_WORDS = (
-    "a an and are as at be by for from has have if in into is it its no not of on or such that the their then there these they this to was will with "
-    "must should shall can could would may might when where which who how all any each new use used using"
-).split()
+#: Words that the keyword operators pass over.
+STOP_WORDS = """
+the a an is are was were be been being have has had do does did will would could should may might shall can need must
+and or but if then else when where how what which who whom this that these those
+i me my we our you your he she it they them its his her their
+in on at to for of with by from as into through during before after above below up down out off over under between
+not no nor so too very just also than each every all both few more most other some such only own same
+implement add create update remove fix build phase step task plan feature new existing
+system application app project code file module use using used make ensure support enable
+based level type data set get handle process
+post put delete patch request response endpoint status service server client route routes api
+url uri http https method body header headers
+change changes needs work works current first next last user users account accounts
+per via req res min max now later added
+""".split()
+#: Words that the comparison of requirements passes over.
+REQUIREMENT_STOP_WORDS = "the a an is are can with and or in to for of by on at from user system must should".split()
 
 
 def half_up(x: Column, places: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -14,8 +16,21 @@ LINE_RULES = (
     ("conflict_marker", "error", r"^(<{7}|={7}|>{7})"), ("todo", "info", r"\b(TODO|FIXME|HACK)\b"),
     ("debug_output", "warning", r"\bconsole\.log\(|\bprint\("), ("secret", "error", r"(?i)(password|api_?key)\s*=\s*['\"][^'\"]+['\"]"),
 )
-#: Mutation operators, in order.
-MUTATIONS = ((r"===", "!=="), (r"!==", "==="), (r"&&", "||"), (r"\|\|", "&&"), (r"\btrue\b", "false"), (r"\bfalse\b", "true"), (r"(?<![<>=])>=", "<"), (r"\+(?![+=])", "-"), (r"\breturn\b", "return !"))
+#: Mutation operators, in order: name, pattern, replacement.
+MUTATIONS = (
+    ("negate_equality", r"===(?!=)", "!=="),
+    ("negate_inequality", r"!==(?!=)", "==="),
+    ("flip_true", r"\btrue\b", "false"),
+    ("flip_false", r"\bfalse\b", "true"),
+    ("remove_return", r"return [^;]+;", "return undefined;"),
+    ("boundary_lt", r"< (?!=)", "<= "),
+    ("boundary_gt", r"> (?!=)", ">= "),
+    ("arith_plus", r"\+ (?!=)", "- "),
+    ("arith_minus", r"- (?!=)", "+ "),
+)
+#: Parts of a path, and endings, of files that are not mutated.
+NOT_MUTATED = ("node_modules/", ".test.", ".spec.", "__tests__/", "/test/", "/tests/", ".config.", ".conf.", ".min.", "vendor/", ".d.ts")
+NOT_MUTATED_ENDINGS = ".json .md .txt .yaml .yml .lock .svg .png .jpg .gif .ico .woff .ttf .css .scss .less .html .xml .toml .ini .env .map".split()
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
@@ -78,20 +93,29 @@ def check_brackets(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(check, "path string, error string")
 
 
+def mutable(path: Column) -> Column:
+    """Whether a file is one to mutate, by its path."""
+    skipped = F.lit(False)
+    for part in NOT_MUTATED:
+        skipped = skipped | path.contains(part)
+    return ~skipped & ~F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(NOT_MUTATED_ENDINGS)
+
+
 def mutants(files: DataFrame, most: int = 10, least: int = 50, largest: int = 500_000) -> DataFrame:
     """path, operator, at, line, before, after: the first ``most`` mutants of a file, by operator and place."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = [(k, re.compile(p), r) for k, (p, r) in enumerate(MUTATIONS)]
+        rules = [(name, re.compile(p), r) for name, p, r in MUTATIONS]
         for f in frames:
             rows = []
             for path, text in zip(f["path"], f["text"], strict=True):
-                made = [(path, k, m.start(), text.count("\n", 0, m.start()) + 1, m[0], r) for k, p, r in rules for m in p.finditer(text)]
-                rows += made[:most]
+                made = itertools.islice(((k, m.start(), m[0], r) for k, p, r in rules for m in p.finditer(text)), most)
+                breaks = [m.start() for m in re.finditer("\n", text)]
+                rows += [(path, k, at, bisect.bisect_left(breaks, at) + 1, before, after) for k, at, before, after in made]
             yield pd.DataFrame(rows, columns=["path", "operator", "at", "line", "before", "after"])
 
-    sized = files.where(F.length("text").between(least, largest)).select("path", "text")
-    return sized.mapInPandas(make, "path string, operator int, at long, line int, before string, after string")
+    sized = files.where(F.length("text").between(least, largest) & mutable(F.col("path"))).select("path", "text")
+    return sized.mapInPandas(make, "path string, operator string, at long, line int, before string, after string")
 
 
 def evaluate(expected: Column, exit_code: Column, output: Column) -> Column:
@@ -127,6 +151,13 @@ def freshness(stamps: DataFrame, now: Column, hours: Column) -> DataFrame:
     return stamps.groupBy("what").agg(F.min(age).alias("age_hours"), F.min(hours).alias("_most")).select("what", "age_hours", (F.col("age_hours") >= F.col("_most")).alias("stale"))
 
 
+def cached(results: DataFrame, keys: list[str], ts: str, now: Column, seconds: int = 120) -> DataFrame:
+    """The newest result of each key that is at most ``seconds`` old; the content hash of what was checked belongs to the key."""
+    live = results.where((F.col(ts) <= now) & (F.col(ts) >= now - F.expr(f"interval {seconds} seconds")))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(ts), *[F.desc(c) for c in results.columns if c not in (*keys, ts)])
+    return live.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
 def severity_of(impact: Column) -> Column:
     return F.when(impact.isin("critical", "serious"), "error").when(impact == "moderate", "warning").otherwise("info")
 

@@ -290,6 +290,13 @@ def cycle_gate(found: DataFrame, baseline: DataFrame, changed: list) -> DataFram
     return fresh.where(F.arrays_overlap("members", F.array(*[F.lit(x) for x in changed]))) if changed else fresh.limit(0)
 
 
+def cycles_by_modules(cycles: DataFrame, files: DataFrame) -> DataFrame:
+    """modules (sorted, joined), cycles, members: cycles (component, members) grouped by the set of modules that they touch."""
+    flat = cycles.select("component", F.explode("members").alias("path"))
+    touched = flat.join(files.select("path", "module"), "path", "left").groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("module")), " <-> ").alias("modules"), F.count("*").alias("n"))
+    return touched.groupBy("modules").agg(F.count("*").alias("cycles"), F.sum("n").alias("members"))
+
+
 def resolve_callees(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """calls with callee_file and resolved: the symbol of largest id of each name wins."""
     last = symbols.groupBy(F.col("name").alias("callee")).agg(F.max_by("file", "id").alias("callee_file"))

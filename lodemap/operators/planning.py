@@ -95,6 +95,22 @@ def concern(path: Column) -> Column:
     return F.when(p.rlike(r"schema|prisma|\.sql$"), "schema").when(p.rlike(r"test|spec"), "test").when(p.rlike(r"config|\.ya?ml$|\.json$"), "config").when(p.rlike("migration"), "migration").otherwise("implementation")
 
 
+#: The order in which the groups of a plan split by concern are worked off.
+CONCERNS = ("schema", "migration", "implementation", "test", "config")
+
+
+def file_groups(files: DataFrame, strategy: str) -> DataFrame:
+    """strategy, label, tokens, files, place of the groups that a plan (path, module, tokens) is split into, by module, concern or file.
+
+    Concerns have their place in the fixed order of work; other groups have none.
+    """
+    label = {"module": F.col("module"), "concern": concern(F.col("path")), "file": F.element_at(F.split("path", "/"), -1)}[strategy]
+    place = F.array_position(F.array(*[F.lit(c) for c in CONCERNS]), F.col("label")) - 1 if strategy == "concern" else F.lit(None)
+    by = [label.alias("label"), *(["path"] if strategy == "file" else [])]
+    out = files.groupBy(*by).agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("files"))
+    return out.select(F.lit(strategy).alias("strategy"), "label", "tokens", "files", place.cast("long").alias("place"))
+
+
 def fill_budget(items: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
     """Items kept while they fit, in order, a too large one being passed over: order-dependent, so one sorted pass per group.
 

@@ -49,13 +49,13 @@ def overlapping_scope(pairs: DataFrame, categories: DataFrame, same: float = 0.8
     return out.select("a", "b", "kind", F.when(F.col("kind") == "potential_duplicate", "info").otherwise("warning").alias("severity"), half_up(F.col("similarity"), 2).alias("similarity"))
 
 
-#: Groups of technologies of which a system uses one.
+#: Groups of technologies of which a system uses one; conflicts within the first block.
 TECH_GROUPS = {
-    "database": ["postgresql", "mysql", "mongodb", "sqlite", "dynamodb"],
+    "database": ["postgresql", "mysql", "mongodb", "dynamodb", "firestore", "sqlite"],
+    "api": ["rest", "graphql", "grpc", "trpc"],
+    "auth": ["jwt", "session-cookie", "oauth-only"],
+    "hosting": ["serverless", "kubernetes", "single-server"],
     "frontend": ["react", "vue", "angular", "svelte"],
-    "runtime": ["node.js", "deno", "bun"],
-    "css": ["tailwind", "bootstrap", "material ui"],
-    "orm": ["prisma", "typeorm", "sequelize", "drizzle"],
 }
 
 

@@ -79,6 +79,23 @@ def promote(lines: DataFrame, least: str = "medium") -> DataFrame:
     return lines.where(F.coalesce(rank[F.col("severity")], F.lit(0)) >= SEVERITY.index(least))
 
 
+def ledger_decisions(docs: DataFrame, key: str) -> DataFrame:
+    """key, nth, type, text, rationale of the decisions (stamped entries) and preferences (list items) in ledger texts."""
+    section = lambda name: F.trim(F.regexp_extract("text", rf"(?s)## {name}\n(.*?)(?=\n## |$)", 1))
+    entries = docs.select(key, F.posexplode(F.split(section("Decisions"), r"\n(?=\[)")).alias("nth", "e"))
+    said = F.trim(F.substring_index(F.regexp_replace("e", r"^\[\d{4}-\d{2}-\d{2}\s[\d:]+\]\s*", ""), "\n", 1))
+    decided = entries.select(key, "nth", F.lit("decision").alias("type"), said.alias("text"), F.trim(F.regexp_extract("e", r"Rationale:\s*(.+)", 1)).alias("rationale"))
+    items = docs.select(key, F.posexplode(F.split(section("User Preferences"), "\n")).alias("nth", "e")).where(F.trim("e").startswith("-"))
+    liked = items.select(key, "nth", F.lit("preference").alias("type"), F.trim(F.regexp_replace("e", r"^\s*-\s*", "")).alias("text"), F.lit("").alias("rationale"))
+    return decided.unionByName(liked).where("text <> ''")
+
+
+def promote_from_ledger(store: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """id, type, text, rationale of what ledger texts hold and no active decision of ``store`` says already; ids are key, type and place."""
+    new = ledger_decisions(docs, key).withColumn("id", F.concat_ws(":", F.col(key).cast("string"), "type", F.col("nth").cast("string")))
+    return add_decisions(store, new.select("id", "type", "text", "rationale"))
+
+
 def cost_rollup(units: DataFrame) -> DataFrame:
     """dimension (total, phase, model), value, cost, tokens, units, by grouping sets in one pass."""
     sql = "SELECT phase, model, grouping(phase) AS gp, grouping(model) AS gm, sum(cost_usd) AS cost, sum(tokens) AS tokens, count(*) AS units FROM {u} GROUP BY GROUPING SETS ((), (phase), (model))"

@@ -96,15 +96,21 @@ def check_brackets(s: Source):
     return C.check_brackets(s("part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.expr(_SCAN).alias("text")))
 
 
-@query("""SELECT concat('p', p_partkey) AS path, n.operator, n.line, n.before FROM part, (VALUES (0, 1, '==='), (2, 2, '&&'), (4, 3, 'true'), (8, 3, 'return')) n(operator, line, before)""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS r, concat('src/', CASE WHEN p_partkey % 11 = 0 THEN 'vendor/' ELSE '' END, 'p', p_partkey, CASE p_partkey % 7 WHEN 0 THEN '.css' WHEN 1 THEN '.test.js' WHEN 2 THEN '.d.ts' WHEN 3 THEN '.JSON' ELSE '.js' END) AS path FROM part)
+    SELECT path, operator, line, before, after FROM p, (VALUES ('negate_equality', 1, '===', '!=='), ('negate_inequality', 2, '!==', '==='), ('flip_true', 3, 'true', 'false'), ('remove_return', 3, 'return true;', 'return undefined;'),
+      ('boundary_lt', 2, '< ', '<= '), ('arith_minus', 2, '- ', '+ ')) n(operator, line, before, after) WHERE k % 11 <> 0 AND k % 7 >= 4 AND (operator <> 'arith_minus' OR r < 2)
+    UNION ALL SELECT path, 'boundary_gt', CAST(4 + i AS INTEGER), '> ', '>= ' FROM p, range(8) t(i) WHERE k % 11 <> 0 AND k % 7 >= 4 AND i < CASE r WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 5 END""")
 def mutants(s: Source):
-    body = F.concat(F.lit("function check(a, b) { if (a === "), F.col("p_partkey").cast("string"), F.lit(") {\n  run(a && b); }\n  return true;\n}"))
-    return C.mutants(s("part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), body.alias("text"))).select("path", "operator", "line", "before")
+    k = F.col("p_partkey")
+    tail = F.when(k % 7 == 0, ".css").when(k % 7 == 1, ".test.js").when(k % 7 == 2, ".d.ts").when(k % 7 == 3, ".JSON").otherwise(".js")
+    path = F.concat(F.lit("src/"), F.when(k % 11 == 0, "vendor/").otherwise(""), F.lit("p"), k.cast("string"), tail)
+    more = F.repeat(F.lit("\nx > y;"), (k % 3 * 4).cast("int"))
+    body = F.concat(F.lit("function check(a, b) { if (a === "), k.cast("string"), F.lit(") {\n  if (a < b - 1) run(a <= b, a !== b || b); }\n  return true;"), more, F.lit("\n}"))
+    return C.mutants(s("part").select(path.alias("path"), body.alias("text"))).select("path", "operator", "line", "before", "after")
 
 
 @query("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN CASE WHEN user_id % 3 = 2 THEN 'PASS' ELSE 'FAIL' END WHEN 1 THEN CASE WHEN event_type = 'click' THEN 'PASS' ELSE 'FAIL' END
-    ELSE CASE WHEN user_id % 3 <> 0 THEN 'FAIL' WHEN event_type = 'error' THEN 'FAIL' WHEN event_id % 5 = 4 THEN 'INCONCLUSIVE' ELSE 'PASS' END END AS verdict FROM events
-    WHERE event_id % 5 <> 4 OR event_type <> 'error'""")
+    ELSE CASE WHEN user_id % 3 <> 0 THEN 'FAIL' WHEN event_id % 5 = 4 THEN 'INCONCLUSIVE' WHEN event_type = 'error' THEN 'FAIL' ELSE 'PASS' END END AS verdict FROM events""")
 def evaluate_outcomes(s: Source):
     e = s("events")
     expected = F.expr("CASE event_id % 5 WHEN 0 THEN 'exits with 2' WHEN 1 THEN 'shows \"CLICK\"' ELSE 'works' END")
@@ -118,7 +124,11 @@ def fixability(s: Source):
     return C.fixability(e, ("click", "view"))
 
 
-@query("""WITH x AS (SELECT 'interface' AS kind, concat(file, ':', name) AS subject, CAST(consumer_count AS DOUBLE) AS metric, CASE WHEN consumer_count > 15 THEN 'CRITICAL' WHEN consumer_count > 10 THEN 'HIGH' WHEN consumer_count > 5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM interfaces
+@query("""WITH RECURSIVE v AS (SELECT path, row_number() OVER (ORDER BY path) AS i FROM files), e AS (SELECT DISTINCT a.i AS s, b.i AS t FROM dependencies JOIN v a ON a.path = source_file JOIN v b ON b.path = target_file),
+    r(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b), c AS (SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+    k AS (SELECT root, count(*) AS size FROM c GROUP BY root),
+    x AS (SELECT 'cycle' AS kind, path AS subject, CAST(size AS DOUBLE) AS metric, CASE WHEN size > 10 THEN 'CRITICAL' WHEN size > 5 THEN 'HIGH' WHEN size > 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM k JOIN v ON v.i = k.root
+    UNION ALL SELECT 'interface' AS kind, concat(file, ':', name) AS subject, CAST(consumer_count AS DOUBLE) AS metric, CASE WHEN consumer_count > 15 THEN 'CRITICAL' WHEN consumer_count > 10 THEN 'HIGH' WHEN consumer_count > 5 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM interfaces
     UNION ALL SELECT 'churn', file, CAST(changes_30d AS DOUBLE), CASE WHEN changes_30d > 60 THEN 'CRITICAL' WHEN changes_30d > 30 THEN 'HIGH' WHEN changes_30d > 10 THEN 'MEDIUM' ELSE 'LOW' END FROM change_frequency
     UNION ALL SELECT 'hotspot', path, complexity_score * (1 + coalesce(changes_30d, 0) * 0.1), CASE WHEN complexity_score * (1 + coalesce(changes_30d, 0) * 0.1) > 5000 THEN 'CRITICAL' WHEN complexity_score * (1 + coalesce(changes_30d, 0) * 0.1) > 2500 THEN 'HIGH' WHEN complexity_score * (1 + coalesce(changes_30d, 0) * 0.1) > 1000 THEN 'MEDIUM' ELSE 'LOW' END
       FROM files LEFT JOIN change_frequency ON file = path WHERE NOT is_test AND NOT is_config)

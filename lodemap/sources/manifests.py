@@ -79,6 +79,12 @@ def read_manifests(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInPandas(parse, "key string, service string, team string, exports string, imports string, error string")
 
 
+def registry(docs: DataFrame) -> DataFrame:
+    """key, name, path of the repositories that registry texts ({"repos": [{name, key, path}]}) list; broken texts give none."""
+    listed = F.from_json("text", "repos array<struct<key:string,name:string,path:string>>")["repos"]
+    return docs.select(F.inline(listed)).select(F.coalesce("key", "name").alias("key"), "name", F.coalesce("path", "name").alias("path"))
+
+
 def validate_manifests(manifests: DataFrame) -> DataFrame:
     """key, path, message, severity: rules over the rows of ``read_manifests``."""
     kinds = F.from_json("exports", "array<struct<type:string,name:string>>")

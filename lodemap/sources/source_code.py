@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,9 +35,10 @@ NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typ
 
 
 def discover(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
-    """path, text, language of the source files under ``root``; dot entries and ignored folders are passed over."""
+    """path (from ``root``), text, language of the source files under ``root``; dot entries, ignored folders and empty files are passed over."""
+    base = re.sub(r"^[a-z]+:/+", "/", root).strip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + "/" + root.strip("/").replace(".", r"\.") + "/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^/" + re.escape(base) + "/", "")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     kinds = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     hidden = F.exists(F.split(rel, "/"), lambda p: p.startswith(".") | p.isin(*IGNORED))
@@ -135,7 +137,7 @@ def calls(files: DataFrame, declared: DataFrame) -> DataFrame:
     after = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
     spans = declared.withColumn("until", F.coalesce(after - 1, F.lit(2**31 - 1))).where("kind in ('function', 'component')")
     spans = spans.select("path", F.col("name").alias("caller"), F.col("line").alias("since"), "until")
-    body = _lines(files).select("path", "line", F.explode(F.regexp_extract_all("body", F.lit(r"(?:^|[^.\w])(\w+)\s*\("), F.lit(1))).alias("callee"))
+    body = _lines(files).select("path", "line", F.explode(F.regexp_extract_all("body", F.lit(r"(?<![.\w])(\w+)\s*\("), F.lit(1))).alias("callee"))
     body = body.where(~F.col("callee").isin(*NOT_CALLS))
     hit = body.join(spans, "path").where("line between since and until and callee <> caller")
     return hit.select("path", "caller", "callee", "line").distinct()

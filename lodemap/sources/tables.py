@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _folders: dict[str, str] = {}
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one of our own only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one of our own, for a local master only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodemap-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -29,13 +32,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, goes when the driver exits."""
-    spark, shared = df.sparkSession, _shared(df.sparkSession)
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this driver's own below the shared one; it goes when the driver exits."""
+    shared = _shared(spark)
     if shared not in _folders:
         _folders[shared] = f"{shared}/staged-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _folders[shared])
-    path = f"{_folders[shared]}/{name}-{uuid.uuid4().hex[:12]}"
+    return _folders[shared]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, goes when the driver exits."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

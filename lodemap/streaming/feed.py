@@ -22,9 +22,13 @@ def watch(spark: SparkSession, folder: str, schema: T.StructType = FEED) -> Data
     return spark.readStream.schema(schema).parquet(folder).where(kept)
 
 
-def debounced(feed: DataFrame, quiet: str = "500 milliseconds", late: str = "1 day") -> DataFrame:
-    """window, paths: the distinct paths of each burst that ``quiet`` ends."""
-    bursts = feed.withWatermark("ts", late).groupBy(F.session_window("ts", quiet))
+def debounced(feed: DataFrame, quiet: str = "500 milliseconds", late: str = "2 seconds", by: str | None = None) -> DataFrame:
+    """started, ended, paths: the distinct paths of each burst that ``quiet`` ends, per value of ``by`` (a project), if given.
+
+    In append mode a burst comes out once an event ``late`` after its end has been seen; later events of it are lost.
+    """
+    every = F.concat(F.substring("path", 1, 0), F.lit("all"))  # streams take no session windows without a key
+    bursts = feed.withWatermark("ts", late).groupBy(F.session_window("ts", quiet), (F.col(by) if by else every).alias("feed"))
     return bursts.agg(F.sort_array(F.collect_set("path")).alias("paths")).select(F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "paths")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,6 +56,26 @@ def stuck_patches(patches: DataFrame, limit: int = 3) -> DataFrame:
     return marked.groupBy("loop", "fingerprint").agg(F.count("*").alias("times")).where(F.col("times") >= limit)
 
 
+def _gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last = state.get[0] if state.exists else None
+    rows = pd.concat(list(frames)).sort_values(["ts", "hash"])
+    kept = []
+    for ts, found in zip(rows["ts"], rows["hash"], strict=True):
+        if found != last:
+            kept.append((key[0], ts, found))
+            last = found
+    state.update((last,))
+    yield pd.DataFrame(kept, columns=["service", "ts", "hash"])
+
+
 def changed_services(manifests: DataFrame) -> DataFrame:
-    """Hash-gated sync: the first manifest of each (service, content hash); the gate holds over a stream by deduplication state."""
-    return manifests.withColumn("hash", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16)).dropDuplicates(["service", "hash"])
+    """service, ts, hash of the manifests (service, ts, text) that differ from the one synced last for their service.
+
+    On a stream, one hash per service is kept as state; a service that goes back to an older manifest is synced again.
+    """
+    hashed = manifests.select("service", "ts", F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("hash"))
+    if hashed.isStreaming:
+        kind = dict(manifests.dtypes)["service"]
+        return hashed.groupBy("service").applyInPandasWithState(_gate, f"service {kind}, ts timestamp, hash string", "last string", "append", GroupStateTimeout.NoTimeout)
+    before = F.lag("hash").over(Window.partitionBy("service").orderBy("ts", "hash"))
+    return hashed.withColumn("_last", before).where("_last is null or hash <> _last").drop("_last")
