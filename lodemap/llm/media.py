@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, STREAM_PID = 0x0000, 0x0100, 0x0101
@@ -28,6 +29,8 @@ UNIT = 192
 ACCESS_UNIT = 15 * UNIT  # bytes of payload of an elementary packet
 TICKS = 3600  # of 90 kHz, from one access unit to the next
 GOP = 8  # every so many access units there is a random-access point
+#: Stream identifiers whose elementary packets have no optional header.
+PLAIN_STREAMS = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)
 
 
 def _crc_table() -> list[int]:
@@ -137,7 +140,9 @@ def multiplex(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds. ``units``: (pid, pts or -1, offset in the pid's bytes, length, random access)."""
+    """What a transport stream holds. ``units``: (pid, pts or -1, offset in the pid's bytes, length, random access, whole).
+
+    A unit is whole if no packet of it is missing and it has the length that it says."""
 
     packets: int = 0
     damaged: int = 0
@@ -145,29 +150,82 @@ class Stream:
     bad_tables: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
-    units: list[tuple[int, int, int, int, bool]] = field(default_factory=list)
+    units: list[tuple[int, int, int, int, bool, bool]] = field(default_factory=list)
     clocks: list[tuple[int, int]] = field(default_factory=list)
     data: dict[int, bytes] = field(default_factory=dict)
 
 
-def _sections(body: bytes) -> bytes | None:
-    """The checked table section at a packet's start, or None."""
-    if not body or 1 + body[0] + 3 > len(body):
-        return None
-    at = 1 + body[0]
-    end = at + 3 + ((body[at + 1] & 0x0F) << 8 | body[at + 2])
-    if end > len(body) or end - at < 12 or section_crc(body[at : end - 4]) != int.from_bytes(body[end - 4 : end], "big"):
-        return None
-    return body[at:end]
+def _sections(rows: np.ndarray, start: np.ndarray, begins: np.ndarray) -> Iterator[bytes | None]:
+    """The table sections that a pid's packets carry, however many packets each takes; None for a broken one."""
+    held = b""
+
+    def cut(final: bool) -> Iterator[bytes | None]:
+        nonlocal held
+        while len(held) >= 3 and held[0] != 0xFF:
+            end = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if end > len(held):
+                break
+            section, held = held[:end], held[end:]
+            good = end >= 12 and section_crc(section[:-4]) == int.from_bytes(section[-4:], "big")
+            yield section if good else None
+        if final:
+            if held and held[0] != 0xFF:
+                yield None
+            held = b""
+
+    for row, s, begin in zip(rows, start.tolist(), begins.tolist(), strict=True):
+        body = row[s:].tobytes()
+        if begin:
+            point = 1 + body[0] if body else 0
+            if held:
+                held += body[1:point]
+            yield from cut(True)
+            held = body[point:]
+        elif held:
+            held += body
+        yield from cut(False)
+    yield from cut(True)
+
+
+def _aligned(stream: bytes) -> tuple[np.ndarray, int]:
+    """The packets of a stream (rows), and how many stretches between them are no packets.
+
+    Where the sync byte is missing, the next one that stands a packet's length before another, or before the end, counts.
+    """
+    data, n = np.frombuffer(stream, np.uint8), len(stream)
+    rows = data[: n - n % PACKET].reshape(-1, PACKET)
+    if n % PACKET == 0 and (rows[:, 0] == SYNC).all():
+        return rows, 0
+    sync = np.flatnonzero(data == SYNC)
+    sync = sync[sync + PACKET <= n]
+    after = np.minimum(sync + PACKET, n - 1) if n else sync
+    sure = sync[(sync + PACKET == n) | (data[after] == SYNC)]
+    kept, lost, at = [], 0, 0
+    while at + PACKET <= n:
+        if data[at] == SYNC:
+            stop = at
+            while stop + PACKET <= n and data[stop] == SYNC:
+                stop += PACKET
+            kept.append(data[at:stop].reshape(-1, PACKET))
+            at = stop
+            continue
+        lost += 1
+        k = int(np.searchsorted(sure, at))
+        if k == len(sure):
+            return (np.concatenate(kept) if kept else rows[:0]), lost
+        at = int(sure[k])
+    return (np.concatenate(kept) if kept else rows[:0]), lost + (at < n)
 
 
 def demultiplex(stream: bytes) -> Stream:
-    """Parse a transport stream: tables, continuity, elementary packets, time stamps, random-access points."""
+    """Parse a transport stream: tables, continuity, elementary packets, time stamps, random-access points.
+
+    Tables that are not yet in force are passed over; where packets are out of step, the next in step go on.
+    """
     out = Stream()
-    n = len(stream) // PACKET
-    rows = np.frombuffer(stream, np.uint8, n * PACKET).reshape(n, PACKET)
-    good = (rows[:, 0] == SYNC) & (rows[:, 1] & 0x80 == 0)
-    out.packets, out.damaged = n, int(n - good.sum()) + (len(stream) % PACKET > 0)
+    rows, lost = _aligned(stream)
+    good = rows[:, 1] & 0x80 == 0
+    out.packets, out.damaged = len(rows), int(len(rows) - good.sum()) + lost
     rows = rows[good]
     pids = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     begins = rows[:, 1] & 0x40 > 0
@@ -178,18 +236,20 @@ def demultiplex(stream: bytes) -> Stream:
     flags = np.where(has_field & (rows[:, 4] > 0), rows[:, 5], 0)
     counters = rows[:, 3] & 15
 
-    for i in np.flatnonzero((pids == PAT_PID) & begins & has_data):
-        if (s := _sections(rows[i, start[i] :].tobytes())) is None or s[0] != 0:
-            out.bad_tables += 1
-            continue
+    def tables(pid: int, kind: int) -> Iterator[bytes]:
+        own = np.flatnonzero((pids == pid) & has_data)
+        for s in _sections(rows[own], start[own], begins[own]):
+            if s is None or s[0] != kind:
+                out.bad_tables += 1
+            elif s[5] & 1:
+                yield s
+
+    for s in tables(PAT_PID, 0):
         for at in range(8, len(s) - 7, 4):
             if number := s[at] << 8 | s[at + 1]:
                 out.programs[number] = (s[at + 2] & 0x1F) << 8 | s[at + 3]
     for pmt in sorted(set(out.programs.values())):
-        for i in np.flatnonzero((pids == pmt) & begins & has_data):
-            if (s := _sections(rows[i, start[i] :].tobytes())) is None or s[0] != 2:
-                out.bad_tables += 1
-                continue
+        for s in tables(pmt, 2):
             at = 12 + ((s[10] & 0x0F) << 8 | s[11])
             while at + 5 <= len(s) - 4:
                 out.streams[(s[at + 1] & 0x1F) << 8 | s[at + 2]] = s[at]
@@ -199,19 +259,22 @@ def demultiplex(stream: bytes) -> Stream:
         if pid == 0x1FFF:
             continue
         own = np.flatnonzero((pids == pid) & has_data)
+        missing = np.zeros(len(own), bool)
         if len(own) > 1:
             step = (counters[own[1:]].astype(np.int16) - counters[own[:-1]]) & 15
             jump = flags[own[1:]] & 0x80 > 0  # a signalled discontinuity is no gap
             repeat = (step == 0) & (rows[own[1:], 4:] == rows[own[:-1], 4:]).all(axis=1)
-            out.gaps += int(((step != 1) & ~jump & ~repeat).sum())
+            missing[1:] = (step != 1) & ~repeat
+            out.gaps += int((missing[1:] & ~jump).sum())
             if repeat.any():
-                own = np.concatenate([own[:1], own[1:][~repeat]])
+                once = np.append(True, ~repeat)
+                own, missing = own[once], missing[once]
         if pid in out.streams:
-            _reassemble(out, pid, rows[own], start[own], begins[own], flags[own])
+            _reassemble(out, pid, rows[own], start[own], begins[own], flags[own], missing)
     return out
 
 
-def _reassemble(out: Stream, pid: int, rows: np.ndarray, start: np.ndarray, begins: np.ndarray, flags: np.ndarray) -> None:
+def _reassemble(out: Stream, pid: int, rows: np.ndarray, start: np.ndarray, begins: np.ndarray, flags: np.ndarray, missing: np.ndarray) -> None:
     for i in np.flatnonzero(flags & 0x10):
         b = rows[i, 6:12].astype(np.int64)
         if rows[i, 4] >= 7:
@@ -224,19 +287,24 @@ def _reassemble(out: Stream, pid: int, rows: np.ndarray, start: np.ndarray, begi
     parts, total = [], 0
     for k, s in enumerate(begin):
         e = begin[k + 1] if k + 1 < len(begin) else len(body)
-        if body[s : s + 3] != b"\x00\x00\x01" or e - s < 9:
+        if body[s : s + 3] != b"\x00\x00\x01" or e - s < 6:
+            out.damaged += 1
+            continue
+        plain = body[s + 3] in PLAIN_STREAMS
+        if not plain and e - s < 9:
             out.damaged += 1
             continue
         size = body[s + 4] << 8 | body[s + 5]
         end = min(e, s + 6 + size) if size else e
+        whole = not (size and e < s + 6 + size) and not missing[at[k] + 1 : at[k + 1] if k + 1 < len(at) else len(missing)].any()
         if size and e < s + 6 + size:
             out.damaged += 1
         pts = -1
-        if body[s + 7] & 0x80 and body[s + 8] >= 5:
+        if not plain and body[s + 7] & 0x80 and body[s + 8] >= 5:
             b = body[s + 9 : s + 14]
             pts = (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
-        data = body[s + 9 + body[s + 8] : end]
-        out.units.append((pid, pts, total, len(data), bool(flags[at[k]] & 0x40)))
+        data = body[s + 6 if plain else s + 9 + body[s + 8] : end]
+        out.units.append((pid, pts, total, len(data), bool(flags[at[k]] & 0x40), whole))
         parts.append(data)
         total += len(data)
     out.data[pid] = b"".join(parts)
@@ -259,7 +327,7 @@ def feature(s: Stream) -> str:
 
 
 def store_media(df: DataFrame, column: str = "text", media: str = "media") -> DataFrame:
-    """Add binary column ``media``: the transport stream of the padded UTF-8 bytes of ``column`` (null: empty)."""
+    """Add binary column ``media`` (in place of one called so): the transport stream of the padded UTF-8 bytes of ``column`` (null: empty)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,20 +338,19 @@ def store_media(df: DataFrame, column: str = "text", media: str = "media") -> Da
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], [*part.schema.names[:-1], media])
 
     kept = [f for f in df.schema.fields if f.name != media]
-    wide = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").cast("binary").alias("__payload"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return wide.mapInArrow(write, f"{schema}, `{media}` binary")
+    wide = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").cast("binary").alias(media))
+    return wide.mapInArrow(write, T.StructType([*kept, T.StructField(media, T.BinaryType())]))
 
 
 def parse_media(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     """Per row: ``key``, tables as maps, packet and damage counts, elementary units with time stamps and random access."""
-    unit = "pid:int,pts:bigint,offset:bigint,length:bigint,random_access:boolean"
+    unit = "pid:int,pts:bigint,offset:bigint,length:bigint,random_access:boolean,whole:boolean"
     kind = dict(df.dtypes)[key]
     schema = f"`{key}` {kind}, packets bigint, damaged bigint, gaps bigint, programs map<int,int>, streams map<int,int>, units array<struct<{unit}>>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(":")[0] for x in unit.split(",")]
-        types = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_())]))
+        types = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("whole", pa.bool_())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -27,11 +27,12 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),  # the runs of 16 or more among all runs
 )
 #: Parts that count only with their complements.
-VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])")
+VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:ASIA[A-Z0-9]{16}(?![A-Z0-9])|(?i:access_?key_?id|client_?id|user_?name|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,})""")
 ENDPOINT = re.compile(r"\b(?:https?|s3|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s\"'<>]{4,}")
 SCOPE = 400
 LEAST_ENTROPY = 3.5
-_VOWEL_FREE = re.compile(r"[0-9]")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def _entropy(value: str) -> float:
@@ -51,19 +52,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Cover:
+    """Merged spans, asked whether another one meets them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e) - 1
+        return k >= 0 and self.ends[k] > s
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of linked parts: ``linked_value``, ``linked_endpoint`` and the ``credential`` that spans them.
+    """(start, kind, end) of linked parts: ``linked_identifier``, ``linked_value``, ``linked_endpoint`` and the ``credential`` that spans them.
 
-    Identifiers are access matches. A value or an endpoint links to an identifier if their gap is at most ``scope``
-    and holds no blank line. An endpoint needs an identifier and a secret (an assignment or a linked value) in scope.
+    Identifiers are access matches (reported anyway) and the weaker ones of IDENTIFIER; secrets are assign and hex
+    matches and the weaker ones of VALUE. A secret links to an identifier if their gap is at most ``scope`` and holds no
+    blank line; a weak part is reported only then, and an endpoint only beside an identifier that has a secret. No weak
+    part overlaps a base span, or an identifier.
     """
-    ids = [(s, e) for s, k, e in base if k == 1]
-    if not ids:
+    if not (strong := [(s, e) for s, k, e in base if k == 1]) and not IDENTIFIER.search(text):
         return []
-    taken = [(s, e) for s, _, e in base]
+    taken = _Cover([(s, e) for s, _, e in base])
+    weak = [m.span() for m in IDENTIFIER.finditer(text) if not taken.meets(*m.span())]
+    ids = sorted(strong + weak)
+    taken = _Cover([*((s, e) for s, _, e in base), *weak])
     breaks = [m.start() for m in re.finditer(r"\n\s*\n", text)]
     starts = [s for s, _ in ids]
-    longest = max(e - s for s, e in ids)
+    longest = max((e - s for s, e in ids), default=0)
 
     def partners(s: int, e: int) -> list[tuple[int, int]]:
         lo, hi = bisect.bisect_left(starts, s - scope - longest), bisect.bisect_right(starts, e + scope)
@@ -74,19 +97,16 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int = SCOPE
                 found.append((a, b))
         return found
 
-    values = []
-    for m in VALUE.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in taken) or not _VOWEL_FREE.search(m[0]) or _entropy(m[0]) < LEAST_ENTROPY:
-            continue
-        if got := partners(s, e):
-            values.append((s, e, got))
-    secrets = values + [(s, e, partners(s, e)) for s, k, e in base if k == 0]
+    secrets = [(s, e) for s, k, e in base if k in (0, 2)]
+    values = [m.span() for m in VALUE.finditer(text) if _DIGIT.search(m[0]) and not taken.meets(*m.span()) and _entropy(m[0]) >= LEAST_ENTROPY]
     by_id: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for s, e, got in secrets:
-        for x in got:
+    out = []
+    for k, (s, e) in enumerate([*secrets, *values]):
+        for x in (got := partners(s, e)):
             by_id.setdefault(x, []).append((s, e))
-    out = [(s, "linked_value", e) for s, e, _ in values]
+        if got and k >= len(secrets):
+            out.append((s, "linked_value", e))
+    out += [(s, "linked_identifier", e) for s, e in weak if (s, e) in by_id]
     ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for m in ENDPOINT.finditer(text):
         s, e = m.span()

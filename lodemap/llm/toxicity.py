@@ -118,8 +118,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
     """Add ``name`` (double, 0 to 1; in place of a column called so) to rows, from the words of ``text`` alone (null and empty texts: the bias)."""
     at, weights, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weights.astype(np.float64), bias))
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name])
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    names = [c for c in docs.columns if c != name]
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])  # workers take no dots in names
+    text = f"c{names.index('text')}"
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << bits)
@@ -127,13 +129,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
         wanted = dense != 0
         for batch in batches:
             sums = np.full(batch.num_rows, sent.value[2])
-            for i, j, data, offs in rows_of(batch, "text"):
+            for i, j, data, offs in rows_of(batch, text):
                 row, x = features(data, offs, bits, wanted)
                 sums[i:j] += np.bincount(row, dense[x], j - i)
             p = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(apply, schema)
+    return plain.mapInArrow(apply, schema).toDF(*names, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
