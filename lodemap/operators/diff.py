@@ -68,12 +68,11 @@ def entropy(files: DataFrame, deps: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per module: ca, ce, instability, abstractness, distance, cohesion (four places), loc and complexity."""
     s, t = (files.select(F.col("path").alias(p), F.col("module").alias(m)) for p, m in (("source_file", "a"), ("target_file", "b")))
     edges = deps.select("source_file", "target_file").distinct().join(s, "source_file").join(t, "target_file")
-    cross = edges.where("a <> b")
-    ce = cross.groupBy(F.col("a").alias("module")).agg(F.countDistinct("target_file").alias("ce"), F.count("*").alias("out_edges"))
-    ca = cross.groupBy(F.col("b").alias("module")).agg(F.countDistinct("source_file").alias("ca"))
-    inner = edges.where("a = b").groupBy(F.col("a").alias("module")).agg(F.count("*").alias("inner_edges"))
+    cross = F.col("a") != F.col("b")
+    out = edges.groupBy(F.col("a").alias("module")).agg(F.countDistinct(F.when(cross, F.col("target_file"))).alias("ce"), F.count_if(cross).alias("out_edges"), F.count_if(~cross).alias("inner_edges"))
+    ca = edges.where(cross).groupBy(F.col("b").alias("module")).agg(F.countDistinct("source_file").alias("ca"))
     kinds = symbols.where("exported").join(files.select(F.col("path").alias("file"), "module"), "file").groupBy("module").agg(F.count("*").alias("exports"), F.count_if(F.col("kind").isin("interface", "type")).alias("abstract"))
-    m = files.groupBy("module").agg(F.sum("loc").alias("loc")).join(ce, "module", "left").join(ca, "module", "left").join(inner, "module", "left").join(kinds, "module", "left").fillna(0)
+    m = files.groupBy("module").agg(F.sum("loc").alias("loc")).join(out, "module", "left").join(ca, "module", "left").join(kinds, "module", "left").fillna(0)
     safe = lambda n, d, other: F.when(d == 0, F.lit(other)).otherwise(n / d)
     i = safe(F.col("ce"), F.col("ca") + F.col("ce"), 0.0)
     a = safe(F.col("abstract"), F.col("exports"), 0.0)

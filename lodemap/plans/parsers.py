@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..sources import manifests as M
 from ..sources import markdown as D
 from ..sources import source_code as C
-from ..sources import tables
+from ..sources import structure, tables
 from ..streaming import feed, monitor
 from .registry import Source, query
 
@@ -87,6 +87,39 @@ def function_calls(s: Source):
     return C.calls(files, C.symbols(files))
 
 
+def _shops(s: Source):
+    """A source of each of four languages in turn, with declarations over several lines, comments and literals."""
+    k = F.col("p_partkey")
+    ts = _say("import {\n  a,\n  b as c\n} from 'lib", k, "';\n// class Ghost {}\nexport class Shop", k, "<T>\n  extends Base<T>\n  implements Goods, Priced {\n  sell(item: string,\n    n = 1): void {\n    load(price(n), '}');\n  }\n}\n")
+    java = _say("import java.util.List;\npublic class Shop", k, " extends Base\n    implements Goods, Priced {\n  public int sell(String item,\n      int n) {\n    return load(price(n)); // }\n  }\n}\n")
+    go = _say('import (\n  "fmt"\n)\ntype Shop', k, " struct {\n}\nfunc (s *Shop", k, ") Sell(item string,\n  n int) int {\n  return load(price(n), \"}\")\n}\n")
+    py = _say("from lib import (\n    a,\n    b,\n)\nclass Shop", k, "(Base, Goods):\n    def sell(self, item,\n             n=1):\n        return load(price(n), 'def x():')\n")
+    return s("part").select(_say("p", k).alias("path"), F.when(k % 4 == 0, "typescript").when(k % 4 == 1, "java").when(k % 4 == 2, "go").otherwise("python").alias("language"), F.when(k % 4 == 0, ts).when(k % 4 == 1, java).when(k % 4 == 2, go).otherwise(py).alias("text"))
+
+
+@query("""SELECT concat('p', p_partkey) AS path, v.line, v.end_line, v.kind, replace(v.name, '?', CAST(p_partkey AS VARCHAR)) AS name, v.signature FROM part, (VALUES
+    (0, 6, 13, 'class', 'Shop?', ''), (0, 9, 12, 'method', 'sell', '(item: string, n = 1): void'), (1, 2, 8, 'class', 'Shop?', ''), (1, 4, 7, 'method', 'sell', '(String item, int n)'),
+    (2, 4, 5, 'class', 'Shop?', ''), (2, 6, 9, 'method', 'Sell', '(item string, n int) int'), (3, 5, 8, 'class', 'Shop?', ''), (3, 6, 8, 'method', 'sell', '(self, item, n=1)')) v(r, line, end_line, kind, name, signature) WHERE p_partkey % 4 = r""")
+def tree_symbols(s: Source):
+    return structure.symbols(_shops(s)).select("path", "line", "end_line", "kind", "name", "signature")
+
+
+@query("""SELECT concat('p', p_partkey) AS path, v.line, replace(v.target, '?', CAST(p_partkey AS VARCHAR)) AS target, v.names FROM part, (VALUES (0, 1, 'lib?', 'a,b as c'), (1, 1, 'java.util.List', 'List'), (2, 2, 'fmt', ''), (3, 1, 'lib', 'a,b')) v(r, line, target, names) WHERE p_partkey % 4 = r""")
+def tree_imports(s: Source):
+    return structure.imports(_shops(s)).select("path", "line", "target", "names")
+
+
+@query("""SELECT concat('p', p_partkey) AS path, concat('Shop', p_partkey) AS child, v.relation, v.parent FROM part, (VALUES (0, 'extends', 'Base'), (0, 'implements', 'Goods'), (0, 'implements', 'Priced'), (1, 'extends', 'Base'), (1, 'implements', 'Goods'), (1, 'implements', 'Priced'),
+    (3, 'extends', 'Base'), (3, 'extends', 'Goods')) v(r, relation, parent) WHERE p_partkey % 4 = r""")
+def tree_hierarchy(s: Source):
+    return structure.hierarchy(_shops(s))
+
+
+@query("""SELECT concat('p', p_partkey) AS path, CASE p_partkey % 4 WHEN 2 THEN 'Sell' ELSE 'sell' END AS caller, v.callee, CASE p_partkey % 4 WHEN 0 THEN 11 WHEN 1 THEN 6 ELSE 8 END AS line FROM part, (VALUES ('load'), ('price')) v(callee)""")
+def tree_calls(s: Source):
+    return structure.calls(_shops(s))
+
+
 # manifests and detectors
 _MANIFEST = """CASE p_partkey % 4 WHEN 0 THEN concat('{"service": {"name": "s', p_partkey, '", "team": "t', p_size, '"}, "exports": [{"type": "api", "name": "/a"}]}')
     WHEN 1 THEN concat('{"service": {"name": "s', p_partkey, '"}, "exports": [{"type": "odd", "name": "x"}, {"type": "event"}]}') WHEN 2 THEN '{"service": ' ELSE '{"exports": []}' END"""
