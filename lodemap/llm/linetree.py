@@ -7,6 +7,11 @@ whose constants make up ``SHARE`` of its tokens, and ``FEWEST`` at least, has th
 template, digits apart.
 A template met in ``DOCS`` documents or more is recurring: its lines are dropped from all documents but the first, so
 what a group of copies says is not lost with the copies. Lines of fewer than ``LEAD`` tokens say too little and are never dropped.
+
+The leading tokens are counted first, without the rest of the line; lines whose leading tokens are too rare go no
+further (a table of at most ``BUCKETS`` hash values is broadcast for that; what passes it wrongly drops out in its leaf).
+Whatever is joined by leaf or template takes two ways (``joins``): those with a large share of the lines are few and
+broadcast, so that none of them lands in one task, and the others are shuffled.
 """
 
 from __future__ import annotations
@@ -14,82 +19,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import joined, sized
 from .storage import written
 
 LEAD, DOCS, SUPPORT, SHARE = 3, 3, 0.05, 0.7
 FEWEST = 5  # constants of a template with variable fields
 WILD = "<*>"
 LEAST = -(2**63)
+BUCKETS = 1 << 20
 
 
 def _masked(text: Column) -> Column:
     """Tokens with a digit become the wildcard (of text with single spaces)."""
-    return F.regexp_replace(text, "[^ ]*[0-9][^ ]*", WILD)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(text)
 
 
 def _plain() -> Column:
     """``line`` with single spaces between its tokens."""
     line = F.col("line")
-    return F.trim(F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("  "))
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+
+
+def _hashed(text: Column, name: str) -> list[Column]:
+    """Two independent 64-bit hashes, which stand for a text of any length."""
+    return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit(7), text).alias(f"{name}2")]
 
 
 def _lines(docs: DataFrame, lead: int) -> DataFrame:
-    """doc, key, n_line, line (single-spaced), leaf (tokens counted, the leading ones with digits masked) of lines of ``lead`` tokens."""
+    """doc, key, n_line, line (single-spaced) and two hashes of its leading tokens, digits masked."""
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("doc"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("n_line", "line"))
-    made = source.withColumn("line", _plain())
-    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    made = made.withColumn("n", tokens).where(F.col("n") >= lead)
-    leaf = F.unhex(F.md5(F.concat_ws(" ", F.col("n").cast("string"), _masked(F.substring_index("line", " ", lead))).cast("binary")))
-    return made.select("doc", "key", "n_line", "line", leaf.alias("leaf"))
+    made = source.withColumn("line", _plain()).withColumn("lead", F.substring_index("line", " ", lead)).withColumn("lead", _masked(F.col("lead")))
+    return made.select("doc", "key", "n_line", "line", *_hashed(F.col("lead"), "lead"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
     """doc, key, n_line of the lines to drop, and their template."""
-    who = F.struct("doc", "key")
-    lines = _lines(docs, lead)
-    busy = lines.select("leaf", "doc", "key").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    shared = lines.join(busy, "leaf").select("leaf", "doc", "key", "n_line", F.split(_masked(F.col("line")), " ").alias("tokens"))
-    shared = written(shared, "shared-lines")
-
-    places = shared.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    sizes = shared.groupBy("leaf").agg(F.count("*").alias("of"))
-    constant = (F.col("n") >= support * F.col("of")) & (F.col("n") >= 2)
-    fixed = places.join(sizes, "leaf").groupBy("leaf", "at").agg(F.collect_set(F.when(constant, F.col("token"))).alias("fixed"))
-    leaves = fixed.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "fixed"))), lambda x: x["fixed"]).alias("fixed"))
-
-    on = F.transform("tokens", lambda t, i: F.array_contains(F.element_at("fixed", i + 1), t) & (t != WILD))
+    leaf, lines = ["n", "lead1", "lead2"], _lines(docs, lead)
+    busy = lines.select("lead1", "lead2", "doc", "key").distinct().groupBy("lead1", "lead2").count().where(F.col("count") >= min_docs)
+    bucket = lambda: F.pmod("lead1", F.lit(BUCKETS)).cast("int")
+    buckets = written(busy.select(bucket().alias("bucket")).distinct(), "busy-leads")
+    shared = lines.join(F.broadcast(buckets), bucket() == F.col("bucket"), "left_semi").withColumn("plain", _masked(F.col("line")))
+    shared = shared.withColumn("n", F.size(F.split("plain", " "))).where(F.col("n") >= lead)
+    shared = written(shared.select("doc", "key", "n_line", "plain", *leaf, *_hashed(F.col("plain"), "line")), "shared-lines")
+
+    each = shared.groupBy(*leaf, "doc", "key").agg(F.count("*").alias("lines"))
+    sizes = sized(each.groupBy(*leaf).agg(F.sum("lines").alias("of"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "of")
+    # what follows goes by different lines, each with the number of its copies
+    line = ["line1", "line2"]
+    unlike = written(shared.groupBy(*leaf, *line, "plain").agg(F.count("*").alias("copies")), "different-lines")
+    # of a hot leaf, only what is constant is joined by leaf: 1 / support tokens of each place
+    found = unlike.select(*leaf, "copies", F.posexplode(F.split("plain", " ")).alias("at", "token")).where(F.col("token") != WILD)
+    found = found.groupBy(*leaf, "at", "token").agg(F.sum("copies").alias("met")).where("met >= 2")
+    found = found.join(F.broadcast(sizes.where("hot").select(*leaf, F.col("of").alias("most"))), leaf, "left").where(F.col("most").isNull() | (F.col("met") >= support * F.col("most")))
+    found = found.join(sizes, leaf).where(F.col("met") >= support * F.col("of")).select(*leaf, "at", "token")
+    every = sizes.select(*leaf, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"), F.lit(None).cast("string").alias("token"))
+    fixed = found.unionByName(every).groupBy(*leaf, "at").agg(F.collect_set("token").alias("fixed")).groupBy(*leaf)
+    fixed = fixed.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "fixed"))), lambda x: x["fixed"]).alias("fixed"))
+    leaves = written(sizes.drop("of").join(fixed, leaf), "leaves")
+
+    on = F.transform("tokens", lambda t, i: F.array_contains(F.get("fixed", i), t))
     general = F.zip_with("tokens", "on", lambda t, o: F.when(o, t).otherwise(WILD))
     met = F.aggregate("on", F.lit(0), lambda a, o: a + o.cast("int"))
-    named = shared.join(leaves, "leaf").withColumn("on", on)
-    template = F.array_join(F.when((met >= share * F.size("tokens")) & (met >= FEWEST), general).otherwise(F.col("tokens")), " ")
-    named = named.select("doc", "key", "n_line", template.alias("template")).withColumn("id", F.unhex(F.md5(F.col("template").cast("binary"))))
-    named = written(named, "line-templates")
-    recurring = named.select("id", "doc", "key").distinct().groupBy("id").agg(F.count("*").alias("docs"), F.min(who).alias("first")).where(F.col("docs") >= min_docs)
-    return named.join(recurring, "id").where(who > F.col("first")).select("doc", "key", "n_line", "template")
+    template = F.when((met >= share * F.size("tokens")) & (met >= FEWEST), F.array_join(general, " ")).otherwise(F.col("plain"))
+    named = joined(unlike, leaves, leaf).withColumn("tokens", F.split("plain", " ")).withColumn("on", on).select(*line, "copies", template.alias("template"))
+    named = sized(named.select("*", *_hashed(F.col("template"), "id")), "copies").drop("copies")
+    named = written(joined(shared.select("doc", "key", "n_line", *line), named, line).drop(*line), "line-templates")
+
+    same, who = ["id1", "id2"], F.struct("doc", "key")
+    each = named.groupBy(*same, "doc", "key").agg(F.count("*").alias("lines"))
+    recurring = each.groupBy(*same).agg(F.sum("lines").alias("of"), F.count("*").alias("docs"), F.min(who).alias("first")).where(F.col("docs") >= min_docs)
+    return joined(named, sized(recurring, "of").drop("of", "docs"), same).where(who > F.col("first")).select("doc", "key", "n_line", "template")
+
+
+def cleaned(docs: DataFrame, **rules: float) -> DataFrame:
+    """row (a struct of the columns of ``docs`` but text, in their order), text without its recurring lines, n_lines, n_dropped."""
+    drop = recurring_lines(docs, **rules).groupBy("doc", "key").agg(F.collect_set("n_line").alias("drop"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    wide = docs.select(F.struct(*rest).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("doc"), F.xxhash64("text").alias("key"))
+    lines = wide.join(drop, ["doc", "key"], "left").withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    return lines.select("row", kept.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, **rules: float) -> DataFrame:
-    """``docs`` with the recurring lines taken out of ``text``, plus n_lines and n_dropped.
+    """``docs`` with the recurring lines taken out of ``text``, plus n_lines and n_dropped (in place of columns of those names).
 
-    Other columns pass through. Order is doc_id (null first), then a hash of the text. Null texts stay null, empty and
-    blank lines stay; rows repeated with id and text share their fate and count as one document.
+    Other columns pass through, whatever they are called. Order is doc_id (null first), then a hash of the text. Null
+    texts stay null (no lines), empty and blank lines stay; rows repeated with id and text share their fate and count
+    as one document. An empty table gives an empty result.
     """
-    drop = recurring_lines(docs, **rules).groupBy("doc", "key").agg(F.collect_set("n_line").alias("_drop"))
-    drop = drop.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_drop")
-    wide = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("_of"), F.xxhash64("text").alias("_text_key"))
-    joined = wide.join(drop, (F.col("_of") == F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
-    lines = F.split("text", "\n")
-    kept = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    out = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return cleaned(docs, **rules).select(*kept, "n_lines", "n_dropped")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Per row of doc_id and text: doc_id, n_lines, n_dropped, kept_sha256 of the text that stays (null: empty)."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines"))
-    n_dropped = F.greatest("n_dropped", F.lit(0).cast("long"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 #: The report in the oracle's SQL, over ``documents``; settings are those above.
