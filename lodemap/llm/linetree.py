@@ -9,7 +9,8 @@ A template met in ``DOCS`` documents or more is recurring: its lines are dropped
 what a group of copies says is not lost with the copies. Lines of fewer than ``LEAD`` tokens say too little and are never dropped.
 
 The leading tokens are counted first, without the rest of the line; lines whose leading tokens are too rare go no
-further (a table of at most ``BUCKETS`` hash values is broadcast for that; what passes it wrongly drops out in its leaf).
+further, nor do those of rare leaves, nor documents without a line to drop to the last join (tables of at most ``BUCKETS``
+hash values are broadcast for that; what passes them wrongly drops out later).
 Whatever is joined by leaf or template takes two ways (``joins``): those with a large share of the lines are few and
 broadcast, so that none of them lands in one task, and the others are shuffled.
 """
@@ -53,13 +54,18 @@ def _lines(docs: DataFrame, lead: int) -> DataFrame:
     return made.select("doc", "key", "n_line", "line", *_hashed(F.col("lead"), "lead"))
 
 
+def _passing(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join by a hash of ``on`` to ``BUCKETS`` values, which are broadcast: what does not pass surely has no partner."""
+    bucket = lambda: F.pmod(F.xxhash64(*on), F.lit(BUCKETS)).cast("int")
+    found = written(keys.select(bucket().alias("bucket")).distinct(), "buckets")
+    return rows.join(F.broadcast(found), bucket() == F.col("bucket"), how)
+
+
 def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, support: float = SUPPORT, share: float = SHARE) -> DataFrame:
     """doc, key, n_line of the lines to drop, and their template."""
     leaf, lines = ["n", "lead1", "lead2"], _lines(docs, lead)
     busy = lines.select("lead1", "lead2", "doc", "key").distinct().groupBy("lead1", "lead2").count().where(F.col("count") >= min_docs)
-    bucket = lambda: F.pmod("lead1", F.lit(BUCKETS)).cast("int")
-    buckets = written(busy.select(bucket().alias("bucket")).distinct(), "busy-leads")
-    shared = lines.join(F.broadcast(buckets), bucket() == F.col("bucket"), "left_semi").withColumn("plain", _masked(F.col("line")))
+    shared = _passing(lines, busy, ["lead1"], "left_semi").withColumn("plain", _masked(F.col("line")))
     shared = shared.withColumn("n", F.size(F.split("plain", " "))).where(F.col("n") >= lead)
     shared = written(shared.select("doc", "key", "n_line", "plain", *leaf, *_hashed(F.col("plain"), "line")), "shared-lines")
 
@@ -67,7 +73,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, sup
     sizes = sized(each.groupBy(*leaf).agg(F.sum("lines").alias("of"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "of")
     # what follows goes by different lines, each with the number of its copies
     line = ["line1", "line2"]
-    unlike = written(shared.groupBy(*leaf, *line, "plain").agg(F.count("*").alias("copies")), "different-lines")
+    unlike = written(_passing(shared, sizes, leaf, "left_semi").groupBy(*leaf, *line, "plain").agg(F.count("*").alias("copies")), "different-lines")
     # of a hot leaf, only what is constant is joined by leaf: 1 / support tokens of each place
     found = unlike.select(*leaf, "copies", F.posexplode(F.split("plain", " ")).alias("at", "token")).where(F.col("token") != WILD)
     found = found.groupBy(*leaf, "at", "token").agg(F.sum("copies").alias("met")).where("met >= 2")
@@ -95,9 +101,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = DOCS, lead: int = LEAD, sup
 def cleaned(docs: DataFrame, **rules: float) -> DataFrame:
     """row (a struct of the columns of ``docs`` but text, in their order), text without its recurring lines, n_lines, n_dropped."""
     drop = recurring_lines(docs, **rules).groupBy("doc", "key").agg(F.collect_set("n_line").alias("drop"))
+    drop = written(drop, "lines-to-drop")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     wide = docs.select(F.struct(*rest).alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST).cast("long")).alias("doc"), F.xxhash64("text").alias("key"))
-    lines = wide.join(drop, ["doc", "key"], "left").withColumn("lines", F.split("text", "\n"))
+    who = ["doc", "key"]
+    whole = _passing(wide, drop, who, "left_anti").withColumn("drop", F.lit(None).cast("array<int>"))
+    lines = _passing(wide, drop, who, "left_semi").join(drop, who, "left").unionByName(whole).withColumn("lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
