@@ -18,25 +18,28 @@ PERCENT = 80  # similarity of near-duplicates, on five-word shingles
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, scores below 0.5."""
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates; n_chars follows the text."""
-    out = linetree.dedup_lines(docs)
-    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", length).select(*docs.columns)
+    length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": length}
+    return linetree.cleaned(docs).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the keys by which the operators tell rows apart."""
-    return docs.select("*", F.col("doc_id").cast("bigint").alias("_doc_id"), F.xxhash64("text").alias("_text_key"))
+    """doc_id and text_key, by which the operators tell rows apart, and row: all columns of ``docs``, whatever they are called."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of keyed ``docs`` with doc_id and text_key of ``keys``."""
-    keys = keys.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"))
-    return docs.join(keys, docs["_doc_id"].eqNullSafe(keys["_of_id"]) & (docs["_text_key"] == keys["_of_key"]), how)
+def _joined(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with doc_id (null equals null) and text_key of ``keys``."""
+    keys = keys.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"))
+    return keyed.join(keys, keyed["doc_id"].eqNullSafe(keys["of_id"]) & (keyed["text_key"] == keys["of_key"]), how)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,17 +49,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     gone = groups.where(~first).select("doc_id", "text_key").distinct()
     twice = storage.written(groups.where(first).groupBy("doc_id", "text_key").count().where("count > 1").drop("count"), "repeated-rows")
     keyed = _keyed(docs)
-    rest = _joined(keyed, gone.union(twice), "left_anti").select(*docs.columns)
+    rest = _joined(keyed, gone.union(twice), "left_anti").select("row.*")
     if twice.isEmpty():
         return rest
-    again = _joined(keyed, twice, "left_semi").groupBy("_doc_id", "_text_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return rest.unionByName(again.select("_row.*"))
+    again = _joined(keyed, twice, "left_semi").groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    return rest.unionByName(again.select("row.*"))
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no window of a benchmark item."""
     hit = winnow.scored(docs, queries.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_key").distinct()
-    return _joined(_keyed(docs), hit, "left_anti").select(*docs.columns)
+    return _joined(_keyed(docs), hit, "left_anti").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
