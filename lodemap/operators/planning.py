@@ -173,6 +173,37 @@ def roadmap_vs_disk(listed: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, "phase", "left_anti").withColumn("finding", F.lit("not_on_disk")).unionByName(b.join(a, "phase", "left_anti").withColumn("finding", F.lit("not_in_roadmap")))
 
 
+def consistency(roadmap: DataFrame, files: DataFrame) -> DataFrame:
+    """check, subject of all that is inconsistent between a roadmap (text) and the planning files (path: phase folder/file, wave).
+
+    Phases on one side only, gaps in the numbering of phases and of a phase's plans, summaries without a plan, plans
+    without a wave. Numbers are compared without leading zeros; phases with decimals leave no gaps.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^0+(?=\d)", "")
+    listed = roadmap.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?i)#{2,4}\s*Phase\s+(\d+(?:\.\d+)?)\s*:"), F.lit(1))).alias("n")).select(bare(F.col("n")).alias("phase")).distinct()
+    at = files.select(F.substring_index("path", "/", 1).alias("folder"), F.substring_index("path", "/", -1).alias("file"), "wave")
+    at = at.withColumn("phase", bare(F.regexp_extract("folder", r"^(\d+(?:\.\d+)?)", 1))).where("phase <> ''")
+    disk = at.select("phase").distinct()
+    plan, summary = F.regexp_extract("file", r"^(.*)-PLAN\.md$", 1), F.regexp_extract("file", r"^(.*)-SUMMARY\.md$", 1)
+    plans = at.withColumn("id", plan).where("id <> ''")
+    say = lambda check, *parts: (F.lit(check).alias("check"), F.concat(*parts).alias("subject"))
+    whole = disk.where(~F.col("phase").contains(".")).select(F.col("phase").cast("int").alias("n"))
+    gap = lambda df, by: df.withColumn("last", F.lag("n").over(Window.partitionBy(*by).orderBy("n"))).where("n > last + 1")
+    numbered = plans.select("folder", F.regexp_extract("file", r"-(\d{2})-PLAN\.md$", 1).cast("int").alias("n")).where("n is not null").distinct()
+    parts = [
+        listed.join(disk, "phase", "left_anti").select(*say("not_on_disk", F.col("phase"))),
+        disk.join(listed, "phase", "left_anti").select(*say("not_in_roadmap", F.col("phase"))),
+        gap(whole, []).select(*say("phase_gap", F.col("last").cast("string"), F.lit(" -> "), F.col("n").cast("string"))),
+        gap(numbered, ["folder"]).select(*say("plan_gap", F.col("folder"), F.lit(": "), F.col("last").cast("string"), F.lit(" -> "), F.col("n").cast("string"))),
+        at.withColumn("id", summary).where("id <> ''").join(plans.select("folder", "id"), ["folder", "id"], "left_anti").select(*say("no_plan", F.col("folder"), F.lit("/"), F.col("file"))),
+        plans.where("wave is null or wave = ''").select(*say("no_wave", F.col("folder"), F.lit("/"), F.col("file"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def references(docs: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """key, path, found: paths that a text names after @ or in backticks."""
     at = F.regexp_extract_all("text", F.lit(r"(?:^|\s)@([\w./-]+\.\w+)"), F.lit(1))

@@ -141,15 +141,44 @@ def validate_manifests(s: Source):
     return M.validate_manifests(_manifests(s)).select("key", "path", "severity")
 
 
-@query("""SELECT concat('f', p_partkey) AS path, v.* FROM part, (VALUES ('export', 'express', 'api', '/items/:id'), ('export', 'kafka_producer', 'event', 'orders.made'), ('export', 'sql_table', 'database', 'orders'), ('export', 'grpc', 'rpc', 'GetItem'),
+@query("""SELECT concat('f', p_partkey) AS path, v.* FROM part, (VALUES ('export', 'express', 'api', '/items/:id'), ('export', 'kafka_producer', 'event', 'orders.made'), ('export', 'orm_model', 'database', 'orders'), ('export', 'grpc', 'rpc', 'GetItem'),
     ('import', 'http_client', 'api', 'stock.internal'), ('import', 'kafka_consumer', 'event', 'orders.paid'), ('import', 'env_url', 'api', 'BILLING')) v(direction, detector, type, name) WHERE p_partkey % 2 = 0""")
 def detect_interfaces(s: Source):
-    text = "app.get('/items/:id', h)\nproducer.send({ topic: 'orders.made' })\nCREATE TABLE IF NOT EXISTS orders (id int)\nservice S { rpc GetItem (A) returns (B); }\naxios.get('https://stock.internal/x')\nconsumer.subscribe({ topics: ['orders.paid'] })\nprocess.env.BILLING_URL"
+    text = "app.get('/items/:id', h)\nproducer.send({ topic: 'orders.made' })\n__tablename__ = 'orders'\nservice S { rpc GetItem (A) returns (B); }\naxios.get('https://stock.internal/x')\nconsumer.subscribe({ topics: ['orders.paid'] })\nprocess.env.BILLING_URL"
     k = F.col("p_partkey")
     files = s("part").select(_say("f", k).alias("path"), F.when(k % 2 == 0, text).otherwise("nothing to see").alias("text"))
     return M.detect_interfaces(files).select("path", "direction", "detector", "type", "name")
 
 
+@query("""SELECT replace(v.path, '?', CAST(p_partkey AS VARCHAR)) AS path, v.direction, v.detector, v.type, replace(v.name, '?', CAST(p_partkey AS VARCHAR)) AS name FROM part, (VALUES (0, 'a?/openapi.yaml', 'export', 'openapi', 'api', '/items'), (0, 'a?/openapi.yaml', 'export', 'openapi', 'api', '/items/{id}'),
+    (1, 'b?/shop.ts', 'export', 'nest', 'api', 'list'), (1, 'b?/shop.ts', 'export', 'entity', 'database', 'goods'), (1, 'b?/shop.ts', 'import', 'kafka_reader', 'event', 'paid.?'), (2, 'c?/tasks.py', 'export', 'celery_function', 'event', 'send_mail'), (2, 'c?/tasks.py', 'export', 'redis_publisher', 'event', 'news'),
+    (2, 'c?/tasks.py', 'import', 'celery_delay', 'event', 'clean_up'), (3, 'd?/package.json', 'export', 'npm', 'package', '@shop/core?'), (4, 'e?/.env.local', 'import', 'compose', 'api', 'stock'), (4, 'e?/.env.local', 'import', 'env_url', 'api', 'STOCK_SERVICE'), (5, 'f?/pyproject.toml', 'export', 'pypi', 'package', 'shop-core')) v(r, path, direction, detector, type, name) WHERE p_partkey % 7 = r""")
+def detect_more(s: Source):
+    k = F.col("p_partkey")
+    shapes = [
+        (_say("a", k, "/openapi.yaml"), F.lit("openapi: 3.0.0\npaths:\n  /items:\n    get:\n  /items/{id}:\n    put:\n")),
+        (_say("b", k, "/shop.ts"), _say("@Controller('shop')\nclass A { @Get('list') all() {} }\n@Entity('goods')\nclass B {}\nawait consumer.subscribe({ fromBeginning: true, topic: 'paid.", k, "' })")),
+        (_say("c", k, "/tasks.py"), F.lit("import redis\n@shared_task(bind=True)\ndef send_mail(self):\n    r.publish('news', 1)\n    clean_up.delay(3)\n")),
+        (_say("d", k, "/package.json"), _say('{"name": "@shop/core', k, '", "version": "1.0.0"}')),
+        (_say("e", k, "/.env.local"), F.lit("STOCK_SERVICE_URL=https://stock-api.internal:80/x\nMODE=dev\n")),
+        (_say("f", k, "/pyproject.toml"), F.lit('[project]\nname = "shop-core"\n')),
+        (_say("g", k, "/notes.yaml"), F.lit("x:\n  /items:\n")),
+    ]
+    path, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for r, (p, t) in enumerate(shapes):
+        path, text = F.when(k % 7 == r, p).otherwise(path), F.when(k % 7 == r, t).otherwise(text)
+    return M.detect_interfaces(s("part").select(path.alias("path"), text.alias("text"))).select("path", "direction", "detector", "type", "name")
+
+
+@query("""SELECT * FROM (VALUES ('not_on_disk', '4'), ('not_in_roadmap', '7'), ('not_in_roadmap', '2.1'), ('phase_gap', '3 -> 7'), ('plan_gap', '01-base: 2 -> 4'), ('no_plan', '03-ui/03-02-SUMMARY.md'), ('no_wave', '02-api/02-01-PLAN.md')) v("check", subject)""")
+def consistency_report(s: Source):
+    from ..operators import planning
+
+    roadmap = s.rows([("## Roadmap\n### Phase 1: Base\n#### Phase 02: Api\n## phase 3 : Ui\n### Phase 4: Later\nPhase 9: no heading",)], "text string")
+    files = [("01-base/01-01-PLAN.md", "1"), ("01-base/01-02-PLAN.md", "1"), ("01-base/01-04-PLAN.md", "2"), ("02-api/02-01-PLAN.md", None), ("02-api/02-01-SUMMARY.md", None), ("2.1-fix/2.1-01-PLAN.md", "1"), ("03-ui/03-01-PLAN.md", "1"), ("03-ui/03-02-SUMMARY.md", None), ("07-odd/notes.md", None), ("misc/07-09-PLAN.md", None)]
+    return planning.consistency(roadmap, s.rows(files, "path string, wave string"))
+
+
 @query("""SELECT 'export' AS direction, 'api' AS type, concat('/r', p_size) AS name, 'express' AS detector, min(concat('f', p_partkey)) AS path FROM part GROUP BY p_size""")
 def dedup_interfaces(s: Source):
     files = s("part").select(_say("f", F.col("p_partkey")).alias("path"), _say("router.post('/r", F.col("p_size"), "', h); router.get('/r", F.col("p_size"), "', g)").alias("text"))

@@ -13,25 +13,56 @@ from pyspark.sql import functions as F
 EXPORTS = {
     "express": ("api", r"(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"),
     "fastapi": ("api", r"@(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"),
+    "nest": ("api", r"@(?:Get|Post|Put|Patch|Delete)\(\s*['\"]([^'\"]+)['\"]\s*\)"),
+    "openapi": ("api", r"(?m)^\s{2,4}(/[^\s:]*):\s*$"),
     "grpc": ("rpc", r"\brpc\s+(\w+)\s*\("),
-    "kafka_producer": ("event", r"(?:producer\.send|\.produce)\(\s*(?:\{\s*topic:\s*)?['\"]([\w.-]+)['\"]"),
+    "kafka_producer": ("event", r"(?:producer\.send|kafkaTemplate\.send|\.produce)\(\s*(?:\{\s*topic:\s*)?['\"]([\w.-]+)['\"]"),
     "rabbit_publisher": ("event", r"(?:basic_publish|publish)\([^)]*?routing_key\s*=\s*['\"]([\w.-]+)['\"]"),
+    "rabbit_queue": ("event", r"\.sendToQueue\(\s*['\"]([^'\"]+)['\"]"),
+    "redis_publisher": ("event", r"(?i)redis[\s\S]*?\.publish\(\s*['\"]([^'\"]+)['\"]"),
+    "celery_function": ("event", r"@(?:app\.task|shared_task|celery\.task)(?:\s*\([^)]*\))?\s*\n(?:async\s+)?def\s+(\w+)"),
     "celery_task": ("event", r"@(?:celery|app|shared)_?\.?task\(.*?name\s*=\s*['\"]([\w.]+)['\"]"),
     "sql_table": ("database", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?(\w+)"),
-    "orm_model": ("database", r"__tablename__\s*=\s*['\"](\w+)['\"]"),
+    "orm_model": ("database", r"(?:__tablename__|db_table)\s*=\s*['\"](\w+)['\"]"),
+    "entity": ("database", r"@Entity\(\s*['\"](\w+)['\"]\s*\)"),
 }
 IMPORTS = {
     "http_client": ("api", r"(?:axios|requests|fetch|http)(?:\.\w+)?\(\s*[`'\"]https?://([\w.-]+)"),
     "env_url": ("api", r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*)_(?:URL|HOST|ENDPOINT)\b"),
     "kafka_consumer": ("event", r"(?:subscribe|consume)\(\s*(?:\{\s*topics?:\s*\[?\s*)?\[?['\"]([\w.-]+)['\"]"),
+    "kafka_reader": ("event", r"(?:KafkaConsumer\(\s*|subscribe\(\s*\{[^}]*?topic:\s*|@KafkaListener\([^)]*?topics\s*=\s*)['\"]([\w.-]+)['\"]"),
+    "celery_delay": ("event", r"\b(\w+)\.(?:delay|apply_async)\("),
     "celery_call": ("event", r"send_task\(\s*['\"]([\w.]+)['\"]"),
 }
 
 
+#: The files that a detector reads, where it does not read all.
+FILES = {"openapi": r"(?i)(?:openapi|swagger)\.(?:ya?ml|json)$", "sql_table": r"(?i)\.(?:sql|migration)$|migration"}
+#: Package files, and the pattern of the package's name; the last group that finds one counts.
+PACKAGES = {"npm": (r"(?:^|/)package\.json$", r"\"name\"\s*:\s*\"([^\"]+)\""), "pypi": (r"(?:^|/)(?:pyproject\.toml|setup\.py)$", r"(?m)^\s*name\s*=\s*['\"]([^'\"]+)['\"]")}
+
+
+def detect_packages(files: DataFrame) -> DataFrame:
+    """path, detector, type, name of the package that a package file declares."""
+    first = lambda d, on, p: F.when(F.col("path").rlike(on), F.struct(F.lit(d).alias("detector"), F.regexp_extract("text", p, 1).alias("name")))
+    found = F.coalesce(*[first(d, on, p) for d, (on, p) in PACKAGES.items()])
+    return files.withColumn("f", found).where("f.name <> ''").select("path", "f.detector", F.lit("package").alias("type"), "f.name")
+
+
+def compose_services(files: DataFrame) -> DataFrame:
+    """path, detector, type, name: the services that variables of environment and compose files point to, by their address."""
+    own = files.where(F.col("path").rlike(r"(?i)(?:^|/)(?:\.env(?:\.\w+)?|[^/]*docker-compose[^/]*)$"))
+    urls = F.regexp_extract_all("text", F.lit(r"\w+(?:_API_URL|_SERVICE_URL|_BASE_URL|_ENDPOINT|_HOST)\s*[=:]\s*['\"]?([^\s'\"#]+)"), F.lit(1))
+    named = own.select("path", F.explode(F.array_distinct(urls)).alias("url")).select("path", F.lit("compose").alias("detector"), F.lit("api").alias("type"), service_name("url").alias("name"))
+    return named.where("name <> ''").distinct()
+
+
 def detect(files: DataFrame, detectors: dict[str, tuple[str, str]]) -> DataFrame:
-    """path, detector, type, name: every distinct name that a detector finds in a file."""
+    """path, detector, type, name: every distinct name that a detector finds in a file that it reads."""
     def hits(name: str, kind: str, pattern: str):
         names = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
+        if name in FILES:
+            names = F.when(F.col("path").rlike(FILES[name]), names).otherwise(F.array().cast("array<string>"))
         return F.transform(names, lambda x: F.struct(F.lit(name).alias("detector"), F.lit(kind).alias("type"), x.alias("name")))
 
     found = F.concat(*[hits(d, t, p) for d, (t, p) in detectors.items()])
@@ -39,8 +70,9 @@ def detect(files: DataFrame, detectors: dict[str, tuple[str, str]]) -> DataFrame
 
 
 def detect_interfaces(files: DataFrame) -> DataFrame:
-    """As ``detect`` for exports and imports, with the direction."""
-    return detect(files, EXPORTS).withColumn("direction", F.lit("export")).unionByName(detect(files, IMPORTS).withColumn("direction", F.lit("import")))
+    """As ``detect`` for exports (packages too) and imports (addresses in environments too), with the direction."""
+    out = detect(files, EXPORTS).unionByName(detect_packages(files)).withColumn("direction", F.lit("export"))
+    return out.unionByName(detect(files, IMPORTS).unionByName(compose_services(files)).withColumn("direction", F.lit("import")))
 
 
 def dedup_interfaces(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.diff import changed_files
-from ..sources import source_code
+from ..sources import source_code, structure
 
 FEED = T.StructType([T.StructField(n, t) for n, t in (("status", T.StringType()), ("path", T.StringType()), ("old_path", T.StringType()), ("text", T.StringType()), ("ts", T.TimestampType()))])
 
@@ -57,8 +57,8 @@ def apply_changes(files: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def derive(files: DataFrame) -> dict[str, DataFrame]:
-    """Symbols, imports and hierarchy of the files; an incremental state derives what a full rebuild derives."""
-    return {"symbols": source_code.symbols(files), "imports": source_code.imports(files), "hierarchy": source_code.hierarchy(files)}
+    """Symbols, imports, hierarchy and calls of the files; an incremental state derives what a full rebuild derives."""
+    return {"symbols": structure.symbols(files), "imports": structure.imports(files), "hierarchy": structure.hierarchy(files), "calls": structure.calls(files)}
 
 
 def maintain(feed: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None], checkpoint: str, once: bool = True) -> StreamingQuery:
