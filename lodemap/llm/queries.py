@@ -20,42 +20,52 @@ def tokenizer_path() -> str:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a transport stream and read back: payload, digests and stream features per row."""
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, placed in sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates dropped: counts and the digest of what stays, per row."""
     return linetree.line_report(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes under a 100-byte string that also starts earlier, removed: counts and the digest of what stays, per row."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of benchmark windows that each document holds."""
     return winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates of each document, at 85 %."""
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document under the law ``rows``."""
     return ring.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document, by a model fitted without the held-out fifth."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of secrets and the linked parts of credentials in each text."""
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of content-defined chunks in each text."""
     return gearcdc.repeated_chunks(table(spark, sf_dir, "documents"))
 
 
