@@ -19,6 +19,20 @@ def diff(base: DataFrame, now: DataFrame, keys: list[str], compare: list[str]) -
     return out.select(*keys, "change", F.when(F.col("change") == "modified", F.array_join(differ, ",")).alias("changed"))
 
 
+def graph_changes(base: dict[str, DataFrame], now: dict[str, DataFrame]) -> DataFrame:
+    """section, subject, change, changed between two code graphs: files, exported symbols, modules and interfaces (by name and file)."""
+
+    def section(name: str, keys: list[str], compare: list[str], where: str = "true") -> DataFrame:
+        a, b = (g[name].where(where).select(*keys, *compare).distinct() for g in (base, now))
+        found = diff(a, b, keys, compare) if compare else diff(a.withColumn("_", F.lit(0)), b.withColumn("_", F.lit(0)), keys, ["_"])
+        return found.select(F.lit(name).alias("section"), F.concat_ws("::", *keys).alias("subject"), "change", "changed")
+
+    out = section("files", ["path"], ["module", "loc", "complexity_score"])
+    out = out.unionByName(section("symbols", ["file", "name"], [], "exported"))
+    out = out.unionByName(section("modules", ["name"], ["file_count", "stability"]))
+    return out.unionByName(section("interfaces", ["file", "name"], ["contract_hash"]))
+
+
 def breaking_interfaces(base: DataFrame, now: DataFrame) -> DataFrame:
     """name, file, old_hash, new_hash of interfaces in both whose contract hashes are known and differ."""
     a = base.select("name", "file", F.col("contract_hash").alias("old_hash"))

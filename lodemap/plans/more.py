@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -111,8 +112,6 @@ def largest_files(s: Source):
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, path) AS BIGINT) AS place, path, score FROM (SELECT path, complexity_score AS score FROM snapshot_b) q QUALIFY place <= 500 OR score IS NULL""")
 def null_order(s: Source):
-    from pyspark.sql import Window
-
     b = s("snapshot_b").select("path", F.col("complexity_score").alias("score"))
     return b.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "path")).cast("long")).where("place <= 500 or score is null")
 
@@ -209,8 +208,6 @@ def list_todos(s: Source):
 
 @query("""SELECT name, CAST(row_number() OVER (ORDER BY CAST(split_part(name, '-', 1) AS DOUBLE), name) AS BIGINT) AS place FROM (SELECT DISTINCT concat(o_custkey % 12, CASE WHEN o_custkey % 5 = 0 THEN '.2' ELSE '' END, '-phase') AS name FROM orders) q""")
 def list_phases(s: Source):
-    from pyspark.sql import Window
-
     k = F.col("o_custkey")
     name = F.concat((k % 12).cast("string"), F.when(k % 5 == 0, ".2").otherwise(""), F.lit("-phase"))
     phases = P.list_phases(s("orders").select(name.alias("name")).distinct())
@@ -346,6 +343,32 @@ def snapshot_against_latest(s: Source):
     return D.snapshot_diff(old, new)["languages"].select("language", "change")
 
 
+@query("""WITH m AS (SELECT a.name, a.file_count AS x, b.file_count AS y FROM (SELECT module AS name, count(*) AS file_count FROM snapshot_a GROUP BY 1) a JOIN (SELECT module AS name, count(*) AS file_count FROM snapshot_b GROUP BY 1) b ON a.name = b.name)
+    SELECT 'files' AS section, path AS subject, 'added' AS change, CAST(NULL AS VARCHAR) AS changed FROM snapshot_b WHERE path NOT IN (SELECT path FROM snapshot_a) UNION ALL SELECT 'files', path, 'removed', NULL FROM snapshot_a WHERE path NOT IN (SELECT path FROM snapshot_b)
+    UNION ALL SELECT 'files', path, 'modified', concat_ws(',', CASE WHEN a.loc <> b.loc THEN 'loc' END, CASE WHEN a.complexity_score IS DISTINCT FROM b.complexity_score THEN 'complexity_score' END) FROM snapshot_a a JOIN snapshot_b b USING (path) WHERE a.loc <> b.loc OR a.complexity_score IS DISTINCT FROM b.complexity_score
+    UNION ALL SELECT DISTINCT 'symbols', concat(file, '::', name), 'removed', NULL FROM symbols WHERE exported AND id % 5 = 0
+    UNION ALL SELECT 'modules', name, 'modified', 'file_count' FROM m WHERE x <> y
+    UNION ALL SELECT 'interfaces', concat(file, '::', name), 'modified', 'contract_hash' FROM interfaces WHERE id % 11 = 0 AND id % 5 <> 0 UNION ALL SELECT 'interfaces', concat(file, '::', name), 'removed', NULL FROM interfaces WHERE id % 5 = 0""")
+def graph_changes(s: Source):
+    mods = lambda f: f.groupBy(F.col("module").alias("name")).agg(F.count("*").alias("file_count")).withColumn("stability", F.lit("high"))
+    base = {"files": s("snapshot_a"), "symbols": s("symbols"), "modules": mods(s("snapshot_a")), "interfaces": s("interfaces")}
+    faces = s("interfaces").where("id % 5 <> 0").withColumn("contract_hash", F.when(F.col("id") % 11 == 0, "changed").otherwise(F.col("contract_hash")))
+    now = {"files": s("snapshot_b"), "symbols": s("symbols").where("id % 5 <> 0"), "modules": mods(s("snapshot_b")), "interfaces": faces}
+    return D.graph_changes(base, now)
+
+
+@query("""SELECT p_brand AS module, count(*) AS total, CASE CAST(substr(p_brand, 7) AS INTEGER) % 4 WHEN 0 THEN 'camelCase' WHEN 1 THEN 'snake_case' WHEN 2 THEN 'PascalCase' ELSE 'mixed' END AS style FROM part GROUP BY p_brand""")
+def naming_styles(s: Source):
+    n = F.expr("cast(substring(p_brand, 7) as int)")
+    words = F.split(F.regexp_replace("p_name", "[^a-z ]", ""), " ")
+    a, b = F.lower(words[0]), F.lower(words[1])
+    even = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) % 2 == 0
+    camel, snake, pascal = F.concat(a, F.initcap(b)), F.concat_ws("_", a, b), F.concat(F.initcap(a), F.initcap(b))
+    name = F.when(n % 4 == 0, camel).when(n % 4 == 1, snake).when(n % 4 == 2, pascal).otherwise(F.when(even, camel).otherwise(snake))
+    symbols = s("part").select(F.col("p_brand").alias("module"), name.alias("name"), F.lit(True).alias("exported"), F.lit("function").alias("kind"))
+    return S.naming_conventions(symbols, "module").select("module", "total", "style")
+
+
 @query("""WITH w AS (SELECT id, category, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))) AS w FROM requirements), f AS (SELECT min_by(category, id) AS category, min(id) AS id, w FROM w GROUP BY w)
     SELECT a.id AS a, b.id AS b, CASE WHEN a.category = b.category THEN 'potential_duplicate' ELSE 'overlapping_scope' END AS kind FROM f a JOIN f b ON a.id < b.id
     WHERE len(list_intersect(a.w, b.w)) > CASE WHEN a.category = b.category THEN 0.8 ELSE 0.6 END * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
