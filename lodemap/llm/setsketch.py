@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, joined_components
 from .kernels import arrow_bytes, blocks, lower_ascii_table, mix64, rows_of, span_hash, span_ids, word_grams, word_spans
 from .storage import written
 
@@ -362,20 +362,16 @@ def grouped(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFram
         return written(apart.select("a", "b"), "cross-pairs")
 
     rest = cross(likely.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = links.unionByName(written(_verified(rest, texts_of(rest), percent, size), "links"))
-    roots = written(connected_components(links), "roots")
+    roots = joined_components(roots, _verified(rest, texts_of(rest), percent, size))
 
     mixed = written(_mixed(multi, roots), "mixed-buckets")
     crowded = mixed.where(F.col("na") > SMALL)
     wanted = crowded.select("cid").distinct()
     sets = written(_set_rows(texts_of(wanted.select(F.col("cid").alias("a"), F.col("cid").alias("b"))), size), "sets")
-    dense = written(_crowded_links(crowded, reps, sets, percent), "crowded-links")
-    links = links.unionByName(written(_verified(dense, texts_of(dense), percent, size), "links"))
-    roots = written(connected_components(links), "roots")
+    dense = _crowded_links(crowded, reps, sets, percent)
     few = _left_over(mixed, reps, percent).join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = cross(few)
-    links = links.unionByName(written(_verified(rest, texts_of(rest), percent, size), "links"))
-    roots = written(connected_components(links), "roots")
+    rest = written(dense.unionByName(few), "left-over")
+    roots = joined_components(roots, _verified(rest, texts_of(rest), percent, size))
 
     named = reps.select("cid", "digest", "first", "pick").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min("pick").alias("pick"))
