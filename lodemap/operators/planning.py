@@ -131,7 +131,7 @@ def fill_budget(items: DataFrame, by: str, order: str, size: str, budget: int) -
 
 def select_agents(signals: DataFrame, catalogue: DataFrame, most: int = 3) -> DataFrame:
     """task, agent, score: weighted matches (task, kind, value) against the catalogue (agent, kind, value, weight, priority)."""
-    scored = signals.distinct().join(F.broadcast(catalogue), ["kind", "value"]).groupBy("task", "agent").agg(F.sum("weight").alias("points"), F.max("priority").alias("priority"))
+    scored = signals.distinct().join(catalogue, ["kind", "value"]).groupBy("task", "agent").agg(F.sum("weight").alias("points"), F.max("priority").alias("priority"))
     scored = scored.select("task", "agent", (F.col("points") + F.col("priority")).alias("score"))
     w = Window.partitionBy("task")
     top = scored.withColumn("best", F.max("score").over(w)).where(F.col("score") >= 0.5 * F.col("best"))
@@ -215,7 +215,7 @@ def references(docs: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def plan_signals(plans: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """key, value: dictionary words (value) of a plan's text, as whole words; an equi-join on the words."""
     words = plans.select(key, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9.+#-]+"))).alias("value"))
-    return words.join(F.broadcast(dictionary.select(F.lower("value").alias("value")).distinct()), "value").select(key, "value")
+    return words.join(dictionary.select(F.lower("value").alias("value")).distinct(), "value").select(key, "value")
 
 
 def prune_sections(text: Column, signals: list[str]) -> Column:

@@ -257,7 +257,8 @@ def cycles(s: Source):
     SELECT (SELECT min(src) FROM cyclic_edges) AS src, g.n AS dst, coalesce(min(w.depth), -1) AS length FROM (SELECT DISTINCT dst AS n FROM cyclic_edges) g LEFT JOIN w ON w.node = g.n GROUP BY g.n""")
 def shortest_path(s: Source):
     e = s("cyclic_edges")
-    pairs = e.agg(F.min("src").alias("src")).crossJoin(e.select("dst").distinct())
+    first = e.agg(F.min("src")).first()[0]
+    pairs = e.select(F.lit(first).cast("long").alias("src"), "dst").distinct()
     return graph.shortest_paths(e, pairs).select("src", "dst", "length")
 
 
