@@ -2,7 +2,9 @@
 
 A cut falls where the top bits of the gear hash of the last 32 bytes are zero, at least ``LEAST`` and at most ``MOST``
 bytes after the cut before (a shorter tail joins the last chunk); cuts depend on content alone, so they resist shifts from insertions. Chunks are
-deduplicated by a 128-bit digest: the first in (doc_id, place) order stays, later ones go.
+deduplicated by a 128-bit digest: the first in (doc_id, place) order stays, later ones go where they are part of a
+passage: a run of adjacent repeated chunks of at least ``PASSAGE`` bytes, or the whole text. Shorter runs are phrases
+that language itself repeats, and stay.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64, rows_of
+from .joins import joined, sized
 from .storage import written
 
 LEAST, MOST, CUT_BITS = 32, 256, 5
+PASSAGE = 128
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -98,8 +102,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(scan, "doc_id bigint, text_key bigint, n_bytes bigint, chunks array<struct<d1:bigint,d2:bigint,first:int,size:int>>")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Per input row: doc_id, n_bytes, n_chunks, n_repeats (chunks that stand earlier), n_removed bytes, n_spans, removed.
+def repeated_chunks(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """Per input row: doc_id, n_bytes, n_chunks, n_repeats (chunks that go), n_removed bytes, n_spans, removed.
 
     ``removed`` lists the maximal removed byte runs as start:end, comma-joined. Order is doc_id (null first), then
     text and place; rows with equal doc_id and text share their fate, and the first keeps its chunks. Empty and null
@@ -108,8 +112,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     table = written(chunks(docs), "chunks")
     flat = table.select("doc_id", "text_key", F.inline("chunks"))
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"), F.col("text_key").alias("key"), F.col("first").alias("at"))
-    firsts = flat.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1").select("d1", "d2", "kept")
-    later = flat.withColumn("place", place).join(firsts, ["d1", "d2"]).where("place > kept")
+    firsts = flat.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("kept")).where("n > 1")
+    later = joined(flat.withColumn("place", place), sized(firsts, "n").drop("n"), ["d1", "d2"]).where("place > kept")
     spans = later.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("size")).alias("last")))).alias("s"))
     spans = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "s")
     out = table.join(spans, table["doc_id"].eqNullSafe(spans["d"]) & (table["text_key"] == spans["t"]), "left")
@@ -118,15 +122,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             repeats, removed, runs_, said = [], [], [], []
-            for value in batch.column(3):
+            for value, size in zip(batch.column(3), batch.column(1).to_pylist(), strict=True):
                 found = value.values if value.is_valid else None
                 first, last = (found.field(k).to_numpy() for k in (0, 1)) if found is not None else (np.zeros(0, np.int32),) * 2
                 opens = np.flatnonzero(np.append(True, first[1:] != last[:-1])) if len(first) else np.zeros(0, np.int64)
-                lo, hi = first[opens].tolist(), last[np.append(opens[1:] - 1, len(last) - 1)].tolist() if len(first) else []
-                repeats.append(len(first))
-                removed.append(sum(hi) - sum(lo))
-                runs_.append(len(lo))
-                said.append(",".join(f"{a}:{b}" for a, b in zip(lo, hi, strict=True)))
+                lo, hi = (first[opens], last[np.append(opens[1:], len(last)) - 1]) if len(first) else (first, last)
+                on = (hi - lo >= passage) | (hi - lo == size)
+                repeats.append(int(np.diff(np.append(opens, len(first)))[on].sum()))
+                removed.append(int((hi - lo)[on].sum()))
+                runs_.append(int(on.sum()))
+                said.append(",".join(f"{a}:{b}" for a, b in zip(lo[on].tolist(), hi[on].tolist(), strict=True)))
             made = [pa.array(x, pa.int64()) for x in (repeats, removed, runs_)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made, pa.array(said, pa.string())], [x.split()[0] for x in schema.split(", ")])
 
