@@ -60,3 +60,48 @@ def test_rows_go_by_id_and_text(spark, tmp_path):
     clean = corpus_pipeline.reject_contaminated(spark, docs, str(tmp_path)).collect()
     want = [x for x in rows if x[1] not in (a, near(a))]
     assert sorted(map(str, ((x["doc_id"], x["text"]) for x in clean))) == sorted(map(str, want))
+
+
+def test_stages_equal_plain_versions(spark, stages):
+    """Each stage on its own input: the report's SQL, windows of ten words, the tokenizer's ids; the classifier by its score."""
+    import hashlib
+    import re
+    import zlib
+
+    import numpy as np
+
+    from lodemap.llm import linetree, packing, queries, toxicity
+
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    tox, lines, near, clean, packed = stages
+    scores = toxicity.score(documents, toxicity.train(documents, queries.table(spark, FOLDER, "labels"))).toPandas()
+    assert sorted(tox.doc_id) == sorted(scores[scores.score < 0.5].doc_id)
+
+    con = duckdb.connect()
+    con.register("documents", tox)
+    want = {d: sha for d, _, _, sha in con.execute(linetree.REPORT_SQL).fetchall()}
+    assert {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in zip(lines.doc_id, lines.text, strict=True)} == want
+    assert all(n == len(t) for n, t in zip(lines.n_chars, lines.text, strict=True) if t is not None)
+
+    def windows(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return w, {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+
+    items = [windows(t)[1] for (t,) in duckdb.sql(f"SELECT text FROM '{FOLDER}/benchmark.parquet'").fetchall()]
+    marks = set().union(*items)
+    short = {len(m) for m in marks if len(m) < 10}
+
+    def contaminated(text):
+        w, own = windows(text)
+        return bool(marks & own) or any(tuple(w[i : i + n]) in marks for n in short for i in range(len(w) - n + 1))
+
+    assert sorted(clean.doc_id) == sorted(d for d, t in zip(near.doc_id, near.text, strict=True) if not contaminated(t))
+
+    encoder = packing._Encoder(queries.tokenizer_path()).encoder
+    pieces = set()
+    for d, t in zip(clean.doc_id, clean.text, strict=True):
+        ids = [*encoder.encode(t or "", add_special_tokens=False).ids, 0]
+        pieces |= {(d, k, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 2048))}
+    assert set(zip(packed.doc_id, packed.piece, packed.length, packed.ids_crc32, strict=True)) == pieces
+    ends = packed.assign(end=packed.offset + packed.length).groupby("sequence_id").agg(n=("length", "sum"), end=("end", "max"))
+    assert (ends.n == ends.end).all() and ends.end.max() <= 2048
