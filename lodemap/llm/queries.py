@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gearcdc, linetree, media, packing, repair, ring, secrets, setsketch, spelling, suffix, toxicity, winnow
+from . import chat, gearcdc, linetree, media, packing, repair, ring, secrets, setsketch, spelling, suffix, toxicity, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +79,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation written into the chat template, and what is read back from there."""
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": linetree.REPORT_SQL, "op5_benchmark_decontamination": winnow.REPORT_SQL}
+    return {"op3_line_dedup": linetree.REPORT_SQL, "op5_benchmark_decontamination": winnow.REPORT_SQL, "op13_chat_formatting": chat.REPORT_SQL}
