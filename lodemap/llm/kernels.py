@@ -77,7 +77,7 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
         on = left > 8
         who, at, left = who[on], at[on] + 8, left[on] - 8
     for k in np.flatnonzero(n > _LONG_WORD).tolist():
-        digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(2, "little")).digest()
+        digest = hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
         h[k] = np.frombuffer(digest, "<u8")[0]
     return h
 

@@ -172,6 +172,50 @@ def test_repeats_equal_brute_force(spark, corpus, rows, group, monkeypatch):
     assert suffix.remove_repeats(empty(corpus)).count() == 0
 
 
+def test_repeats_of_many_texts_without_an_id(spark):
+    """Texts of one id are told apart by their whole key: 12,000 of them equal brute force, in the order of their keys."""
+    import xxhash
+
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = prose(180)
+    texts = [prose(110) if k % 2 else shared[r.randint(0, 80) :] + prose(30) for k in range(12_000)]
+    half, a, b = prose(150), prose(150), prose(300)
+    rows = [(1, half), (5, half + a), (5, b), *((None, t) for t in texts)]
+    key = lambda x: (x[0] is not None, x[0] or 0, (xxhash.xxh64_intdigest(x[1].encode(), 42) + 2**63) % 2**64)
+    seen, want = set(), Counter()
+    for d, t in sorted(rows, key=key):
+        gone, own = bytearray(len(t)), set()
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen or t[i : i + 100] in own:
+                gone[i : i + 100] = b"\1" * 100
+            own.add(t[i : i + 100])
+        seen |= own
+        want[d, len(t), sum(gone), sha(bytes(x for x, y in zip(t.encode(), gone, strict=True) if not y))] += 1
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"], x["kept_sha256"]) for x in got.collect()) == want
+
+
+def test_texts_made_to_collide_keep_their_bytes(spark):
+    """Two texts of 100 bytes of equal ``span_hash`` under a known seed, with the same anchor: neither repeats the other."""
+    r, mask, step = random.Random(1), 2**64 - 1, int(kernels._SEED)
+    mix = lambda x: int(kernels.mix64(np.array([x & mask], np.uint64))[0])
+    word = lambda: bytes(r.choice(b"abcdefghijklmnop") for _ in range(8))
+    of = lambda b: int.from_bytes(b, "little")
+    begin = mix(100 + step)
+    while True:
+        rest, one, two, other = b"".join(word() for _ in range(11))[:84], word(), word(), word()
+        last = (mix((begin ^ of(one)) + step) ^ of(two) ^ mix((begin ^ of(other)) + step)).to_bytes(8, "little")
+        x, y = one + two + rest, other + last + rest
+        anchors = [int(kernels.gram_hash(np.frombuffer(t, np.uint8), suffix.GRAM).argmin()) for t in (x, y)]
+        if max(last) < 128 and anchors[0] == anchors[1] >= 16:
+            break
+    arrays = [np.frombuffer(t, np.uint8) for t in (x, y)]
+    assert x != y and len({int(kernels.span_hash(t, np.array([0]), np.array([100]))[0]) for t in arrays}) == 1
+    got = suffix.remove_repeats(spark.createDataFrame([(1, x.decode()), (2, y.decode())], "doc_id long, text string"))
+    assert [q["n_removed"] for q in got.collect()] == [0, 0]
+
+
 # 5 winnowing
 def test_decontamination_equals_brute_force(spark, corpus, rows):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
