@@ -350,7 +350,7 @@ def grouped(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFram
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(keyed, "cid")
         same = source["doc_id"].eqNullSafe(wanted["rep_id"]) & (source["text_key"] == wanted["rep_key"])
-        return source.join(wanted, same).select("cid", "text")
+        return source.join(wanted, same).groupBy("cid").agg(F.first("text").alias("text"))  # a repeated row once
 
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
     links = written(_verified(best, texts_of(best), percent, size), "links")

@@ -271,3 +271,16 @@ def test_stages_take_any_columns_and_empty_tables(spark, crowded, stage):
     if name == "benchmark_decontamination":
         assert len(kept) == docs.count() - 1 and not any(d == 7 for d, _ in kept)
     assert f(spark, docs.limit(0), none).count() == 0
+
+
+def test_near_texts_in_many_copies_verify_one_pair(spark, monkeypatch):
+    """A class of equal texts gives one text to verify, whatever its repeated rows and null ids."""
+    given = []
+    plain = setsketch._verified
+    monkeypatch.setattr(setsketch, "_verified", lambda pairs, texts, *more: given.append((pairs, texts)) or plain(pairs, texts, *more))
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = spark.createDataFrame([(None, a)] * 2000 + [(None, b)] * 2000 + [(4, a)] * 10, "doc_id long, text string").repartition(4)
+    out = setsketch.near_duplicates(docs)
+    assert {(r["component_id"], r["n_shingles"]) for r in out.collect()} == {(4, 196)}
+    assert given and all(texts.count() <= 2 for _, texts in given) and sum(pairs.count() for pairs, _ in given) == 1
