@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import lower_ascii_table, mix64, rows_of, span_hash, word_spans
+from .storage import written
 
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 20.0, 1.0
@@ -78,14 +79,18 @@ def fit(examples: list[np.ndarray], labels: list[int], bits: int = BITS, epochs:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, their weights, bias) learnt from at most ``rows`` labelled documents outside the held-out fifth.
 
-    The sample is the rows of smallest hash, so it does not depend on order. Documents are reduced to their features
-    on the executors, where they stand; the reductions of the sample, at most ``rows`` of them, are shuffled to the one
-    task that fits the model. Without any labelled rows, the model is the constant 0.
+    The sample is the rows of smallest hash of the id, then of the text, so it does not depend on order; of the rows of
+    one id and text one is taken, whatever their number. Documents are reduced to their features on the executors, where
+    they stand; the reductions of the sample, at most ``rows`` of them, are shuffled to the one task that fits the
+    model. Without any labelled rows, the model is the constant 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    held = texts.select("doc_id", "text_key").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "text_key").agg(F.max("toxic").alias("toxic"))
+    sample = written(held.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(rows), "sample")
+    texts = texts.join(F.broadcast(sample), ["doc_id", "text_key"]).select("doc_id", "text", "toxic", "text_key")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: i
                 row, x = features(data, offs, bits)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 found += [x[edge[k] : edge[k + 1]].astype("<u4").tobytes() for k in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(found, pa.binary())], ["doc_id", "text_key", "toxic", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(i, y, x) for b in batches for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        got = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         got.sort(key=lambda r: (hash_order(r[0]), r[2]))
         w, b = fit([np.frombuffer(x, "<u4") for *_, x in got], [y for _, y, _ in got], bits) if got else (np.zeros(1 << bits), 0.0)
         at = np.flatnonzero(w)
@@ -106,8 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, bits: i
     def hash_order(doc: int) -> int:
         return int(mix64(np.array([doc & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
-    reduced = texts.mapInArrow(reduce, "doc_id bigint, toxic int, x binary")
-    got = reduced.repartition(1).mapInArrow(learn, "at bigint, w double").collect()  # at most 2 ** bits weights
+    reduced = texts.mapInArrow(reduce, "doc_id bigint, text_key bigint, toxic int, x binary").groupBy("doc_id", "text_key").agg(F.first("toxic").alias("toxic"), F.first("x").alias("x"))
+    got = reduced.select("doc_id", "toxic", "x").repartition(1).mapInArrow(learn, "at bigint, w double").collect()  # at most 2 ** bits weights
     pairs = sorted((r["at"], r["w"]) for r in got)
     bias = next((w for a, w in pairs if a == -1), 0.0)
     pairs = [p for p in pairs if p[0] >= 0]

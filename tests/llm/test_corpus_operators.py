@@ -331,6 +331,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert {x["score"] for x in toxicity.toxicity(d, y.limit(0)).collect()} == {0.5}
 
 
+def test_sample_is_bounded_in_rows(spark, monkeypatch):
+    """Also where labelled ids repeat: the learner sees ``rows`` rows, of equal ones a single one."""
+    seen = []
+    monkeypatch.setattr(toxicity, "written", lambda df, name: seen.append(df) or df)
+    docs = spark.createDataFrame([(k % 3 + 1, f"text {k % 500} word") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 7, k % 2) for k in range(1, 4)], "doc_id long, quality int, toxic int")
+    for rows, want in ((1, 1), (40, 40), (20_000, None)):
+        toxicity.train(docs, labels, rows=rows)
+        distinct = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").distinct().count()
+        assert seen[-1].count() == (want or distinct)
+
+
 # 9 secrets
 def naive(text):
     kinds = (
