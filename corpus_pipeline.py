@@ -43,7 +43,7 @@ def _joined(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates: smallest id (null last), text key and columns; rows without words stay."""
+    """One row of each component of near-duplicates: smallest id (null last), text key and columns as JSON; rows without words stay."""
     groups = storage.written(setsketch.grouped(docs, PERCENT).where("pick is not null").select("doc_id", "text_key", "pick"), "near-groups")
     first = F.col("doc_id").eqNullSafe(F.col("pick.doc_id")) & (F.col("text_key") == F.col("pick.text_key"))
     gone = groups.where(~first).select("doc_id", "text_key").distinct()
@@ -52,7 +52,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rest = _joined(keyed, gone.union(twice), "left_anti").select("row.*")
     if twice.isEmpty():
         return rest
-    again = _joined(keyed, twice, "left_semi").groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    again = _joined(keyed, twice, "left_semi").groupBy("doc_id", "text_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return rest.unionByName(again.select("row.*"))
 
 
