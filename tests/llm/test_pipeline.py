@@ -105,3 +105,16 @@ def test_stages_equal_plain_versions(spark, stages):
     assert set(zip(packed.doc_id, packed.piece, packed.length, packed.ids_crc32, strict=True)) == pieces
     ends = packed.assign(end=packed.offset + packed.length).groupby("sequence_id").agg(n=("length", "sum"), end=("end", "max"))
     assert (ends.n == ends.end).all() and ends.end.max() <= 2048
+
+
+def test_columns_of_any_type(spark):
+    """Maps, arrays and structs pass through, also in repeated rows."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "s", 200, {"a": 1}, [1, 2], (3, "x")), (1, text, "en", "s", 200, {"a": 1}, [1, 2], (3, "x")), (2, text, "en", "s", 200, None, None, None), (None, "", None, None, None, {}, [], (None, None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, l array<int>, p struct<k:int,v:string>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        want = [(1, {"a": 1}, [1, 2], (3, "x"))] * (1 if name == "minhash_near_dedup" else 2) + [(2, None, None, None)] * (name != "minhash_near_dedup") + [(None, {}, [], (None, None))]
+        got = [(x["doc_id"], x["m"], x["l"], x["p"] and tuple(x["p"])) for x in out.collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want)), name
