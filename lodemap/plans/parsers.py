@@ -104,6 +104,27 @@ def tree_symbols(s: Source):
     return structure.symbols(_shops(s)).select("path", "line", "end_line", "kind", "name", "signature")
 
 
+def _varied(s: Source):
+    """A script of as many methods as the part's size says (modulo seven), with brackets in expressions and templates."""
+    k, n = F.col("p_partkey"), F.expr("p_size % 7")
+    method = F.transform(F.sequence(F.lit(1), n), lambda i: _say("  m", i, "(x) {\n    return f", i, "(`${x} }`, /[(]/);\n  }\n"))
+    text = _say("class Shop", k, " {\n", F.when(n > 0, F.array_join(method, "")).otherwise(""), "}\nconst Panel", k, " = (p) => {\n  go(p / 2);\n};\n")
+    return s("part").select(_say("p", k).alias("path"), F.lit("javascript").alias("language"), text.alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 7 AS n FROM part) SELECT concat('p', k) AS path, 1 AS line, CAST(3 * n + 2 AS INTEGER) AS end_line, 'class' AS kind, concat('Shop', k) AS name FROM p
+    UNION ALL SELECT concat('p', k), CAST(3 * n + 3 AS INTEGER), CAST(3 * n + 5 AS INTEGER), 'component', concat('Panel', k) FROM p
+    UNION ALL SELECT concat('p', k), CAST(3 * i - 1 AS INTEGER), CAST(3 * i + 1 AS INTEGER), 'method', concat('m', i) FROM p, range(1, 7) r(i) WHERE i <= n""")
+def varied_symbols(s: Source):
+    return structure.symbols(_varied(s)).select("path", "line", "end_line", "kind", "name")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 7 AS n FROM part) SELECT concat('p', k) AS path, concat('Panel', k) AS caller, 'go' AS callee, CAST(3 * n + 4 AS INTEGER) AS line FROM p
+    UNION ALL SELECT concat('p', k), concat('m', i), concat('f', i), CAST(3 * i AS INTEGER) FROM p, range(1, 7) r(i) WHERE i <= n""")
+def varied_calls(s: Source):
+    return structure.calls(_varied(s))
+
+
 @query("""SELECT concat('p', p_partkey) AS path, v.line, replace(v.target, '?', CAST(p_partkey AS VARCHAR)) AS target, v.names FROM part, (VALUES (0, 1, 'lib?', 'a,b as c'), (1, 1, 'java.util.List', 'List'), (2, 2, 'fmt', ''), (3, 1, 'lib', 'a,b')) v(r, line, target, names) WHERE p_partkey % 4 = r""")
 def tree_imports(s: Source):
     return structure.imports(_shops(s)).select("path", "line", "target", "names")

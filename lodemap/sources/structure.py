@@ -11,7 +11,9 @@ from __future__ import annotations
 import ast
 import bisect
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,10 +25,21 @@ IMPORTS = "path string, line int, target string, import_type string, names strin
 PARENTS = "path string, child string, relation string, parent string"
 CALLS = "path string, caller string, callee string, line int"
 
-_LITERALS = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?""", re.S)
+_TOKENS = r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<word>[\w$]+)"
+_STRINGS = r""""(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?"""
+_LEXERS = {
+    "script": re.compile(rf"{_TOKENS}|(?P<string>{_STRINGS})|(?P<tick>`)|(?P<slash>/)|(?P<mark>=>|.)", re.S),
+    "java": re.compile(rf'{_TOKENS}|(?P<string>"""(?:\\.|.)*?(?:"""|\Z)|{_STRINGS})|(?P<mark>.)', re.S),
+    "go": re.compile(rf"{_TOKENS}|(?P<string>`[^`]*`?|{_STRINGS})|(?P<mark>.)", re.S),
+}
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(?P<stop>`|\$\{|\Z)", re.S)
+_REGEX = re.compile(r"/(?![*/>])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: Words that an expression follows, and words whose brackets a statement follows.
+_BEFORE_EXPRESSION = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "do", "else", "instanceof", "yield", "await", "extends", "default"}
+_HEADS = {"if", "while", "for", "with"}
 _NAME = r"[A-Za-z_$][\w$]*"
 _SCRIPT = re.compile(rf"(?P<mark>(?:\b(?:export|default|declare|abstract|async)\s+)*)\b(?P<word>function|class|interface|enum|type|namespace)\b\s*\*?\s*(?P<name>{_NAME})")
-_ARROW = re.compile(rf"(?P<mark>\bexport\s+)?\b(?:const|let|var)\s+(?P<name>{_NAME})\s*(?::[^=;]*)?=(?!=)\s*(?P<fn>(?:async\b\s*)?(?:function\b|(?:<[^>]*>\s*)?\(|{_NAME}\s*=>))?")
+_ARROW = re.compile(rf"(?P<mark>\bexport\s+)?\b(?:const|let|var)\s+(?P<name>{_NAME})\s*(?::(?:[^=;\n]|=>|\n(?!\s*(?:const|let|var|function|class|export|import|return|if|for)\b))*?)?=(?![=>])\s*(?P<fn>(?:async\b\s*)?(?:function\b|(?:<[^>]*>\s*)?\(|{_NAME}\s*=>))?")
 _METHOD = re.compile(rf"(?P<mark>(?:\b(?:public|private|protected|static|async|override|readonly|get|set|abstract)\s+)*)\*?\s*(?P<name>[#A-Za-z_$][\w$]*)\s*(?:<[^>(){{}}]*>\s*)?\(")
 _JAVA_TYPE = re.compile(r"(?P<mark>(?:\b(?:public|protected|private|static|abstract|final|sealed)\s+)*)\b(?P<word>class|interface|enum|record)\s+(?P<name>\w+)")
 _JAVA_METHOD = re.compile(r"(?P<mark>(?:\b(?:public|protected|private|static|abstract|final|synchronized|native|default)\s+)*)(?:<[^>]*>\s*)?(?:[\w.]+(?:<[^(){};]*>)?(?:\[\])*\s+)?(?P<name>\w+)\s*\(")
@@ -38,21 +51,70 @@ _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "new", "else"
 
 
 class Source:
-    """A file with its comments, and its literals too, blanked, and its brackets paired."""
+    """A file with its comments, and its literals too, blanked, and its brackets paired.
+
+    What a slash opens depends on what stands before it: behind a value it divides, elsewhere it opens a regular
+    expression. Text of templates is blanked, the code between ``${`` and ``}`` stays, at any depth. A closing bracket
+    closes the last open one of its kind together with those left open inside; one without a partner closes nothing.
+    """
 
     def __init__(self, text: str, language: str):
-        blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-        self.quoted = _LITERALS.sub(lambda m: blank(m) if m["comment"] else m[0], text)
-        self.code = _LITERALS.sub(blank, text)
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.language = language
         self.close: dict[int, int] = {}
-        stack: list[int] = []
-        for m in re.finditer(r"[()\[\]{}]", self.code):
-            if m[0] in "([{":
-                stack.append(m.start())
-            elif stack:
-                self.close[stack.pop()] = m.start()
+        comments: list[tuple[int, int]] = []
+        literals: list[tuple[int, int]] = []
+        next_token = _LEXERS.get(language, _LEXERS["script"]).match
+        open_: list[tuple[str, int, bool]] = []  # bracket, place, whether a value ends where it closes
+        at, value, word = 0, False, ""  # a value has just ended; the last word, if it was the last token
+        while at < len(text):
+            m = next_token(text, at)
+            kind, token, begin, at = m.lastgroup, m[0], m.start(), m.end()
+            if kind == "comment":
+                comments.append((begin, at))
+            elif kind == "string":
+                literals.append((begin, at))
+                value, word = True, ""
+            elif kind == "word":
+                value, word = token not in _BEFORE_EXPRESSION, token
+            elif kind == "tick" or (token == "}" and open_ and open_[-1][0] == "$"):
+                if kind != "tick":
+                    open_.pop()
+                m = _TEMPLATE.match(text, at)
+                at = m.end()
+                literals.append((begin, at))
+                if m["stop"] == "${":
+                    open_.append(("$", begin, False))
+                value, word = m["stop"] != "${", ""
+            elif kind == "slash":
+                m = None if value or text[begin - 1 : begin] == "<" else _REGEX.match(text, begin)
+                if m:
+                    at = m.end()
+                    literals.append((begin, at))
+                value, word = m is not None, ""
+            elif token in "([{":
+                ends = word not in _HEADS if token == "(" else token == "[" or (not value and word not in ("do", "else") and text[:begin].rstrip()[-1:] not in ("", ";", "}", "{", ">"))
+                open_.append((token, begin, ends))
+                value, word = False, ""
+            elif token in ")]}":
+                partner = {")": "(", "]": "[", "}": "{"}[token]
+                k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] in (partner, "$")), -1)
+                if k >= 0 and open_[k][0] == partner:
+                    value = open_[k][2]
+                    self.close |= {place: begin for _, place, _ in open_[k:]}
+                    del open_[k:]
+                word = ""
+            elif kind != "space":
+                value, word = False, ""
+        self.quoted, self.code = self._blanked(text, comments), self._blanked(text, sorted(comments + literals))
+
+    @staticmethod
+    def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+        out, done = [], 0
+        for a, b in spans:
+            out += [text[done:a], re.sub(r"[^\n]", " ", text[a:b])]
+            done = b
+        return "".join([*out, text[done:]])
 
     def line(self, at: int) -> int:
         return bisect.bisect_left(self.breaks, at) + 1
@@ -98,7 +160,8 @@ def _script_symbols(s: Source) -> Iterator[tuple]:
         found = s.body(m.start("fn")) if m["fn"] else None
         stop = found[1] if found else s.end(m.end())
         head = s.code.find("=>", m.end()) if m["fn"] else -1
-        yield m.start("name"), stop, "function" if m["fn"] else "const", m["name"], bool(m["mark"]), s.signature(m.start("fn"), found[0] if found else head if head > 0 else stop) if m["fn"] else "", "", ""
+        kind = "const" if not m["fn"] else "component" if m["name"][0] == m["name"][0].upper() != "_" else "function"
+        yield m.start("name"), stop, kind, m["name"], bool(m["mark"]), s.signature(m.start("fn"), found[0] if found else head if head > 0 else stop) if m["fn"] else "", "", ""
     for owner, word, begin, stop in types:
         if word == "class":
             yield from _methods(s, _METHOD, owner, begin, stop, lambda mark, name: not re.search("private|protected", mark) and not name.startswith("#"))
@@ -153,6 +216,7 @@ def _python_symbols(tree: ast.AST, owner: str = "") -> Iterator[tuple]:
             yield from _python_symbols(node, owner)
 
 
+_source = lru_cache(maxsize=4)(Source)  # symbols and calls of a file share it
 _FINDERS = {"javascript": _script_symbols, "typescript": _script_symbols, "java": _java_symbols, "go": _go_symbols}
 
 
@@ -169,7 +233,7 @@ def symbols_of(text: str, language: str) -> list[tuple]:
         return sorted(_python_symbols(tree)) if (tree := _tree(text)) else []
     if language not in _FINDERS:
         return []
-    s = Source(text, language)
+    s = _source(text, language)
     out = {(at, name): (s.line(at), s.line(stop), kind, name, shown, said, owner) for at, stop, kind, name, shown, said, owner, _ in _FINDERS[language](s)}
     return [out[k] for k in sorted(out)]
 
@@ -191,7 +255,7 @@ def imports_of(text: str, language: str) -> list[tuple]:
             elif isinstance(node, ast.ImportFrom):
                 out.append((node.lineno, "." * node.level + (node.module or ""), "named", ",".join(a.name for a in node.names)))
         return sorted(out)
-    s = Source(text, language)
+    s = _source(text, language)
     if language in ("javascript", "typescript"):
         for m in _JS_IMPORT.finditer(s.quoted):
             names = re.sub(r"\s+", " ", m["names"]).strip()
@@ -220,7 +284,7 @@ def parents_of(text: str, language: str) -> list[tuple]:
     if language not in ("javascript", "typescript", "java"):
         return []
     out = set()
-    for m in _HEAD.finditer(Source(text, language).code):
+    for m in _HEAD.finditer(_source(text, language).code):
         rest = m["rest"]
         while (less := re.sub(r"<[^<>]*>", "", rest)) != rest:
             rest = less
@@ -231,21 +295,23 @@ def parents_of(text: str, language: str) -> list[tuple]:
 
 def calls_of(text: str, language: str) -> list[tuple]:
     """(caller, callee, line): plain calls, by the innermost declared function around them; calls of oneself are left out."""
-    found = [(a, b, n) for a, b, k, n, *_ in symbols_of(text, language) if k in ("function", "method")]
+    found = [(a, b, n) for a, b, k, n, *_ in symbols_of(text, language) if k in ("function", "method", "component")]
     out = set()
     if language == "python":
         for node in ast.walk(_tree(text) or ast.Module([], [])):
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
                 out.add((node.func.id, node.lineno))
     else:
-        s = Source(text, language)
+        s = _source(text, language)
         heads = {(a, n.lstrip("#")) for a, _, n in found}
         met = {(m[1], s.line(m.start(1))) for m in _CALL.finditer(s.code)}
         out = {(n, a) for n, a in met if n not in NOT_CALLS and n not in ("async", "func") and (a, n) not in heads}
-    rows = []
-    for callee, line in out:
-        around = [(b - a, n) for a, b, n in found if a <= line <= b]
-        if around and (caller := min(around)[1]) != callee:
+    rows, around, spans = [], [], deque(sorted(found))
+    for line, callee in sorted((line, callee) for callee, line in out):
+        while spans and spans[0][0] <= line:
+            around.append(spans.popleft())
+        around = [f for f in around if f[1] >= line]  # as deep as functions nest
+        if around and (caller := min((b - a, n) for a, b, n in around)[1]) != callee:
             rows.append((caller, callee, line))
     return sorted(rows)
 

@@ -124,6 +124,55 @@ def test_python():
     assert S.calls_of(PY, "python") == [("_hide", "inner", 13), ("inner", "sell", 12), ("sell", "load", 9), ("sell", "price", 9)]
 
 
+LITERALS = r"""export function a(x) {
+  const r = /[(]/;
+  return x / 2 / (r.test("}") ? 3 : 1);
+}
+const b = (x) => `one ${x.map(y => `two ${y ? `{` : '}'} ${f({ z: 1 })}`).join("(")} \${ \` {`;
+function c(v) {
+  if (v) /[{]}\/{/.exec(v);
+  const d = { e: 1 } / 2, g = [1] / 3;
+  return (v) / 2 + `}`.length / 4;
+}
+const Panel = ({ q }) => { return q.replace(/'/g, "\\"); };
+const typed: (n: number) => Promise<void> = async (n) => {
+  await c(n);
+};
+let later
+const last = 1 // {
+class K { m() { return /}/ } }
+"""
+
+
+def test_literals_that_hold_brackets():
+    assert brief(LITERALS, "typescript") == [
+        (1, 4, "function", "a", True, ""), (2, 2, "const", "r", False, ""), (5, 5, "function", "b", False, ""), (6, 10, "function", "c", False, ""), (8, 8, "const", "d", False, ""),
+        (11, 11, "component", "Panel", False, ""), (12, 14, "function", "typed", False, ""), (16, 16, "const", "last", False, ""), (17, 17, "class", "K", False, ""), (17, 17, "method", "m", True, "K"),
+    ]
+    assert S.calls_of(LITERALS, "typescript") == [("b", "f", 5), ("typed", "c", 13)]
+
+
+def test_stray_brackets_stay_local():
+    text = "function a() {\n  x(1]);\n}\nfunction b() {\n  y({);\n}\nfunction c() {\n  return 1;\n}}\nfunction d() {\n}\n"
+    assert [(line, end, name) for line, end, _, name, *_ in S.symbols_of(text, "javascript")] == [(1, 3, "a"), (4, 6, "b"), (7, 9, "c"), (10, 11, "d")]
+    java = 'class A {\n  char c = \'{\';\n  String s = """\n    } " {\n    """;\n  int m() {\n    return \'"\' / 2;\n  }\n}\nclass B {}\n'
+    assert [(line, end, name) for line, end, _, name, *_ in S.symbols_of(java, "java")] == [(1, 9, "A"), (6, 8, "m"), (10, 10, "B")]
+    go = "package p\nfunc A() string {\n  return `{\n ${ \\`\n}\nfunc B(r rune) bool {\n  return r == '{'\n}\n"
+    assert [(line, end, name) for line, end, _, name, *_ in S.symbols_of(go, "go")] == [(2, 5, "A"), (6, 8, "B")]
+
+
+def test_long_sources_take_time_in_proportion():
+    import time
+
+    one = "function f%d(x) {\n  return g(x) / 2 + `${h(/[(]/)}`;\n}\n"
+    took = []
+    for n in (500, 4000):
+        began = time.perf_counter()
+        assert len(S.calls_of("".join(one % k for k in range(n)), "javascript")) == 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0]
+
+
 @pytest.mark.parametrize("language", ["javascript", "typescript", "java", "go", "python", "cobol", ""])
 def test_broken_files_do_not_fail(language):
     for text in ("", "\n", "class {", "function (", "}}}", "import {", "'", "/*", "func (", "class A extends", "`${", "a = (b => {"):
