@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import capabilities
 from ..operators import similarity as S
 from ..sources import markdown, source_code
 from .registry import Source, query
@@ -60,11 +61,78 @@ def conflict_groups(s: Source):
 def capability_scores(s: Source):
     rows = [("fasteners", "bolt"), ("fasteners", "ring"), ("gadgets", "widget"), ("gadgets", "ring"), ("paint", "red"), ("paint", "blue"), ("paint", "small")]
     signals = s.rows([(c, "content", x) for c, x in rows], "capability string, kind string, signal string")
-    words = signals.select("kind", "signal").distinct()
-    hits = s("part").join(F.broadcast(words), F.col("p_name").contains(F.col("signal"))).select(F.col("p_brand").alias("module"), "kind", "signal").distinct()
+    hits = capabilities.content_hits(s("part"), ["p_brand"], sorted({x for _, x in rows}), "p_name").distinct()
+    hits = hits.select(F.col("p_brand").alias("module"), F.lit("content").alias("kind"), "signal")
     return S.capability_scores(signals, hits.withColumn("n", F.lit(1)))
 
 
+_CUSTOM = """
+fasteners:
+  signals:
+    - "bolt"
+    - 'ring'
+  filePatterns:
+    - p1\\d*[.]js
+    - "([unbalanced"
+  importPatterns:
+    - m[0-2]$
+  symbolPatterns:
+    - HELPER1
+  weight: 0.9
+paint:
+  signals:
+    - red
+    - blue
+    - no such words
+caching:
+  signals:
+    - widget
+  weight: 0.5
+"""
+
+
+@query("""WITH p AS (SELECT p_brand AS module, count(*) AS paths, count(CASE WHEN regexp_matches(path, 'p1[0-9]*[.]js') THEN 1 END) AS nf FROM part JOIN files ON k = p_partkey GROUP BY p_brand),
+    i AS (SELECT module, count(*) AS n FROM dependencies JOIN files ON path = source_file WHERE import_name IN ('m0', 'm1', 'm2') GROUP BY module),
+    y AS (SELECT module, count(*) AS n FROM symbols s JOIN files f ON f.path = s.file WHERE contains(s.name, 'helper1') GROUP BY module),
+    w(capability, signal, nth) AS (VALUES ('fasteners', 'bolt', 0), ('fasteners', 'ring', 1), ('paint', 'red', 0), ('paint', 'blue', 1), ('caching', 'widget', 0)),
+    c AS (SELECT module, capability, count(*) AS said, string_agg(signal, ', ' ORDER BY nth) AS signals FROM (SELECT DISTINCT p_brand AS module, capability, signal, nth FROM part JOIN w ON contains(p_name, signal)) x GROUP BY module, capability),
+    r AS (SELECT p.module, 'fasteners' AS capability, coalesce(least(said / 2.0, 1) * 4, 0) + least(nf / paths, 1) * 3 + least(coalesce(i.n, 0), 5) * 0.6 + least(coalesce(y.n, 0), 5) * 0.4 AS points, 12 AS most, 0.9 AS weight, signals, nf, i.n AS ni, y.n AS ny
+        FROM p LEFT JOIN i ON i.module = p.module LEFT JOIN y ON y.module = p.module LEFT JOIN c ON c.module = p.module AND c.capability = 'fasteners'
+      UNION ALL SELECT module, capability, least(said / CASE capability WHEN 'paint' THEN 3.0 ELSE 1.0 END, 1) * 4, 4, CASE capability WHEN 'paint' THEN 0.8 ELSE 0.5 END, signals, 0, 0, 0 FROM c WHERE capability <> 'fasteners')
+    SELECT module, capability, floor(points / most * weight * 100 + 0.5) / 100 AS confidence, concat_ws('; ', CASE WHEN signals IS NOT NULL THEN concat('content signals: ', signals) END, CASE WHEN nf > 0 THEN concat(nf, ' file(s) match') END,
+      CASE WHEN ni > 0 THEN 'imports: m0, m1, m2' END, CASE WHEN ny > 0 THEN concat('symbols: ', (SELECT string_agg(name, ', ') FROM (SELECT DISTINCT s.name FROM symbols s JOIN files f ON f.path = s.file WHERE f.module = r.module AND contains(s.name, 'helper1') ORDER BY s.name LIMIT 3) z)) END) AS evidence
+    FROM r WHERE points / most * weight >= 0.1""")
+def detected_capabilities(s: Source):
+    files = s("files").join(s("part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("text")), "k").select("module", "path", "text")
+    symbols = s("symbols").join(s("files"), F.col("file") == F.col("path")).select("module", "name")
+    imports = s("dependencies").join(s("files"), F.col("source_file") == F.col("path")).select("module", F.col("import_name").alias("name"))
+    return capabilities.detect(files, symbols, imports, capabilities.definitions(s.spark, _CUSTOM))
+
+
+_SIGNALS = ", ".join(f"('{c}', {w}, {k}, {len(xs)}, '{x.replace(chr(39), chr(39) * 2)}')" for c, (w, xs) in capabilities.CONTENT_SIGNALS.items() for k, x in enumerate(xs))
+
+
+@query(f"""WITH w(capability, weight, nth, total, signal) AS (VALUES {_SIGNALS}), u AS (SELECT lower(signal) AS s, count(DISTINCT capability) AS used FROM w GROUP BY lower(signal)),
+    h AS (SELECT DISTINCT source AS module, signal FROM documents JOIN (SELECT DISTINCT signal FROM w) x ON contains(text, signal)),
+    g AS (SELECT module, capability, weight, count(*) AS n, least(sum(CASE used WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END) / max(total), 1.0) AS share, string_agg(signal, ', ' ORDER BY nth) FILTER (WHERE true) AS signals, list(signal ORDER BY nth) AS listed
+      FROM h JOIN w USING (signal) JOIN u ON s = lower(signal) GROUP BY module, capability, weight)
+    SELECT module, capability, floor(share * weight * 100 + 0.5) / 100 AS confidence, concat('content signals: ', array_to_string(listed[1:3], ', '), CASE WHEN n > 3 THEN concat(' (+', n - 3, ')') ELSE '' END) AS evidence FROM g WHERE share * weight >= 0.1""")
+def document_capabilities(s: Source):
+    files = s("documents").select(F.col("source").alias("module"), F.col("doc_id").cast("string").alias("path"), "text")
+    none = s.rows([], "module string, name string")
+    return capabilities.detect(files, none, none, capabilities.definitions(s.spark))
+
+
+@query("""WITH w(capability, signal, total) AS (VALUES ('paint', 'red', 3.0), ('paint', 'blue', 3.0), ('caching', 'widget', 1.0)),
+    c AS (SELECT capability, module, floor(least(count(*) / max(total), 1) * CASE capability WHEN 'paint' THEN 0.8 ELSE 0.5 END * 100 + 0.5) / 100 AS c FROM (SELECT DISTINCT p_brand AS module, capability, signal, total FROM part JOIN w ON contains(p_name, signal)) x GROUP BY module, capability)
+    SELECT capability, string_agg(concat(module, ': ', printf('%.2f', c)), '|' ORDER BY c DESC, module) AS modules, max(c) AS max_confidence FROM c GROUP BY capability""")
+def capability_templates(s: Source):
+    files = s("part").select(F.col("p_brand").alias("module"), F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("text"))
+    none = s.rows([], "module string, name string")
+    found = capabilities.detect(files, none, none, capabilities.definitions(s.spark, _CUSTOM, catalogue=False)).where("capability <> 'fasteners'")
+    return capabilities.templates(found).withColumn("modules", F.array_join("modules", "|"))
+
+
 @query("""SELECT count(*) AS total, count(CASE WHEN regexp_matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$') THEN 1 END) AS camel, count(CASE WHEN regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 1 END) AS snake,
     count(CASE WHEN regexp_matches(name, '^([A-Z][a-z0-9]*)+$') THEN 1 END) AS pascal, CASE WHEN count(CASE WHEN regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 1 END) > 0.6 * count(*) THEN 'snake_case' ELSE 'mixed' END AS style
     FROM symbols WHERE exported AND kind NOT IN ('class', 'interface', 'type', 'enum')""")
