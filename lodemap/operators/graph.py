@@ -6,18 +6,13 @@ executors; only counts reach the driver. Self loops and repeated edges are allow
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
 from itertools import count
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
 
-FEW = 500_000  # edges that one task orders in memory
-
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
@@ -92,55 +87,120 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return goals.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("length", F.lit(-1)).alias("length"), "path")
 
 
+def _degrees(live: DataFrame) -> DataFrame:
+    """node, n_in, n_out of distinct edges."""
+    ends = live.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(live.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+
+
+def _runs(live: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """node, head, steps, first, least, ring of nodes with one edge in and one out (``links``, ``most`` of them).
+
+    Head is the node before the run of links that each stands on, steps the way from there, first the run's first link.
+    Pointers to the node before are doubled, three doublings a table, so a run of n links takes log n of them; least is
+    the smallest link on the way. A pointer that is still among links once it spans all of them goes round a ring.
+    """
+    cur = staged(live.join(links.select(F.col("node").alias("dst")), "dst").select(F.col("dst").alias("node"), F.col("src").alias("head"), F.col("w").alias("steps"), F.col("dst").alias("first"), F.col("dst").alias("least")), "runs")
+
+    def doubled(of: DataFrame) -> DataFrame:
+        ahead = of.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("steps").alias("more"), F.col("first").alias("begin"), F.col("least").alias("other"))
+        return of.join(ahead, "head", "left").select("node", F.coalesce("far", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("begin", "first").alias("first"), F.least("least", "other").alias("least"))
+
+    for _ in range(-(-most.bit_length() // 3)):
+        cur = staged(doubled(doubled(doubled(cur))), "runs")
+    inside = cur.select(F.col("node").alias("head"), F.lit(True).alias("inside"))
+    return staged(cur.join(inside, "head", "left").select("node", "head", "steps", "first", "least", F.coalesce("inside", F.lit(False)).alias("ring")), "runs")
+
+
+def _without_runs(live: DataFrame, runs: DataFrame) -> DataFrame:
+    """Edges (src, dst, w) between other nodes, and one from the head of each run to the node behind it."""
+    links = runs.select("node", "head", "steps")
+    kept = live.join(links.select(F.col("node").alias("dst")), "dst", "left_anti").join(links.withColumnRenamed("node", "src"), "src", "left")
+    over = kept.select(F.coalesce("head", "src").alias("src"), "dst", (F.col("w") + F.coalesce("steps", F.lit(0))).alias("w"))
+    return over.groupBy("src", "dst").agg(F.max("w").alias("w"))
+
+
+def _shape(live: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """Degrees, and how many nodes there are, how many without an edge on one side, how many links."""
+    degrees_ = staged(_degrees(live), "degrees")
+    n, ends, links = degrees_.agg(F.count("*"), F.count_if(F.expr("n_in = 0 or n_out = 0")), F.count_if(F.expr("n_in = 1 and n_out = 1"))).first()
+    return degrees_, n, ends, links
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest mutually reachable node, for every node of the edges.
 
-    Trims nodes without edges on one side, then colours what is left: the largest label is pushed forward to a fixed
-    point, and from each colour's own node the colour is walked backward; whoever is met makes up one component.
+    While runs of nodes with one edge in and one out make up a good part, each is replaced by one edge; its nodes belong
+    to the component of its two ends if that is the same one. Nodes without edges on one side go. What is left is
+    coloured: the largest label is pushed forward to a fixed point, and from each colour's own node the colour is
+    walked backward; whoever is met makes up one component.
     """
     edges = staged(distinct_edges(edges), "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    live = staged(edges.where("src <> dst"), "live")
+    live = edges.where("src <> dst").withColumn("w", F.lit(1))
     done: list[DataFrame] = []
+    passed: list[tuple[DataFrame, DataFrame]] = []  # runs, and the edges behind them
     while True:
-        while True:  # trim
-            kept = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            kept = staged(kept.select("src", "dst"), "live")
-            same = kept.count() == live.count()
-            live = kept
-            if same:
-                break
-        if live.isEmpty():
+        degrees_, n, ends, links = _shape(live)
+        if n == 0:
             break
-        colour = staged(live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().withColumn("colour", F.col("node")), "colour")
-        while True:
-            pushed = live.join(colour, live["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("new"))
-            nxt = colour.join(pushed, colour["node"] == pushed["dst"], "left").select("node", F.greatest("colour", F.coalesce("new", "colour")).alias("colour"))
-            nxt = staged(nxt, "colour")
-            moved = nxt.join(colour.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty()
-            colour = nxt
-            if moved:
-                break
-        inner = live.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "b"), "dst")
-        inner = staged(inner.where("a = b").select("src", "dst", F.col("a").alias("colour")), "inner")
-        met = staged(colour.where("node = colour").select("node", "colour"), "met")
-        frontier = met
-        while not frontier.isEmpty():
-            back = inner.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = staged(back.join(met, ["node", "colour"], "left_anti"), "frontier")
-            met = met.unionByName(frontier)
-        met = staged(met, "met")
-        least = met.groupBy("colour").agg(F.min("node").alias("component"))
-        done.append(staged(met.join(least, "colour").select("node", "component"), "components"))
-        gone = met.select("node")
-        live = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        live = staged(live.select("src", "dst"), "live")
-    found = done[0] if done else nodes.select("node", F.col("node").alias("component")).limit(0)
-    for d in done[1:]:
+        if links * 4 >= n:
+            runs = _runs(live, degrees_.where("n_in = 1 and n_out = 1"), links)
+            passed.append((runs, live))
+            done.append(runs.where("ring").select("node", F.col("least").alias("component")))
+            kept = _without_runs(live, runs.where("not ring")).join(runs.where("ring").select(F.col("node").alias("src")), "src", "left_anti")
+            live = staged(kept.where("src <> dst").select("src", "dst", "w"), "live")
+        elif ends:
+            gone = degrees_.where("n_in = 0 or n_out = 0").select("node")
+            live = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+            live = staged(live.select("src", "dst", "w"), "live")
+        else:
+            found, live = _coloured(live, degrees_.select("node"))
+            done.append(found)
+    found = nodes.select("node", F.col("node").alias("component")).limit(0)
+    for d in done:
         found = found.unionByName(d)
+    for runs, before in reversed(passed):
+        runs = runs.where("not ring")
+        here = staged(found, "components")
+        last = before.join(runs.select(F.col("node").alias("src"), F.col("head").alias("of"), "first"), "src").join(runs.select(F.col("node").alias("dst")), "dst", "left_anti")
+        known = here.select("node", F.col("component").alias("c"))
+        # a run's ends are in one component, or are one node, which may stand in none yet
+        closed = last.join(known.toDF("of", "ca"), "of", "left").join(known.toDF("dst", "cb"), "dst", "left").where((F.col("of") == F.col("dst")) | (F.col("ca") == F.col("cb")))
+        heads = staged(closed.select("of", "first", F.coalesce("ca", "of").alias("component")), "closed-runs")
+        whole = runs.join(heads.select("first", "component"), "first").select("node", "component")
+        loops = heads.select(F.col("of").alias("node"), "component").distinct().join(here.select("node"), "node", "left_anti")
+        found = here.unionByName(whole).unionByName(loops)
+    found = staged(found, "components") if passed else found
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    found = found.join(least, "component").select("node", F.col("least").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _coloured(live: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component of those met, the edges between the others): one round of colouring and backward walks."""
+    colour = nodes.withColumn("colour", F.col("node"))
+    while True:
+        pushed = live.join(colour, live["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("new"))
+        nxt = colour.join(pushed, colour["node"] == pushed["dst"], "left").select("node", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("moved"))
+        nxt = staged(nxt, "colour")
+        colour = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            break
+    inner = live.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "colour"), ["dst", "colour"])
+    inner = staged(inner.select("src", "dst", "colour"), "inner")
+    met = staged(colour.where("node = colour"), "met")
+    frontier = met
+    while not frontier.isEmpty():
+        back = inner.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+        frontier = staged(back.join(met, ["node", "colour"], "left_anti"), "frontier")
+        met = met.unionByName(frontier)
+    met = staged(met.select("node", F.col("colour").alias("component")), "met")
+    gone = met.select("node")
+    rest = live.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return met, staged(rest.select("src", "dst", "w"), "live")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """component, size, members: strong components of more than one node, or of one with a self loop."""
     comps = strong_components(edges)
@@ -152,58 +212,43 @@ def cycles(edges: DataFrame) -> DataFrame:
 def topological_layers(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, layer: layer 0 has the nodes without incoming edges; -1 marks nodes on or behind a cycle (self loops order nothing).
 
-    A layer is peeled off at a time; as soon as at most ``FEW`` edges are left, one task peels off all others.
+    While runs of nodes with one edge in and one out make up a good part, each becomes one edge of the run's length;
+    otherwise the nodes without incoming edges are peeled off and pass on their layer. Every step is a distributed one.
     """
     given = distinct_edges(edges)
     every = given.select(F.col("src").alias("node")).union(given.select("dst"))
-    edges = staged(given.where("src <> dst"), "edges")
+    live = staged(given.where("src <> dst").withColumn("w", F.lit(1)), "edges")
     every = staged((every.union(nodes.select("node")) if nodes is not None else every).distinct(), "nodes")
-    left, live, layers = every, edges, []
-    for layer in count():
-        if live.count() <= FEW:
-            layers.append(_few_layers(left, live, layer))
-            left = left.limit(0)
+    reached = every.select("node", F.lit(0).alias("layer"))
+    layers = reached.join(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti")
+    passed: list[DataFrame] = []
+    while True:
+        degrees_, n, _, links = _shape(live)
+        if n == 0:
             break
-        free = staged(left.join(live.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "free")
+        if links * 4 >= n:
+            runs = _runs(live, degrees_.where("n_in = 1 and n_out = 1"), links)
+            passed.append(runs)
+            ring = runs.where("ring").select(F.col("node").alias("src"))
+            kept = _without_runs(live, runs.where("not ring")).join(ring, "src", "left_anti")
+            reached = staged(reached.join(runs.select("node"), "node", "left_anti"), "reached")
+            live = staged(kept.select("src", "dst", "w"), "live")
+            continue
+        free = degrees_.where("n_in = 0").select("node")
         if free.isEmpty():
             break
-        layers.append(free.withColumn("layer", F.lit(layer)))
-        left = staged(left.join(free, "node", "left_anti"), "left")
-        live = staged(live.join(free.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst"), "live")
-    out = left.withColumn("layer", F.lit(-1))
-    for d in layers:
-        out = out.unionByName(d)
-    return out
-
-
-def _few_layers(nodes: DataFrame, edges: DataFrame, first: int) -> DataFrame:
-    """node, layer of ``nodes``, counted from ``first``, in one task; nodes without an edge are in layer ``first`` and stay distributed."""
-    kind = nodes.schema["node"].dataType.simpleString()
-    ends = edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"))
-    alone = nodes.join(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(first))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        after, waits, kinds = defaultdict(list), defaultdict(int), None
-        for batch in batches:
-            kinds = batch.schema.field(0).type
-            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                after[a].append(b)
-                waits[b] += 1
-        layer, found = first, {n: -1 for n in (*after, *waits)}
-        free = [n for n in after if n not in waits]
-        while free:
-            found |= dict.fromkeys(free, layer)
-            layer, behind = layer + 1, []
-            for n in free:
-                for b in after.get(n, ()):
-                    waits[b] -= 1
-                    if not waits[b]:
-                        behind.append(b)
-            free = behind
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), kinds), pa.array(list(found.values()), pa.int32())], ["node", "layer"])
-
-    return alone.unionByName(ends.repartition(1).mapInArrow(walk, f"node {kind}, layer int"))
+        free = staged(reached.join(free, "node"), "free")
+        layers = layers.unionByName(free)
+        pushed = live.join(free.withColumnRenamed("node", "src"), "src").groupBy("dst").agg(F.max(F.col("layer") + F.col("w")).alias("new")).withColumnRenamed("dst", "node")
+        live = staged(live.join(free.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "w"), "live")
+        behind = staged(reached.join(free.select("node"), "node", "left_anti").join(pushed, "node", "left").select("node", F.greatest("layer", "new").alias("layer")), "reached")
+        last = behind.join(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_anti").join(pushed.select("node"), "node", "left_semi")
+        layers = layers.unionByName(staged(last, "last"))  # nothing follows them, and nothing before them is left
+        reached = behind
+    for runs in reversed(passed):
+        heads = layers.toDF("head", "from")
+        layers = staged(layers.unionByName(runs.where("not ring").join(heads, "head").select("node", (F.col("from") + F.col("steps")).alias("layer"))), "layers")
+    return every.join(layers, "node", "left").select("node", F.coalesce("layer", F.lit(-1)).alias("layer"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

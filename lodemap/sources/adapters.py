@@ -72,9 +72,10 @@ RELATIONS: dict[str, str] = {
         JOIN part p ON p.p_partkey = b.l_partkey JOIN services c ON c.k = a.l_suppkey JOIN services v ON v.k = b.l_suppkey
         WHERE a.l_suppkey <> b.l_suppkey AND a.l_quantity >= 30 AND b.l_quantity >= 30""",
     "cyclic_edges": """
-        SELECT DISTINCT a.l_suppkey % 1000 AS src, b.l_suppkey % 1000 AS dst
+        SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-        WHERE a.l_suppkey % 1000 <> b.l_suppkey % 1000""",
+        JOIN supplier s ON s.s_suppkey = a.l_suppkey JOIN supplier t ON t.s_suppkey = b.l_suppkey AND t.s_nationkey = s.s_nationkey
+        WHERE a.l_suppkey <> b.l_suppkey""",
     "layered_edges": """
         SELECT DISTINCT src, dst FROM cyclic_edges WHERE src < dst""",
     "requirements": """

@@ -57,9 +57,10 @@ def test_graph_queries_take_every_lineitem(spark, tmp_path):
     from lodemap.plans import catalogue
 
     r = random.Random(1)
-    lines = [(k, n, r.randrange(40), 1.0) for k in range(14_990, 15_020) for n in range(1, 3)]  # order keys beyond 15,000, small quantities
+    lines = [(k, n, r.randrange(40), 1.0) for k in range(14_900, 15_080) for n in range(1, 3)]  # order keys beyond 15,000, small quantities
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    edges = {(a[2], b[2]) for a, b in zip(lines[::2], lines[1::2], strict=True) if a[2] != b[2]}
+    spark.createDataFrame([(k, k % 3) for k in range(40)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    edges = {(a[2], b[2]) for a, b in zip(lines[::2], lines[1::2], strict=True) if a[2] != b[2] and a[2] % 3 == b[2] % 3}
     nodes = {n for e in edges for n in e}
     reach = {n: {n} for n in nodes}
     for _ in nodes:
@@ -86,17 +87,63 @@ def test_graph_queries_take_every_lineitem(spark, tmp_path):
     assert got["tree_children"] == sorted((a, b, k) for a in nodes for k, b in enumerate(sorted(d for s, d in edges if s == a), 1) if k <= 3)
 
 
-def test_layers_agree_level_by_level_and_in_one_task(spark, monkeypatch):
-    r = random.Random(3)
-    e = spark.createDataFrame([(r.randrange(30), r.randrange(30)) for _ in range(25)], EDGES)
-    whole = rows(graph.topological_layers(e))
-    monkeypatch.setattr(graph, "FEW", 0)
-    assert rows(graph.topological_layers(e)) == whole
+def plain_layers(edges):
+    nodes, layer = {n for e in edges for n in e}, {}
+    edges = {e for e in edges if e[0] != e[1]}
+    while free := {n for n in nodes - set(layer) if all(a in layer for a, b in edges if b == n)}:
+        layer |= {n: max([layer[a] + 1 for a, b in edges if b == n], default=0) for n in free}
+    return {n: layer.get(n, -1) for n in nodes}
+
+
+def plain_components(edges):
+    nodes = {n for e in edges for n in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for s in reach.values():
+                if a in s:
+                    s.add(b)
+    return {a: min(b for b in nodes if b in reach[a] and a in reach[b]) for a in nodes}
+
+
+def shapes():
+    """Runs that meet, loop at a head, share their ends, hang off rings, and random graphs of few edges."""
+    def run(*nodes):
+        return list(zip(nodes, nodes[1:], strict=False))
+    yield run(0, *range(10, 40), 1) + run(1, *range(40, 60), 0) + run(1, *range(60, 75), 2)
+    yield run(5, *range(100, 120), 5) + run(5, *range(120, 130), 5) + run(5, *range(130, 140), 6)
+    yield run(*range(200, 230), 200) + run(*range(300, 303), 300) + run(400, *range(401, 420), 430) + run(400, *range(440, 445), 430) + [(430, 431), (450, 450)]
+    yield run(1, 2, 3, 4, 1) + run(4, 5, 6, 7, 8) + run(8, 9, 6) + [(3, 3)]
+    for seed in range(4):
+        r = random.Random(seed)
+        yield [(r.randrange(40), r.randrange(40)) for _ in range(45)]
+        yield [(a, b) if a < b else (b, a) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(40))]
+
+
+def test_components_and_layers_of_many_shapes(spark):
+    """All shapes in one graph, their nodes apart."""
+    edges = [(k * 1000 + a, k * 1000 + b) for k, shape in enumerate(shapes()) for a, b in shape]
+    df = spark.createDataFrame(edges, EDGES)
+    assert dict(rows(graph.strong_components(df))) == plain_components(edges)
+    assert dict(rows(graph.topological_layers(df))) == plain_layers(edges)
+
+
+def test_long_runs_take_logarithmic_rounds(spark, monkeypatch):
+    made = []
+    plain = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: made.append(name) or plain(df, name))
+    n = 10_000
+    ring = spark.range(n).selectExpr("id as src", f"(id + 1) % {n} as dst")
+    got = graph.strong_components(ring)
+    assert got.count() == n and got.select("component").distinct().collect() == [(0,)] and len(made) < 20
+    made.clear()
+    chain = spark.range(5000).selectExpr("id as src", "id + 1 as dst")
+    got = graph.topological_layers(chain)
+    assert got.count() == 5001 and got.where("layer <> node").isEmpty() and len(made) < 20
 
 
 def test_walks_have_no_cap(spark, monkeypatch):
     monkeypatch.setattr(graph, "DEPTH_CAP", 2, raising=False)
-    monkeypatch.setattr(graph, "FEW", 0)
     e = spark.createDataFrame([(k, k + 1) for k in range(5)], EDGES)
     assert rows(graph.topological_layers(e)) == [(k, k) for k in range(6)]
     assert rows(graph.shortest_paths(e, spark.createDataFrame([(0, 5)], EDGES))) == [(0, 5, 5, [0, 1, 2, 3, 4, 5])]
