@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..sources import manifests as M
 from ..sources import markdown as D
 from ..sources import source_code as C
-from ..sources import structure, tables
+from ..sources import structure, tables, versioned
 from ..streaming import feed, monitor
 from .registry import Source, query
 
@@ -351,6 +351,34 @@ def maintained_files(s: Source):
     return s.spark.read.parquet(path).select("path", "language")
 
 
+@query("""WITH l AS (SELECT user_id AS path, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE event_type WHEN 'error' THEN 'D' WHEN 'view' THEN 'A' ELSE 'M' END DESC) AS n FROM events)
+    SELECT concat('f', path, '.py') AS path, event_type AS text FROM l WHERE n = 1 AND event_type <> 'error'
+    UNION SELECT concat('f', p_partkey, '.py'), 'x' FROM part WHERE p_partkey NOT IN (SELECT user_id FROM events)""")
+def versioned_files(s: Source):
+    e = s("events")
+    status = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "view", "A").otherwise("M")
+    changes = e.select(status.alias("status"), _say("f", F.col("user_id"), ".py").alias("path"), F.lit(None).cast("string").alias("old_path"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+    inbox, store = _folder(s), versioned.Store(s.spark, _folder(s))
+    changes.coalesce(1).write.parquet(inbox)
+    base = s("part").select(_say("f", F.col("p_partkey"), ".py").alias("path"), F.lit("python").alias("language"), F.lit("x").alias("text"))
+    store.commit({"files": versioned.Change(["path"], upserts=base)})
+    feed.maintain_store(feed.watch(s.spark, inbox), store, "files", _folder(s)).awaitTermination()
+    return store.read("files").select("path", "text")
+
+
+@query("""SELECT consumer_id, count(*) AS n FROM service_dependencies WHERE consumer_id <> 's1' AND consumer_id <> 's2' GROUP BY consumer_id UNION ALL SELECT 's1', 2""")
+def synced_service(s: Source):
+    d = s("service_dependencies").select("consumer_id", "provider_id").distinct()
+    store = versioned.Store(s.spark, _folder(s))
+    kept = s("service_dependencies").groupBy("consumer_id", "provider_id").agg(F.count("*").alias("n"))
+    store.commit({"dependencies": versioned.Change(["consumer_id", "provider_id"], upserts=kept), "metrics": versioned.Change(["consumer_id"], upserts=kept.groupBy("consumer_id").agg(F.sum("n").alias("n")))})
+    fresh = s.rows([("s1", "p", 1), ("s1", "q", 1)], "consumer_id string, provider_id string, n long")
+    versioned.replace_owned(store, "consumer_id", "s1", {"dependencies": fresh, "metrics": fresh.groupBy("consumer_id").agg(F.sum("n").alias("n"))})
+    versioned.replace_owned(store, "consumer_id", "s2", {"dependencies": fresh.limit(0), "metrics": d.select("consumer_id", F.lit(1).cast("long").alias("n")).limit(0)})
+    whole = store.read("dependencies").groupBy("consumer_id").agg(F.sum("n").alias("n"))
+    return store.read("metrics").join(whole.withColumnRenamed("n", "of"), "consumer_id").where("n = of").select("consumer_id", "n")
+
+
 @query("""SELECT concat('u', user_id) AS session, count(*) AS spoken FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) q WHERE n % 5 = 1 GROUP BY user_id""")
 def context_alerts(s: Source):
     usage = s("events").select(_say("u", F.col("user_id")).alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.lit(30.0).alias("remaining"), F.lit(1.0).alias("age"))

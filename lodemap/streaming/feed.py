@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.diff import changed_files
 from ..sources import source_code, structure
+from ..sources.versioned import Change, Store, retried
 
 FEED = T.StructType([T.StructField(n, t) for n, t in (("status", T.StringType()), ("path", T.StringType()), ("old_path", T.StringType()), ("text", T.StringType()), ("ts", T.TimestampType()))])
 
@@ -45,6 +46,12 @@ def plan_update(total_files: int, changes: int, has_base: bool = True, share: fl
 
 def apply_changes(files: DataFrame, feed: DataFrame) -> DataFrame:
     """path, language, text after a batch of changes: the last change of each path wins; deletions and renames remove."""
+    fresh, gone = effects_of(feed)
+    return files.join(gone, "path", "left_anti").select("path", "language", "text").unionByName(fresh)
+
+
+def effects_of(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, language, text of the files that a batch of changes leaves, path of all that it touches)."""
     ordered = feed.withColumn("_seq", F.struct("ts", "status"))
     text = ordered.groupBy("path").agg(F.max_by("text", "_seq").alias("text"))
     last = ordered.groupBy("path").agg(F.max_by("status", "_seq").alias("status"), F.max_by("old_path", "_seq").alias("old_path"))
@@ -53,7 +60,7 @@ def apply_changes(files: DataFrame, feed: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     kinds = F.create_map(*[F.lit(x) for kv in source_code.LANGUAGES.items() for x in kv])
     fresh = effects.where("change <> 'deleted'").select("path").distinct().join(text, "path").select("path", kinds[ext].alias("language"), "text")
-    return files.join(gone, "path", "left_anti").select("path", "language", "text").unionByName(fresh)
+    return fresh, gone
 
 
 def derive(files: DataFrame) -> dict[str, DataFrame]:
@@ -69,3 +76,17 @@ def maintain(feed: DataFrame, load: Callable[[], DataFrame], save: Callable[[Dat
 
     writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def maintain_store(feed: DataFrame, store: Store, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Merge every micro-batch into a versioned table: a batch writes the rows that it changes, and none twice after a restart."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        fresh, gone = effects_of(batch)
+        retried(store, lambda _: {table: Change(["path"], upserts=fresh, deletes=gone)}, applied=(f"feed:{table}", number))
+        store.compact(table)
+        batch.unpersist()
+
+    writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+    return (writer.trigger(availableNow=True) if once else writer).start()
