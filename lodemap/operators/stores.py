@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_set
+from ..sources import markdown
 from ..sources.tables import insert_ignore, newest
 
 SEVERITY = ("low", "medium", "high", "critical")
@@ -80,14 +81,21 @@ def promote(lines: DataFrame, least: str = "medium") -> DataFrame:
 
 
 def ledger_decisions(docs: DataFrame, key: str) -> DataFrame:
-    """key, nth, type, text, rationale of the decisions (stamped entries) and preferences (list items) in ledger texts."""
-    section = lambda name: F.trim(F.regexp_extract("text", rf"(?s)## {name}\n(.*?)(?=\n## |$)", 1))
-    entries = docs.select(key, F.posexplode(F.split(section("Decisions"), r"\n(?=\[)")).alias("nth", "e"))
-    said = F.trim(F.substring_index(F.regexp_replace("e", r"^\[\d{4}-\d{2}-\d{2}\s[\d:]+\]\s*", ""), "\n", 1))
-    decided = entries.select(key, "nth", F.lit("decision").alias("type"), said.alias("text"), F.trim(F.regexp_extract("e", r"Rationale:\s*(.+)", 1)).alias("rationale"))
-    items = docs.select(key, F.posexplode(F.split(section("User Preferences"), "\n")).alias("nth", "e")).where(F.trim("e").startswith("-"))
-    liked = items.select(key, "nth", F.lit("preference").alias("type"), F.trim(F.regexp_replace("e", r"^\s*-\s*", "")).alias("text"), F.lit("").alias("rationale"))
-    return decided.unionByName(liked).where("text <> ''")
+    """key, nth, type, text, rationale of the decisions (stamped entries) and preferences (list items) in ledger texts.
+
+    An entry begins with a bracket or a dash and goes on to the next one; nth counts the entries of a text.
+    """
+    body, before = F.col("body"), Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.nullif(F.regexp_extract(body, r"^##\s+(.+?)\s*$", 1), F.lit(""))
+    marked = markdown.lines(docs, key).select(key, "line", "body", F.last(heading, True).over(before).alias("section"), F.count_if(body.rlike(r"^\s*[-\[]")).over(before).alias("nth"))
+    said = F.nullif(F.regexp_extract(body, r"Rationale:\s*(.+)", 1), F.lit(""))
+    entries = marked.groupBy(key, "section", "nth").agg(F.min_by("body", "line").alias("head"), F.min_by(said, F.when(said.isNotNull(), F.col("line"))).alias("rationale"))
+    stamped = F.regexp_extract("head", r"^\s*\[\d{4}-\d{2}-\d{2}[ T][\d:]+\]\s*(.*)$", 1)
+    item = F.regexp_extract("head", r"^\s*-\s*(.*)$", 1)
+    kind = F.when(F.col("section") == "Decisions", "decision").when(F.col("section") == "User Preferences", "preference")
+    text = F.trim(F.when(F.col("section") == "Decisions", stamped).otherwise(item))
+    rationale = F.when(F.col("section") == "Decisions", F.trim(F.coalesce("rationale", F.lit("")))).otherwise("")
+    return entries.select(key, "nth", kind.alias("type"), text.alias("text"), rationale.alias("rationale")).where("type is not null and text <> ''")
 
 
 def promote_from_ledger(store: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -135,3 +143,26 @@ def ledger_counts(lines: DataFrame, by: str) -> DataFrame:
 
 def recent(log: DataFrame, order: str, most: int = 20) -> DataFrame:
     return newest(log, [order], most)
+
+
+def append(store: DataFrame, new: DataFrame, key: str, order: list[str], **defaults: object) -> DataFrame:
+    """``store`` and the rows of ``new``, numbered on from its largest ``key`` by ``order``; columns that ``new`` lacks, and nulls, take their default.
+
+    Warnings, learnings and metric units are added so. New rows come in batches, which one task can number.
+    """
+    last = store.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
+    nth = F.row_number().over(Window.orderBy(*order))
+    rows = new.withColumn("_nth", nth).join(F.broadcast(last), F.lit(True))
+    value = lambda c: F.coalesce(*([F.col(c)] if c in new.columns else []), F.lit(defaults.get(c))).cast(store.schema[c].dataType)
+    fresh = rows.select(*[(F.col("_last") + F.col("_nth")).cast(store.schema[c].dataType).alias(c) if c == key else value(c).alias(c) for c in store.columns])
+    return store.unionByName(fresh)
+
+
+def append_lines(ledger: DataFrame, entries: DataFrame, by: str) -> DataFrame:
+    """Lines (by, section, nth, text) with one for each entry (by, section, ts, text): stamped, at its section's end, in order of time."""
+    last = ledger.groupBy(by, "section").agg(F.max("nth").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy(by, "section").orderBy("ts", "text"))
+    said = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] "), F.col("text"))
+    fresh = entries.withColumn("_n", nth).join(last, [by, "section"], "left")
+    fresh = fresh.select(by, "section", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast(ledger.schema["nth"].dataType).alias("nth"), said.alias("text"))
+    return ledger.select(by, "section", "nth", "text").unionByName(fresh)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import change, code, more, parsers, planning, registry, stores, system, text  # noqa: F401  (they register themselves)
+from . import change, code, more, parsers, planning, registry, stores, surface, system, text  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict:

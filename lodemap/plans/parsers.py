@@ -25,15 +25,21 @@ def _folder(s: Source) -> str:
 
 
 # sources
-@query("SELECT * FROM (VALUES ('src/a.js', 'javascript', 3), ('src/deep/b.py', 'python', 2), ('c.go', 'go', 1), ('src/D.TSX', 'typescript', 1)) v(path, language, loc)")
+@query("""SELECT concat('src/', replace(p_brand, '#', '-'), CASE WHEN p_brand < 'Brand#3' THEN '/main.js' ELSE '/deep/Main.PY' END) AS path, CASE WHEN p_brand < 'Brand#3' THEN 'javascript' ELSE 'python' END AS language, CAST(count(*) + 1 AS INTEGER) AS loc FROM part GROUP BY p_brand""")
 def discover_files(s: Source):
-    jvm, root = s.spark._jvm, _folder(s)
-    written = {"src/a.js": "a\nb\nc", "src/deep/b.py": "x = 1\n", "c.go": "package c", "src/D.TSX": "t", "src/.git/e.js": "e", "node_modules/f.js": "f", "src/g.txt": "g", "src/dist/h.ts": "h"}
-    for name, text in written.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = path.getFileSystem(s.spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(text.encode()))
-        out.close()
+    """Sources that Spark writes, one for each brand, under the names of sources, beside folders and files to be passed over."""
+    root, raw = _folder(s), _folder(s)
+    s("part").select(F.regexp_replace("p_brand", "#", "-").alias("brand"), _say("x = ", F.col("p_partkey")).alias("value")).repartition("brand").write.partitionBy("brand").text(raw)
+    path = s.spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(s.spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(path(raw)):  # a file for each brand
+        brand = folder.getPath().getName().partition("=")[2]
+        for file in fs.listStatus(folder.getPath()) if brand else ():
+            for name in ["main.js" if brand < "Brand-3" else "deep/Main.PY"]:
+                fs.mkdirs(path(f"{root}/src/{brand}/{name}").getParent())
+                fs.rename(file.getPath(), path(f"{root}/src/{brand}/{name}"))
+    for name in ("src/.git/e.js", "node_modules/f.js", "src/g.txt", "src/dist/h.ts"):
+        fs.create(path(f"{root}/{name}")).close()
     return C.discover(s.spark, root).select("path", "language", T.loc(F.col("text")).alias("loc"))
 
 
@@ -191,13 +197,21 @@ def detect_more(s: Source):
     return M.detect_interfaces(s("part").select(path.alias("path"), text.alias("text"))).select("path", "direction", "detector", "type", "name")
 
 
-@query("""SELECT * FROM (VALUES ('not_on_disk', '4'), ('not_in_roadmap', '7'), ('not_in_roadmap', '2.1'), ('phase_gap', '3 -> 7'), ('plan_gap', '01-base: 2 -> 4'), ('no_plan', '03-ui/03-02-SUMMARY.md'), ('no_wave', '02-api/02-01-PLAN.md')) v("check", subject)""")
+@query("""WITH f AS (SELECT p_size AS phase, p_partkey % 20 + 1 AS n, max(CASE WHEN p_partkey % 5 > 0 THEN '1' END) AS wave, max(CASE WHEN p_partkey % 40 < 20 THEN 1 ELSE 0 END) AS planned FROM part GROUP BY 1, 2),
+    d AS (SELECT DISTINCT phase FROM f), l AS (SELECT DISTINCT p_size AS phase FROM part WHERE p_size % 7 > 0 UNION SELECT 77), g AS (SELECT phase, lag(phase) OVER (ORDER BY phase) AS last FROM d),
+    p AS (SELECT phase, n, lag(n) OVER (PARTITION BY phase ORDER BY n) AS last FROM f WHERE planned = 1)
+    SELECT 'not_on_disk' AS "check", CAST(phase AS VARCHAR) AS subject FROM l WHERE phase NOT IN (SELECT phase FROM d) UNION ALL SELECT 'not_in_roadmap', CAST(phase AS VARCHAR) FROM d WHERE phase NOT IN (SELECT phase FROM l)
+    UNION ALL SELECT 'phase_gap', concat(last, ' -> ', phase) FROM g WHERE phase > last + 1 UNION ALL SELECT 'plan_gap', concat(lpad(CAST(phase AS VARCHAR), 2, '0'), '-base: ', last, ' -> ', n) FROM p WHERE n > last + 1
+    UNION ALL SELECT 'no_plan', printf('%02d-base/%02d-%02d-SUMMARY.md', phase, phase, n) FROM f WHERE planned = 0 UNION ALL SELECT 'no_wave', printf('%02d-base/%02d-%02d-PLAN.md', phase, phase, n) FROM f WHERE planned = 1 AND wave IS NULL""")
 def consistency_report(s: Source):
     from ..operators import planning
 
-    roadmap = s.rows([("## Roadmap\n### Phase 1: Base\n#### Phase 02: Api\n## phase 3 : Ui\n### Phase 4: Later\nPhase 9: no heading",)], "text string")
-    files = [("01-base/01-01-PLAN.md", "1"), ("01-base/01-02-PLAN.md", "1"), ("01-base/01-04-PLAN.md", "2"), ("02-api/02-01-PLAN.md", None), ("02-api/02-01-SUMMARY.md", None), ("2.1-fix/2.1-01-PLAN.md", "1"), ("03-ui/03-01-PLAN.md", "1"), ("03-ui/03-02-SUMMARY.md", None), ("07-odd/notes.md", None), ("misc/07-09-PLAN.md", None)]
-    return planning.consistency(roadmap, s.rows(files, "path string, wave string"))
+    part = s("part")
+    phases = part.where("p_size % 7 > 0").select("p_size").distinct().unionByName(s.rows([(77,)], "p_size int"))
+    roadmap = phases.select(_say("## Roadmap\n### Phase 0", F.col("p_size"), ": Name\nPhase 9: no heading\n").alias("text"))
+    f = part.groupBy("p_size", (F.col("p_partkey") % 20 + 1).alias("n")).agg(F.max(F.when(F.col("p_partkey") % 5 > 0, "1")).alias("wave"), F.max((F.col("p_partkey") % 40 < 20).cast("int")).alias("planned"))
+    path = F.when(F.col("planned") == 1, F.format_string("%02d-base/%02d-%02d-PLAN.md", "p_size", "p_size", "n")).otherwise(F.format_string("%02d-base/%02d-%02d-SUMMARY.md", "p_size", "p_size", "n"))
+    return planning.consistency(roadmap, f.select(path.alias("path"), "wave"))
 
 
 @query("""SELECT 'export' AS direction, 'api' AS type, concat('/r', p_size) AS name, 'express' AS detector, min(concat('f', p_partkey)) AS path FROM part GROUP BY p_size""")
@@ -385,35 +399,67 @@ def context_alerts(s: Source):
     return _ended(s, monitor.context_alerts(_stream(s, usage))).groupBy("session").agg(F.count("*").alias("spoken"))
 
 
-@query("""SELECT changes, CASE WHEN changes > 0.3 * total AND changes > 50 THEN 'full' ELSE 'incremental' END AS plan FROM (VALUES (10, 20), (50, 100), (51, 100), (51, 170), (400, 10000)) v(changes, total)""")
+_IN_ORDER = "SELECT user_id AS key, ts, event_type AS result FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_type) AS nth FROM events) q WHERE nth = 1"
+
+
+def _in_order(s: Source):
+    return s("events").groupBy(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")).agg(F.min("event_type").alias("result"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT key, ts, result, row_number() OVER (PARTITION BY key ORDER BY ts) AS n FROM ({_IN_ORDER}) a),
+    w(key, n, stored, hit) AS (SELECT key, n, ts, false FROM e WHERE n = 1 UNION ALL SELECT e.key, e.n, CASE WHEN e.ts - w.stored <= INTERVAL '12' HOUR THEN w.stored ELSE e.ts END, e.ts - w.stored <= INTERVAL '12' HOUR FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+    SELECT key, count(*) AS n, count(CASE WHEN hit THEN 1 END) AS hits FROM w GROUP BY key""")
+def cached_stream(s: Source):
+    got = _ended(s, monitor.cached_stream(_stream(s, _in_order(s)), keep="12 hours"))
+    return got.groupBy("key").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+
+
+@query(f"""WITH e AS (SELECT key, ts, nullif(result, 'view') AS error, row_number() OVER (PARTITION BY key ORDER BY ts) AS n FROM ({_IN_ORDER}) a),
+    g AS (SELECT *, n - row_number() OVER (PARTITION BY key, error ORDER BY ts) AS run FROM e), t AS (SELECT key, error, row_number() OVER (PARTITION BY key, error, run ORDER BY ts) AS times FROM g WHERE error IS NOT NULL)
+    SELECT key AS loop, error, CAST(max(times) AS INTEGER) AS times FROM t WHERE times >= 2 GROUP BY key, error""")
+def stuck_errors(s: Source):
+    attempts = _in_order(s).select(F.col("key").alias("loop"), "ts", F.nullif(F.col("result"), F.lit("view")).alias("error"))
+    got = _ended(s, monitor.stuck_errors(_stream(s, attempts), limit=2, keep="60 days"))
+    return got.groupBy("loop", "error").agg(F.max("times").alias("times"))
+
+
+@query("""WITH c AS (SELECT p_brand AS project, count(*) AS total, count(CASE WHEN p_partkey % 3 = 0 OR p_size > 25 THEN 1 END) AS changes FROM part GROUP BY p_brand)
+    SELECT project, CAST(changes AS INTEGER) AS changes, CASE WHEN changes > 0.3 * total AND changes > 50 THEN 'full' ELSE 'incremental' END AS plan FROM c""")
 def update_plan(s: Source):
-    return s.rows([(c, feed.plan_update(t, c)) for c, t in ((10, 20), (50, 100), (51, 100), (51, 170), (400, 10000))], "changes int, plan string")
+    k = (F.col("p_partkey") % 3 == 0) | (F.col("p_size") > 25)
+    counts = s("part").groupBy(F.col("p_brand").alias("project")).agg(F.count("*").alias("total"), F.count_if(k).cast("int").alias("changes"))
+    return counts.select("project", "changes", feed.update_plans(F.col("total"), F.col("changes")).alias("plan"))
 
 
-@query("""SELECT modules, count(*) AS cycles, CAST(sum(n) AS BIGINT) AS members FROM (SELECT p_partkey - p_partkey % 12 AS g, string_agg(DISTINCT p_brand, ' <-> ' ORDER BY p_brand) AS modules, count(*) AS n FROM part WHERE p_partkey % 12 < 6
-      AND p_partkey - p_partkey % 12 + 5 <= (SELECT max(p_partkey) FROM part) GROUP BY 1) x GROUP BY modules""")
+@query("""SELECT modules, count(*) AS cycles, CAST(sum(n) AS BIGINT) AS members FROM (SELECT p_partkey - p_partkey % 6 AS g, string_agg(DISTINCT p_brand, ' <-> ' ORDER BY p_brand) AS modules, count(*) AS n FROM part WHERE p_partkey - p_partkey % 6 >= (SELECT min(p_partkey) FROM part)
+      AND p_partkey - p_partkey % 6 + 5 <= (SELECT max(p_partkey) FROM part) GROUP BY 1) x GROUP BY modules""")
 def cycles_by_modules(s: Source):
     from ..operators import code_graph, graph
 
     k = F.col("p_partkey")
-    edges = s("part").where(k % 12 < 6).select(k.cast("string").alias("src"), F.when(k % 6 == 5, k - 5).otherwise(k + 1).cast("string").alias("dst"))
+    edges = s("part").select(k.cast("string").alias("src"), F.when(k % 6 == 5, k - 5).otherwise(k + 1).cast("string").alias("dst"))
     return code_graph.cycles_by_modules(graph.cycles(edges), s("part").select(k.cast("string").alias("path"), F.col("p_brand").alias("module")))
 
 
-@query("""SELECT v.* FROM (VALUES (1, '1,2'), (7, '7,8,9')) v(component, members)""")
+_GRAPHS = """WITH RECURSIVE old AS (SELECT src, dst FROM cyclic_edges WHERE src % 3 > 0 AND dst % 3 > 0), r(a, b) AS (SELECT src, dst FROM cyclic_edges UNION SELECT r.a, e.dst FROM r JOIN cyclic_edges e ON e.src = r.b),
+    q(a, b) AS (SELECT src, dst FROM old UNION SELECT q.a, e.dst FROM q JOIN old e ON e.src = q.b),
+    x AS (SELECT p.a AS n, min(p.b) AS component FROM r p JOIN r z ON z.a = p.b AND z.b = p.a GROUP BY p.a), y AS (SELECT p.a AS n, min(p.b) AS component FROM q p JOIN q z ON z.a = p.b AND z.b = p.a GROUP BY p.a)"""
+
+
+@query(f"""{_GRAPHS}, f AS (SELECT component, list(n ORDER BY n) AS members FROM x GROUP BY component), b AS (SELECT list(n ORDER BY n) AS members FROM y GROUP BY component)
+    SELECT component, array_to_string(members, ',') AS members FROM f WHERE members NOT IN (SELECT members FROM b) AND list_has_any(members, [1, 2, 3, 5, 8, 13, 21])""")
 def cycle_gate(s: Source):
     from ..operators import code_graph, graph
 
-    old = s.rows([(3, 4), (4, 3)], "src long, dst long")
-    now = old.unionByName(s.rows([(1, 2), (2, 1), (5, 6), (6, 5), (7, 8), (8, 9), (9, 7)], "src long, dst long"))
-    got = code_graph.cycle_gate(graph.cycles(now), graph.cycles(old), [2, 4, 9])
-    return got.select(F.col("component").cast("int").alias("component"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
+    now = s("cyclic_edges")
+    got = code_graph.cycle_gate(graph.cycles(now), graph.cycles(now.where("src % 3 > 0 and dst % 3 > 0")), [1, 2, 3, 5, 8, 13, 21])
+    return got.select("component", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
-@query("""SELECT v.* FROM (VALUES (1, 3), (10, 2)) v(component, size)""")
+@query(f"{_GRAPHS} SELECT concat('s', component) AS component, count(*) AS size FROM (SELECT n, CAST(min(CAST(component AS VARCHAR)) OVER (PARTITION BY component) AS VARCHAR) AS component FROM (SELECT a.n, (SELECT min(CAST(b.n AS VARCHAR)) FROM x b WHERE b.component = a.component) AS component FROM x a) t) u GROUP BY component")
 def service_cycles(s: Source):
     from ..operators.system_graph import SystemGraph
 
-    deps = s.rows([("1", "2"), ("2", "3"), ("3", "1"), ("10", "11"), ("11", "10"), ("3", "10"), ("20", "1")], "consumer_id string, provider_id string")
+    deps = s("cyclic_edges").select(_say("s", F.col("src")).alias("consumer_id"), _say("s", F.col("dst")).alias("provider_id"))
     graph_ = SystemGraph({"services": s("services"), "service_interfaces": s("service_interfaces"), "service_dependencies": deps}.__getitem__)
-    return graph_.cycles().select(F.col("component").cast("int").alias("component"), F.col("size").cast("int").alias("size"))
+    return graph_.cycles().select("component", "size")

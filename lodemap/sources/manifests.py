@@ -69,6 +69,43 @@ def detect(files: DataFrame, detectors: dict[str, tuple[str, str]]) -> DataFrame
     return files.select("path", F.explode(found).alias("f")).select("path", "f.*").where("name <> ''")
 
 
+#: Web frameworks by the files they are in, their route calls (method and path), and paths that are passed over.
+ROUTES = {
+    "fastapi": (r"\.py$", r"@(?:app|router)\.(get|post|put|patch|delete|options|head)\s*\(\s*['\"]([^'\"]+)['\"]"),
+    "express": (r"\.(?:js|ts|mjs|cjs)$", r"(?:router|app)\.(get|post|put|patch|delete|options|head)\s*\(\s*['\"]([^'\"]+)['\"]"),
+    "nest": (r"\.(?:js|ts|mjs|cjs)$", r"@(Get|Post|Put|Patch|Delete)\s*\(\s*['\"]([^'\"]*)['\"]\s*\)"),
+}
+NO_ROUTES = r"(?i)detector|capability|signal|config.*pattern"
+CONTROLLER = r"@Controller\s*\(\s*['\"]([^'\"]*)['\"]\s*\)"
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """path, framework, method, route of every route call; a controller's prefix stands before its routes.
+
+    Script files that hold patterns, and script routes with commas, blanks or over 200 characters, are passed over.
+    """
+    text = F.col("text")
+    parts = []
+    for name, (on, call) in ROUTES.items():
+        calls = F.arrays_zip(F.regexp_extract_all(text, F.lit(call), F.lit(1)).alias("m"), F.regexp_extract_all(text, F.lit(call), F.lit(2)).alias("r"))
+        prefix = F.regexp_extract(text, CONTROLLER, 1) if name == "nest" else F.lit("")
+        own = files.where(F.col("path").rlike(on) & (F.lit(name == "fastapi") | ~F.col("path").rlike(NO_ROUTES))).select("path", prefix.alias("prefix"), F.explode(calls).alias("c"))
+        route = F.when(F.col("prefix") != "", F.regexp_replace(F.concat_ws("/", "prefix", "c.r"), "/+", "/")).otherwise(F.coalesce(F.nullif(F.col("c.r"), F.lit("")), F.lit("/")))
+        plain = F.lit(True) if name != "express" else ~F.col("c.r").rlike(r"[,\s]") & (F.length("c.r") <= 200)
+        parts.append(own.where(plain).select("path", F.lit(name).alias("framework"), F.upper("c.m").alias("method"), route.alias("route")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def base_paths(found: DataFrame, by: str) -> DataFrame:
+    """``by``, base, routes: the whole segments that all routes of a group begin with (``/api`` if there are none), and how many routes there are."""
+    ends = found.groupBy(by).agg(F.min("route").alias("a"), F.max("route").alias("b"), F.count("*").alias("routes"))  # what the first and the last share, all share
+    a, b = (F.filter(F.split(F.col(c), "/"), lambda x: x != "") for c in "ab")
+    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z, i: F.when(z["x"] == z["y"], -1).otherwise(i))
+    differ = F.array_min(F.filter(same, lambda k: k >= 0))
+    shared = F.when(differ.isNull(), a).otherwise(F.slice(a, F.lit(1), differ))
+    return ends.select(by, F.when(F.size(shared) > 0, F.concat(F.lit("/"), F.array_join(shared, "/"))).otherwise("/api").alias("base"), "routes")
+
+
 def detect_interfaces(files: DataFrame) -> DataFrame:
     """As ``detect`` for exports (packages too) and imports (addresses in environments too), with the direction."""
     out = detect(files, EXPORTS).unionByName(detect_packages(files)).withColumn("direction", F.lit("export"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -44,6 +44,11 @@ def plan_update(total_files: int, changes: int, has_base: bool = True, share: fl
     return "full" if not has_base or (changes > share * total_files and changes > least) else "incremental"
 
 
+def update_plans(total: Column, changes: Column, share: float = 0.3, least: int = 50) -> Column:
+    """``plan_update`` as a column over many projects that have a base."""
+    return F.when((changes > share * total) & (changes > least), "full").otherwise("incremental")
+
+
 def apply_changes(files: DataFrame, feed: DataFrame) -> DataFrame:
     """path, language, text after a batch of changes: the last change of each path wins; deletions and renames remove."""
     fresh, gone = effects_of(feed)
