@@ -66,7 +66,7 @@ def kept_state(stream: DataFrame, key: str, fields: list[str], step_: Step, stat
         held.setTimeoutTimestamp(max(int((seen + alive) * 1000), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(made, columns=names)
 
-    rows = stream.withWatermark("ts", late).select(key, *fields)
+    rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(key, *fields)
     return rows.groupBy(key).applyInPandasWithState(run, out, f"{state}, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
