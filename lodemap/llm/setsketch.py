@@ -345,12 +345,23 @@ def grouped(docs: DataFrame, percent: int = 85, size: int = SHINGLE) -> DataFram
 
     # texts of the classes, by their first document (any of equal set will do)
     keyed = reps.select("cid", "rep.*")
+    repeated = written(filled.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).count().where("count > 1").drop("count"), "repeated-rows")
+    some = not repeated.isEmpty()
+    if some:
+        again = keyed["rep_id"].eqNullSafe(repeated["of_id"]) & (keyed["rep_key"] == repeated["of_key"])
+        keyed = keyed.join(repeated, again, "left").select("cid", "rep_id", "rep_key", F.col("of_key").isNotNull().alias("again"))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(keyed, "cid")
-        same = source["doc_id"].eqNullSafe(wanted["rep_id"]) & (source["text_key"] == wanted["rep_key"])
-        return source.join(wanted, same).groupBy("cid").agg(F.first("text").alias("text"))  # a repeated row once
+
+        def found(of: DataFrame) -> DataFrame:
+            return source.join(of, source["doc_id"].eqNullSafe(of["rep_id"]) & (source["text_key"] == of["rep_key"])).select("cid", "text")
+
+        if not some:
+            return found(wanted)
+        once = found(wanted.where("again")).groupBy("cid").agg(F.first("text").alias("text"))
+        return found(wanted.where("not again")).unionByName(once)
 
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
     links = written(_verified(best, texts_of(best), percent, size), "links")
