@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, word_set
 from ..sources import markdown
-from ..sources.tables import insert_ignore, newest
+from ..sources.tables import insert_ignore, newest, staged
 
 SEVERITY = ("low", "medium", "high", "critical")
 
@@ -15,18 +15,34 @@ SEVERITY = ("low", "medium", "high", "critical")
 def add_decisions(store: DataFrame, new: DataFrame, least: float = 0.8) -> DataFrame:
     """Rows of ``new`` (id, type, text, ...) that no active decision of their type says already, by word-set Jaccard.
 
-    Equal word sets are compared once; candidates share a word among their rarest, so the join follows shared words.
-    Within ``new``, of rows of equal type and words the smallest id is kept.
+    Equal word sets are compared once. Words are ranked by rarity over both sides: two sets that meet the bound share a
+    word among the rarest n - ceil(least * n) + 1 of either, at places that leave words enough to meet it, so only those
+    are joined. Within ``new``, of rows of equal type and words the smallest id is kept.
     """
     w = lambda df: df.withColumn("_w", F.array_sort(word_set(F.col("text"))))
     first = Window.partitionBy("type", "_w").orderBy("id")
     fresh = w(new).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     held = w(store.where("active")).select("type", F.col("_w").alias("_h")).distinct()
-    flat = held.select("type", "_h", F.explode("_h").alias("word")).unionByName(held.where(F.size("_h") == 0).select("type", "_h", F.lit("").alias("word")))
-    tries = fresh.select("id", "type", "_w", F.explode(F.when(F.size("_w") == 0, F.array(F.lit(""))).otherwise(F.slice("_w", 1, F.greatest(F.lit(1), (F.size("_w") - F.ceil(F.size("_w") * least) + 1).cast("int"))))).alias("word"))
-    # sorted by word alike on both sides, sets that meet the bound share one of the new set's first words
-    said = tries.join(flat, ["type", "word"]).where(jaccard(F.col("_w"), F.col("_h"), 1.0) >= least).select("id").distinct()
-    return fresh.drop("_w").join(said, "id", "left_anti")
+    sides = held.select("type", F.col("_h").alias("_w"), F.lit(False).alias("_new")).unionByName(fresh.select("type", "_w", F.lit(True).alias("_new")))
+    sides = staged(sides.withColumn("_i", F.monotonically_increasing_id()), "decision-sets")
+    flat = sides.select("_i", "type", "_new", F.size("_w").alias("_l"), F.explode("_w").alias("word"))
+    common = flat.groupBy("type", "word").agg(F.count("*").alias("_df"))
+    place = F.row_number().over(Window.partitionBy("_i").orderBy("_df", "word"))
+    ranked = flat.join(common.hint("merge"), ["type", "word"]).withColumn("_p", place)
+    most = F.col("_l") - F.ceil(F.col("_l") * F.lit(least) - 1e-9) + 1
+    prefix = staged(ranked.where(F.col("_p") <= most).select("_i", "type", "_new", "_l", "word", "_p"), "decision-words")
+    a = prefix.where("_new").select("type", "word", F.col("_i").alias("_a"), F.col("_l").alias("_la"), F.col("_p").alias("_pa"))
+    b = prefix.where("not _new").select("type", "word", F.col("_i").alias("_b"), F.col("_l").alias("_lb"), F.col("_p").alias("_pb"))
+    # at their first word in common, two sets share no more than what is left of the shorter rest; the bound asks for least / (1 + least) of both sizes
+    left = F.least(F.col("_la") - F.col("_pa"), F.col("_lb") - F.col("_pb")) + 1
+    enough = left >= (F.col("_la") + F.col("_lb")) * F.lit(least / (1 + least)) - 1e-9
+    pairs = a.hint("merge").join(b, ["type", "word"]).where(enough).select("_a", "_b").distinct()
+    left_sets, right_sets = sides.where("_new").select(F.col("_i").alias("_a"), "type", "_w"), sides.where("not _new").select(F.col("_i").alias("_b"), F.col("_w").alias("_h"))
+    met = pairs.join(left_sets.hint("merge"), "_a").join(right_sets.hint("merge"), "_b").where(jaccard(F.col("_w"), F.col("_h"), 1.0) >= least)
+    empty = held.where(F.size("_h") == 0).select("type", F.col("_h").alias("_w"))  # no words at all are equal to none
+    said = met.select("type", "_w").unionByName(empty).distinct()
+    # a null type is no other row's type
+    return fresh.join(said, ["type", "_w"], "left_anti").select(*new.columns)
 
 
 def supersede(store: DataFrame, changes: DataFrame) -> DataFrame:
