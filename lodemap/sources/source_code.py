@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import spread
+
 #: Languages by file extension.
 LANGUAGES = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "java": "java", "go": "go"}
 #: Folders that discovery passes over.
@@ -106,12 +108,13 @@ def resolve_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     """source_file, target_file, target: relative imports to the first existing candidate (as is, by extension, as an index)."""
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     joined = F.concat_ws("/", F.when(folder != "", folder), F.regexp_replace("target", r"^\./", ""))
-    base = found.where(F.col("target").startswith(".")).select("path", "target", joined.alias("base"))
+    base = spread(found.where(F.col("target").startswith(".")).select("path", "target")).select("path", "target", joined.alias("base"))
     for _ in range(8):  # a/../ collapses
         base = base.withColumn("base", F.regexp_replace("base", r"(^|/)(?!\.\.(?:/|$))[^/]+/\.\.(?=/|$)", "")).withColumn("base", F.regexp_replace("base", "^/", ""))
     tails = ["", *[f".{e}" for e in LANGUAGES], *[f"/index.{e}" for e in LANGUAGES]]
     tries = base.select("path", "target", F.posexplode(F.array(*[F.concat("base", F.lit(t)) for t in tails])).alias("rank", "candidate"))
-    hit = tries.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
+    # a planner sizes the tries by the file they are read from, before they are multiplied, and would send them all through the driver
+    hit = tries.hint("merge").join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
     return hit.groupBy(F.col("path").alias("source_file"), "target").agg(F.min_by("candidate", "rank").alias("target_file"))
 
 

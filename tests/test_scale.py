@@ -1,6 +1,11 @@
 """What keeps work in proportion to the input: small joins, work dealt out over the tasks."""
 
 from lodemap.operators import stores
+from lodemap.sources import source_code
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_decisions_meet_by_rare_words_only(spark, monkeypatch):
@@ -37,3 +42,10 @@ def test_decisions_by_brute_force(spark):
                 if w is None or not any(u == t and (len(w & v) / len(w | v) if w | v else 1.0) >= least for u, v in held):
                     want.add(i)
         assert got == want
+
+
+def test_import_candidates_are_not_sent_through_the_driver(spark):
+    p = spark.range(50).selectExpr("concat('src/m', id, '/a.js') AS path", "'./b' AS target")
+    files = spark.createDataFrame([("src/m3/b.js",), ("src/m3/b/index.js",)], "path string")
+    got = source_code.resolve_imports(p, files)
+    assert "Broadcast" not in plan_of(got) and [r["target_file"] for r in got.collect()] == ["src/m3/b.js"]
