@@ -21,14 +21,19 @@ _FILES = """SELECT path, 'javascript' AS language, concat('import a from "./', i
     FROM (SELECT source_file AS path, import_name, CAST(count(*) AS STRING) AS target FROM dependencies GROUP BY source_file, import_name)"""
 
 
+def _spread(s: Source) -> str:
+    """The files dealt out over as many tasks as the session shuffles to, as table functions in Python run where their rows are."""
+    return f"SELECT /*+ REPARTITION({s.spark.conf.get('spark.sql.shuffle.partitions')}) */ * FROM ({_FILES})"
+
+
 @query("SELECT concat('f', n) AS name, count(*) AS files FROM (SELECT source_file, import_name, count(*) AS n FROM dependencies GROUP BY source_file, import_name) x GROUP BY n")
 def sql_symbols(s: Source):
-    return _session(s).sql(f"SELECT e.name, count(*) AS files FROM ({_FILES}) f, LATERAL extract_symbols(f.path, f.language, f.text) e WHERE e.kind = 'function' AND e.exported GROUP BY e.name")
+    return _session(s).sql(f"SELECT e.name, count(*) AS files FROM ({_spread(s)}) f, LATERAL extract_symbols(f.path, f.language, f.text) e WHERE e.kind = 'function' AND e.exported GROUP BY e.name")
 
 
 @query("SELECT concat('./', import_name) AS target, count(DISTINCT source_file) AS files, 'g' AS callee FROM dependencies GROUP BY import_name")
 def sql_imports_and_calls(s: Source):
-    return _session(s).sql(f"""WITH f AS ({_FILES}) SELECT i.target, count(DISTINCT f.path) AS files, min(c.callee) AS callee
+    return _session(s).sql(f"""WITH f AS ({_spread(s)}) SELECT i.target, count(DISTINCT f.path) AS files, min(c.callee) AS callee
         FROM f, LATERAL extract_imports(f.path, f.language, f.text) i, LATERAL extract_calls(f.path, f.language, f.text) c GROUP BY i.target""")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import spread
+
 #: Export and import detectors, with the group that names what is found.
 EXPORTS = {
     "express": ("api", r"(?:app|router)\.(?:get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]"),
@@ -129,7 +131,12 @@ def read_manifests(docs: DataFrame) -> DataFrame:
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
-            from yaml import safe_load as load
+            import yaml
+
+            loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # libyaml, where it is there
+
+            def load(text: str) -> object:
+                return yaml.load(text, loader)  # noqa: S506 (both are safe loaders)
         except ImportError:
             load = json.loads
         for f in frames:
@@ -145,7 +152,7 @@ def read_manifests(docs: DataFrame) -> DataFrame:
                     rows.append((key, None, None, None, None, str(e)[:200]))
             yield pd.DataFrame(rows, columns=["key", "service", "team", "exports", "imports", "error"])
 
-    return docs.select("key", "text").mapInPandas(parse, "key string, service string, team string, exports string, imports string, error string")
+    return spread(docs.select("key", "text")).mapInPandas(parse, "key string, service string, team string, exports string, imports string, error string")
 
 
 def registry(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """What keeps work in proportion to the input: small joins, work dealt out over the tasks."""
 
 from lodemap.operators import stores
-from lodemap.sources import source_code
+from lodemap.sources import manifests, source_code, structure
 
 
 def plan_of(df):
@@ -49,3 +49,11 @@ def test_import_candidates_are_not_sent_through_the_driver(spark):
     files = spark.createDataFrame([("src/m3/b.js",), ("src/m3/b/index.js",)], "path string")
     got = source_code.resolve_imports(p, files)
     assert "Broadcast" not in plan_of(got) and [r["target_file"] for r in got.collect()] == ["src/m3/b.js"]
+
+
+def test_parsers_are_dealt_out(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.range(40).selectExpr("concat('f', id) AS path", "'javascript' AS language", "'function f() {}' AS text").coalesce(1)
+    assert structure.symbols(files).rdd.getNumPartitions() == n and structure.symbols(files).count() == 40
+    docs = files.selectExpr("path AS key", "'{\"service\": {\"name\": \"s\"}}' AS text")
+    assert manifests.read_manifests(docs).rdd.getNumPartitions() == n and manifests.read_manifests(docs).where("service = 's'").count() == 40
