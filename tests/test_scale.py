@@ -1,6 +1,6 @@
 """What keeps work in proportion to the input: small joins, work dealt out over the tasks."""
 
-from lodemap.operators import stores
+from lodemap.operators import code_graph, stores
 from lodemap.sources import manifests, source_code, structure
 
 
@@ -57,3 +57,10 @@ def test_parsers_are_dealt_out(spark):
     assert structure.symbols(files).rdd.getNumPartitions() == n and structure.symbols(files).count() == 40
     docs = files.selectExpr("path AS key", "'{\"service\": {\"name\": \"s\"}}' AS text")
     assert manifests.read_manifests(docs).rdd.getNumPartitions() == n and manifests.read_manifests(docs).where("service = 's'").count() == 40
+
+
+def test_pairs_of_one_folder_lie_on_many_tasks(spark):
+    files = spark.range(400).selectExpr("concat('src/a/p', id, '.js') AS path", "id % 4 = 0 AS is_test")
+    got = code_graph.tests_near(files, files.where("not is_test"))
+    sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(sizes) == 300 * 100 == got.distinct().count() and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
