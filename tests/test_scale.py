@@ -64,3 +64,12 @@ def test_pairs_of_one_folder_lie_on_many_tasks(spark):
     got = code_graph.tests_near(files, files.where("not is_test"))
     sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert sum(sizes) == 300 * 100 == got.distinct().count() and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_two_hops_are_counted_in_tasks_of_bounded_size(spark):
+    deps = spark.range(600).selectExpr("concat('f', id % 40) AS source_file", "concat('f', (id * 7 + id div 40) % 40) AS target_file", "'x' AS import_name")
+    graph = code_graph.CodeGraph({"dependencies": deps.unionByName(deps.limit(1).selectExpr("NULL AS source_file", "target_file", "import_name"))}.get)
+    want = sorted(map(tuple, graph.two_hop().where("source is not null").groupBy("target").count().collect()))
+    assert sorted(map(tuple, graph.two_hop_sources().collect())) == want
+    small = graph.two_hop_sources(most=100)
+    assert sorted(map(tuple, small.collect())) == want and "REPARTITION_BY_NUM" in plan_of(small)
