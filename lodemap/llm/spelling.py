@@ -128,7 +128,8 @@ def near_words(words: DataFrame) -> DataFrame:
     b = ranked.select("word", "n", "bag", F.inline(places)).withColumn("kept", F.explode(F.expr(kept)))
     b = b.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.length("word").alias("len_b"), F.col("bag").alias("bag_b"), key)
     apart = ((F.col("len_b") > F.col("len_a")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("bag_a").bitwiseXOR(F.col("bag_b"))) <= 2) & (F.levenshtein("a", "b", 1) == 1)
-    met = a.join(b, "key").where(apart)
+    # a planner sizes both by the file they are read from, before they are multiplied, and may send one whole through the driver
+    met = a.hint("merge").join(b, "key").where(apart)
     return met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
@@ -137,7 +138,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     cur = written(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         over = cur.select(F.col("word").alias("root"), F.col("root").alias("over"))
-        step = written(cur.join(over, "root", "left").select("word", F.coalesce("over", "root").alias("root"), F.col("over").isNotNull().alias("moved")), "forms")
+        step = written(cur.join(over.hint("merge"), "root", "left").select("word", F.coalesce("over", "root").alias("root"), F.col("over").isNotNull().alias("moved")), "forms")
         discard(cur)
         cur = step.drop("moved")
         if step.where("moved").isEmpty():
@@ -155,7 +156,7 @@ def spelling_groups(docs: DataFrame, typo: int | None = TYPO) -> DataFrame:
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     form = F.when(-F.col("best.m") >= RATIO * F.col("n"), F.col("best.other"))
-    named = words.join(best, "word", "left").select("word", form.alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), (-F.col("best.m")).alias("m"))
+    named = words.join(best.hint("merge"), "word", "left").select("word", form.alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), (-F.col("best.m")).alias("m"))
     named = written(named.withColumn("form_n", F.when(F.col("form").isNotNull(), F.col("m"))).drop("m"), "named-words")
     roots = _roots(named.where("form is not null"))
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -1,5 +1,6 @@
 """What keeps work in proportion to the input: small joins, work dealt out over the tasks."""
 
+from lodemap.llm import spelling
 from lodemap.operators import code_graph, stores
 from lodemap.sources import manifests, source_code, structure
 
@@ -73,3 +74,9 @@ def test_two_hops_are_counted_in_tasks_of_bounded_size(spark):
     assert sorted(map(tuple, graph.two_hop_sources().collect())) == want
     small = graph.two_hop_sources(most=100)
     assert sorted(map(tuple, small.collect())) == want and "REPARTITION_BY_NUM" in plan_of(small)
+
+
+def test_meetings_of_words_are_not_broadcast(spark):
+    words = spark.createDataFrame([("letter", 50), ("leter", 5), ("lettter", 6), ("better", 9)], "word string, n long")
+    got = spelling.near_words(words)
+    assert "Broadcast" not in plan_of(got) and {(r["a"], r["b"]) for r in got.collect()} == {("leter", "letter"), ("letter", "lettter"), ("better", "letter")}
