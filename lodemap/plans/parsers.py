@@ -321,7 +321,7 @@ def _ended(s: Source, stream, mode: str = "append"):
 
 def _stream(s: Source, df):
     folder = _folder(s)
-    df.coalesce(1).write.parquet(folder)
+    df.repartition(*df.columns).write.parquet(folder)  # all files are one batch
     return s.spark.readStream.schema(df.schema).parquet(folder)
 
 
@@ -358,7 +358,7 @@ def maintained_files(s: Source):
     status = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "view", "A").otherwise("M")
     changes = e.select(status.alias("status"), _say("f", F.col("user_id"), ".py").alias("path"), F.lit(None).cast("string").alias("old_path"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
     path, inbox, state = _folder(s), _folder(s), _folder(s)
-    changes.coalesce(1).write.parquet(inbox)
+    changes.repartition(*changes.columns).write.parquet(inbox)
     base = s("part").select(_say("f", F.col("p_partkey"), ".py").alias("path"), F.lit("python").alias("language"), F.lit("x").alias("text"))
     tables.overwrite(base, path)
     feed.maintain(feed.watch(s.spark, inbox), lambda: s.spark.read.parquet(path), lambda df: tables.overwrite(df, path), state).awaitTermination()
@@ -373,7 +373,7 @@ def versioned_files(s: Source):
     status = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "view", "A").otherwise("M")
     changes = e.select(status.alias("status"), _say("f", F.col("user_id"), ".py").alias("path"), F.lit(None).cast("string").alias("old_path"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
     inbox, store = _folder(s), versioned.Store(s.spark, _folder(s))
-    changes.coalesce(1).write.parquet(inbox)
+    changes.repartition(*changes.columns).write.parquet(inbox)
     base = s("part").select(_say("f", F.col("p_partkey"), ".py").alias("path"), F.lit("python").alias("language"), F.lit("x").alias("text"))
     store.commit({"files": versioned.Change(["path"], upserts=base)})
     feed.maintain_store(feed.watch(s.spark, inbox), store, "files", _folder(s)).awaitTermination()
