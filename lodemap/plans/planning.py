@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks as C
 from ..operators import graph
 from ..operators import planning as P
+from ..sources.tables import staged
 from .registry import Source, query
 
 PLANS = "SELECT o_orderkey AS id, o_custkey % 200 AS phase, o_custkey % 12 AS wave, o_orderstatus = 'F' AS has_summary, o_orderpriority <> '1-URGENT' AS autonomous FROM orders"
@@ -134,7 +135,8 @@ def fixability(s: Source):
       FROM files LEFT JOIN change_frequency ON file = path WHERE NOT is_test AND NOT is_config)
     SELECT kind, subject, round(metric, 4) AS metric, level FROM x""")
 def risk_register(s: Source):
-    out = C.risk_register(s.code.hotspots(None), s("interfaces"), graph.cycles(s.code.edges()), s("change_frequency"))
+    edges = staged(graph.distinct_edges(s.code.edges()), "edges")
+    out = C.risk_register(s.code.risk_scores(), s.code.interface_consumers(edges), graph.cycles(edges, ready=True), s("change_frequency"))
     return out.select("kind", "subject", F.round("metric", 4).alias("metric"), "level")
 
 

@@ -1,7 +1,7 @@
 """What keeps work in proportion to the input: small joins, work dealt out over the tasks."""
 
 from lodemap.llm import spelling
-from lodemap.operators import code_graph, stores
+from lodemap.operators import code_graph, graph, stores
 from lodemap.sources import manifests, source_code, structure
 
 
@@ -80,3 +80,51 @@ def test_meetings_of_words_are_not_broadcast(spark):
     words = spark.createDataFrame([("letter", 50), ("leter", 5), ("lettter", 6), ("better", 9)], "word string, n long")
     got = spelling.near_words(words)
     assert "Broadcast" not in plan_of(got) and {(r["a"], r["b"]) for r in got.collect()} == {("leter", "letter"), ("letter", "lettter"), ("better", "letter")}
+
+
+def kept_tables(monkeypatch):
+    kept = []
+
+    def staged(df, name, real=graph.staged):
+        kept.append((name, real(df, name)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(graph, "staged", staged)
+    return kept
+
+
+def test_dense_graphs_are_walked_by_numbers_and_on_a_part_of_their_edges(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    edges = {(a // 30, draw.randrange(30), b // 30, draw.randrange(30)) for a in range(90) for b in range(90) if a // 30 <= b // 30 for _ in range(2) if draw.random() < 0.9}
+    df = spark.createDataFrame([(f"{a}-{i:02}", f"{b}-{k:02}") for a, i, b, k in edges], "src string, dst string")
+    kept = kept_tables(monkeypatch)
+    got = {(r["component"], r["size"]) for r in graph.cycles(df).collect()}
+    assert got == {("0-00", 30), ("1-00", 30), ("2-00", 30)}  # three dense parts, edges lead from each to the later ones only
+    sizes = [(n, t.count()) for n, t in kept if n in ("edges", "part")]
+    assert sizes[0] == sizes[1] == ("edges", df.distinct().count()) and 0 < dict(sizes)["part"] < sizes[0][1] / 2
+    assert all(t.schema["colour"].dataType.typeName() == "long" for n, t in kept if n == "colour")
+
+
+def test_the_newest_event_is_not_sought_in_one_task(spark, tmp_path):
+    from lodemap.sources.adapters import relation
+
+    spark.range(8).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'T' AS p_type", "1 AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).selectExpr("id % 8 AS user_id", "timestamp_seconds(id * 86400) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = relation(spark, str(tmp_path), "change_frequency")
+    assert "Window" not in plan_of(got)
+    want = {f"src/Brand#1/p{k}.js": (sum(i % 8 == k for i in range(32, 40)), sum(i % 8 == k for i in range(9, 40)), 5) for k in range(8)}
+    assert {r["file"]: (r["changes_7d"], r["changes_30d"], r["changes_90d"]) for r in got.collect()} == want
+
+
+def test_the_register_makes_its_edges_once(spark, tmp_path):
+    from lodemap.plans import catalogue
+
+    spark.range(6).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'T' AS p_type", "1 AS p_size", "1.0D AS p_retailprice", "concat('n', id) AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(6).selectExpr("1L AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "id % 3 AS l_partkey", "'A' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(6).selectExpr("id AS user_id", "timestamp_seconds(id) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.queries()["risk_register"](spark, str(tmp_path))
+    assert "lineitem.parquet" not in plan_of(got)
+    found = {(r["kind"], r["subject"]): r["metric"] for r in got.collect()}
+    assert found["cycle", "src/Brand#1/p0.js"] == 3.0 and found["interface", "src/Brand#1/p1.js:n1_1"] == 1.0 and found["interface", "src/Brand#1/p4.js:n4_4"] == 0.0
