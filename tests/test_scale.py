@@ -128,3 +128,12 @@ def test_the_register_makes_its_edges_once(spark, tmp_path):
     assert "lineitem.parquet" not in plan_of(got)
     found = {(r["kind"], r["subject"]): r["metric"] for r in got.collect()}
     assert found["cycle", "src/Brand#1/p0.js"] == 3.0 and found["interface", "src/Brand#1/p1.js:n1_1"] == 1.0 and found["interface", "src/Brand#1/p4.js:n4_4"] == 0.0
+
+
+def test_a_layer_takes_one_table(spark, monkeypatch):
+    n = 24
+    dense = spark.range(n).selectExpr("id AS src").crossJoin(spark.range(n).selectExpr("id AS dst")).where("src < dst")
+    kept = kept_tables(monkeypatch)
+    got = graph.topological_layers(dense)
+    assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(n)]
+    assert len(kept) < 2 * n
