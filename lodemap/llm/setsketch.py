@@ -252,15 +252,14 @@ def _blocked(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return u, a.toDF("band_", "i_", "j_", *[f"{c}_" for c in kept])
 
 
-def _worth(n: int, regs: np.ndarray, root: int, sizes: np.ndarray, others: np.ndarray, roots: np.ndarray, percent: int) -> np.ndarray:
-    """Places of the members of other components whose estimated similarity to one member is not clearly below the bound."""
-    on = (roots != root) & (np.maximum(sizes, n) * percent <= np.minimum(sizes, n) * 100)
-    on &= (others == regs).sum(axis=1) >= int((percent / 100 - 2 * MARGIN) * REGISTERS)
-    at = np.flatnonzero(on)
-    if not len(at):
-        return at
-    likely = estimate(np.repeat(regs[None, :], len(at), axis=0), others[at], np.full(len(at), n), sizes[at]) >= percent / 100 - MARGIN
-    return at[likely]
+def _sized(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can meet the bound."""
+    return np.maximum(a, b) * percent <= np.minimum(a, b) * 100
+
+
+def _equal(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether enough registers are equal for the estimate to be worth making."""
+    return (a == b).sum(axis=1) >= int((percent / 100 - 2 * MARGIN) * REGISTERS)
 
 
 def _columns(table: pa.Table, *names: str) -> list[pa.Array]:
@@ -268,25 +267,63 @@ def _columns(table: pa.Table, *names: str) -> list[pa.Array]:
 
 
 def _left_over(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different components in small mixed buckets that may be linked."""
-    u, a = _blocked(mixed.where(F.col("na") <= SMALL).join(reps.select("cid", "n_shingles", "regs"), "cid"), "n_shingles", "regs")
+    """a, b: pairs of different components in small mixed buckets that may be linked.
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        found_a, found_b = [], []
-        if left.num_rows and right.num_rows:
-            ids, roots_, sizes_ = (x.to_numpy() for x in _columns(right, "cid_", "root_", "n_shingles_"))
-            mine, others = (_matrix(_columns(t, c)[0]) for t, c in ((left, "regs"), (right, "regs_")))
-            for k, (c, r, n) in enumerate(zip(*(x.to_pylist() for x in _columns(left, "cid", "root", "n_shingles")), strict=True)):
-                for o in ids[_worth(n, mine[k], r, sizes_, others, roots_, percent)].tolist():
-                    found_a.append(min(c, o))
-                    found_b.append(max(c, o))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+    A bucket is one row of SMALL members at most, and Python takes many buckets at once: one group each costs far more than its pairs.
+    """
+    rows = mixed.where(F.col("na") <= SMALL).select("band", "cid", "root").join(reps.select("cid", "n_shingles", "regs"), "cid")
+    buckets = rows.groupBy("band").agg(F.collect_list(F.struct("cid", "root", "n_shingles", "regs")).alias("of")).select("of.cid", "of.root", "of.n_shingles", "of.regs")
 
-    return u.groupBy("band", "i", "j").cogroup(a.groupBy("band_", "i_", "j_")).applyInArrow(meet, "a bigint, b bigint").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                cid, root, n = (part.column(k).flatten().to_numpy() for k in range(3))
+                regs, counts = _matrix(part.column(3).flatten()), part.column(0).value_lengths().to_numpy().astype(np.int64)
+                later = np.repeat(np.cumsum(counts), counts) - np.arange(len(cid)) - 1  # members of the bucket behind each
+                a = np.repeat(np.arange(len(cid)), later)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later) + a + 1
+                on = (root[a] != root[b]) & _sized(n[a], n[b], percent)
+                a, b = a[on], b[on]
+                for k in range(0, len(a), 2048):
+                    x, y = a[k : k + 2048], b[k : k + 2048]
+                    on = _equal(regs[x], regs[y], percent)
+                    x, y = x[on], y[on]
+                    on = estimate(regs[x], regs[y], n[x], n[y]) >= percent / 100 - MARGIN
+                    x, y = cid[x[on]], cid[y[on]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return buckets.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def linked_sets(left: pa.Array, right: pa.Array, may: list[np.ndarray], percent: int, budget: int = 1 << 23) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of ``left``, those of its rows of ``right`` in ``may`` whose sets meet the bound; a set is its hashes, eight bytes each.
+
+    The hashes of a run of rows of either side are numbered once; a row then marks its own and counts the marks of all its partners in one pass.
+    """
+    (x, x_offs), (y, y_offs) = arrow_bytes(left), arrow_bytes(right)
+    x, y, x_edge, y_edge = x.view(np.uint64), y.view(np.uint64), x_offs // 8, y_offs // 8
+    sizes = np.diff(y_edge)
+    for p, q in blocks(y_offs, budget):
+        edge = y_edge[p : q + 1] - y_edge[p]
+        for i, j in blocks(x_offs, budget):
+            here = [(k, at) for k in range(i, j) if len(at := may[k][(may[k] >= p) & (may[k] < q)])]
+            if not here:
+                continue
+            number = np.unique(np.concatenate([y[y_edge[p] : y_edge[q]], x[x_edge[i] : x_edge[j]]]), return_inverse=True)[1]
+            theirs, ours = number[: edge[-1]], number[edge[-1] :]
+            marked = np.zeros(len(number), np.int64)
+            for k, at in here:
+                own = ours[x_edge[k] - x_edge[i] : x_edge[k + 1] - x_edge[i]]
+                marked[own] = 1
+                items = np.concatenate([theirs[edge[o] : edge[o + 1]] for o in (at - p).tolist()])
+                common = np.add.reduceat(marked[items], np.cumsum(sizes[at]) - sizes[at])
+                marked[own] = 0
+                yield k, at[100 * common >= percent * (len(own) + sizes[at] - common)]
 
 
 def _crowded_links(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: likely links between components in larger mixed buckets, by the same estimate, then by the hashes of full sets within each block.
+    """a, b: links between components in larger mixed buckets: enough equal registers, then the hashes of full sets within each block.
 
     A block reports one link for each pair of components that it joins, so what comes out follows the members and not
     their pairs.
@@ -296,18 +333,16 @@ def _crowded_links(mixed: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[tuple[int, int], tuple[int, int]] = {}
         if left.num_rows and right.num_rows:
-            ids, roots_, sizes_ = (x.to_numpy() for x in _columns(right, "cid_", "root_", "n_shingles_"))
+            own, root, n = (x.to_numpy() for x in _columns(left, "cid", "root", "n_shingles"))
+            ids, roots, sizes = (x.to_numpy() for x in _columns(right, "cid_", "root_", "n_shingles_"))
             mine, others = (_matrix(_columns(t, c)[0]) for t, c in ((left, "regs"), (right, "regs_")))
-            (theirs,) = _columns(right, "set_")
-            for k, (c, r, n, raw) in enumerate(zip(*(x.to_pylist() for x in _columns(left, "cid", "root", "n_shingles")), left.column("set"), strict=True)):
-                x = np.frombuffer(raw.as_buffer(), np.uint64)
-                for o in _worth(n, mine[k], r, sizes_, others, roots_, percent).tolist():
-                    pair = (min(r, int(roots_[o])), max(r, int(roots_[o])))
-                    if pair not in found:
-                        y = np.frombuffer(theirs[o].as_buffer(), np.uint64)
-                        common = int(np.isin(x, y, assume_unique=True).sum())
-                        if 100 * common >= percent * (len(x) + len(y) - common):
-                            found[pair] = (c, int(ids[o]))
+            may = []
+            for k in range(len(own)):
+                at = np.flatnonzero((roots != root[k]) & _sized(sizes, n[k], percent))
+                may.append(at[_equal(others[at], mine[k], percent)])
+            for k, at in linked_sets(*_columns(left, "set"), *_columns(right, "set_"), may, percent):
+                for o in at[np.unique(roots[at], return_index=True)[1]].tolist():
+                    found.setdefault((int(min(root[k], roots[o])), int(max(root[k], roots[o]))), (int(own[k]), int(ids[o])))
         cols = list(zip(*found.values(), strict=True)) or [(), ()]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 

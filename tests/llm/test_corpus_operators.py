@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -277,6 +278,65 @@ def test_near_duplicates_equal_brute_force(spark, corpus, rows, small, monkeypat
         assert setsketch.near_duplicates(empty(corpus)).count() == 0
 
 
+def near_copies(n, seed):
+    """cid, root, n_shingles, regs, set of n sets of 150 hashes, of which 132 to 146 are from one pool of 150."""
+    r = np.random.default_rng(seed)
+    hashes = lambda k: r.integers(0, 2**63, k, np.uint64)
+    base, rows = hashes(150), []
+    for k in range(n):
+        own = int(r.integers(4, 19))
+        h = np.sort(np.concatenate([base[r.permutation(150)[: 150 - own]], hashes(own)]))
+        rows.append((k, k, 150, bytearray(setsketch.registers(np.zeros(150, np.int64), h, 1).tobytes()), bytearray(h.tobytes())))
+    return rows
+
+
+def linked_pairs(rows, percent=85):
+    sets = [set(np.frombuffer(x[4], np.uint64).tolist()) for x in rows]
+    common = {(i, j): len(sets[i] & sets[j]) for j in range(len(sets)) for i in range(j)}
+    return {p for p, c in common.items() if 100 * c >= percent * (300 - c)}
+
+
+def test_a_block_of_near_copies_is_counted_not_compared_pair_by_pair(spark):
+    """490,000 pairs that enough registers call likely: comparing two sets at a time took over 20 s, marking and counting about 2 s."""
+    seconds = {}
+    for n in (20, 700):
+        rows = near_copies(n, 5)
+        data = spark.createDataFrame(rows, "cid long, root long, n_shingles long, regs binary, set binary").cache()
+        data.count()
+        mixed = data.selectExpr("7L band", "cid", "root", "cast(cid <> 0 as int) other", f"{n}L na", f"cast(ceil({n} / 256) as int) ub", f"cast(ceil({n} / 512) as int) ab")
+        began = time.monotonic()
+        got = {(min(r), max(r)) for r in setsketch._crowded_links(mixed, data.select("cid", "n_shingles", "regs"), data.select("cid", "set"), 85).collect()}
+        seconds[n] = time.monotonic() - began
+        want = linked_pairs(rows)
+        assert got == want and (n == 20 or 1000 < len(want) < 200_000)
+    assert seconds[700] < 12
+
+
+def test_small_buckets_are_compared_many_at_once(spark):
+    """No Python group for each bucket of a few members; pairs are those that a loop finds."""
+    rows, r = near_copies(300, 6), random.Random(6)
+    data = spark.createDataFrame(rows, "cid long, root long, n_shingles long, regs binary, set binary")
+    buckets = [r.sample(range(300), r.randint(2, 16)) for _ in range(400)]
+    members = [(b, c, c // 2, int(c // 2 != min(of) // 2), len(of), 1, 1) for b, of in enumerate(buckets) for c in of]
+    mixed = spark.createDataFrame(members, "band long, cid long, root long, other int, na long, ub int, ab int")
+    got = setsketch._left_over(mixed, data.select("cid", "n_shingles", "regs"), 85)
+    assert "CoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = {(min(x, y), max(x, y)) for of in buckets for i, x in enumerate(of) for y in of[:i] if x // 2 != y // 2}
+    found = {tuple(x) for x in got.collect()}
+    assert found <= pairs and found >= pairs & linked_pairs(rows) and len(found) > 100
+
+
+@pytest.mark.parametrize("budget", [1, 3000, 1 << 23])
+def test_sets_are_counted_in_runs_of_any_size(budget):
+    rows = near_copies(40, 8)
+    sets = pa.array([bytes(x[4]) for x in rows], pa.binary())
+    may = [np.array([o for o in range(40) if o != k and (o + k) % 3], np.int64) for k in range(40)]
+    may[4] = may[4][:0]
+    got = {(k, o) for k, at in setsketch.linked_sets(sets, sets, may, 85, budget) for o in at.tolist()}
+    linked = linked_pairs(rows)
+    assert got == {(k, o) for k in range(40) for o in may[k].tolist() if (min(k, o), max(k, o)) in linked} and got
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(1)
     h = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
