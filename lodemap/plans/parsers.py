@@ -346,8 +346,9 @@ def hash_gated_stream(s: Source):
     SELECT min(ts) AS started, count(DISTINCT user_id) AS paths FROM b GROUP BY burst HAVING max(ts) + INTERVAL '20' MINUTE < (SELECT max(ts) FROM events) - INTERVAL '2' SECOND""")
 def debounced_stream(s: Source):
     changes = s("events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
-    got = _ended(s, feed.debounced(_stream(s, changes), "20 minutes"))
-    return got.select(F.col("started").cast("timestamp_ntz").alias("started"), F.size("paths").cast("long").alias("paths"))
+    out = _folder(s)
+    feed.debounce(_stream(s, changes), out, _folder(s), "20 minutes").awaitTermination()
+    return feed.bursts(s.spark, out).groupBy(F.col("started").cast("timestamp_ntz").alias("started")).agg(F.count("path").alias("paths"))
 
 
 @query("""WITH l AS (SELECT user_id AS path, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CASE event_type WHEN 'error' THEN 'D' WHEN 'view' THEN 'A' ELSE 'M' END DESC) AS n FROM events)

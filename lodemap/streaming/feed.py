@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -27,12 +27,84 @@ def debounced(feed: DataFrame, quiet: str = "500 milliseconds", late: str = "2 s
     """started, ended, paths: the distinct paths of each burst that ``quiet`` ends, per value of ``by`` (a project), if given.
 
     In append mode a burst comes out once an event ``late`` after its end has been seen; later events of it are lost.
+    All events of one feed meet in one task: ``debounce`` is for a feed that is too long for that.
     """
     every = F.concat(F.substring("path", 1, 0), F.lit("all"))  # streams take no session windows without a key
     bursts = feed.withWatermark("ts", late).groupBy(F.session_window("ts", quiet), (F.col(by) if by else every).alias("feed"))
     return bursts.agg(F.sort_array(F.collect_set("path")).alias("paths")).select(F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "paths")
 
 
+#: What ``debounce`` writes, in microseconds: a path of a burst, whose first and last events are at ``started`` and ``ended``.
+BURSTS = "path string, started long, ended long, closed boolean"
+#: So many stretches of quiet time are put in order by one task.
+CHUNK = 4096
+#: Stretches of more events than this are few enough for every task to know them, so that none has to take all events of one.
+HEAVY = 200_000
+
+
+def debounce(feed: DataFrame, out: str, checkpoint: str, quiet: str = "500 milliseconds", late: str = "2 seconds", once: bool = True) -> StreamingQuery:
+    """``debounced`` for a feed of any length, written to ``out`` to be read by ``bursts``: its events are dealt out over all tasks.
+
+    Events less than ``quiet`` apart are one burst, so a stretch of that length needs no more than its first and last; the paths
+    follow when the bursts of the stretches are known. A batch leaves its bursts below its own number, whole: the next one takes up
+    those that are still open, and a batch that comes again after a restart replaces what it left.
+    """
+    spark, path = feed.sparkSession, feed.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(out))  # also for a feed without events
+    gap, wait = (F.expr(f"unix_micros(timestamp_micros(0) + interval {x})") for x in (quiet, late))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        pieces = batch.where("ts is not null").select("path", F.unix_micros("ts").alias("first"), F.unix_micros("ts").alias("last"))
+        seen = None
+        if number:
+            held = batch.sparkSession.read.schema(BURSTS).parquet(f"{out}/batch={number - 1}").where("not closed")
+            seen = held.agg(F.max("ended")).first()[0]  # the burst of the newest event is never closed
+            if seen is not None:
+                pieces = pieces.where(F.col("first") + gap >= F.lit(seen) - wait)
+            pieces = pieces.unionByName(held.select("path", F.col("started").alias("first"), F.col("ended").alias("last")))
+        pieces = pieces.withColumn("stretch", F.col("first") - F.pmod("first", gap))
+        found = _bursts(pieces.groupBy("stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n")), gap).persist()
+        newest, most = found.agg(F.max("ended"), F.max("n")).first()
+        placed = pieces.join(found, "stretch")
+        if most is not None and most > HEAVY:
+            heavy = F.broadcast(found.where(F.col("n") > HEAVY))
+            placed = pieces.join(heavy, "stretch").unionByName(pieces.join(heavy, "stretch", "left_anti").join(found, "stretch"))
+        closed = F.col("ended") + gap < F.lit(newest) - wait
+        paths = placed.select("path", "started", "ended").distinct()
+        paths.withColumn("closed", closed).write.mode("overwrite").partitionBy("closed").parquet(f"{out}/batch={number}")
+        found.unpersist()
+        fs.delete(path(f"{out}/batch={number - 2}/closed=false"), True)
+
+    writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _bursts(stretches: DataFrame, gap: Column) -> DataFrame:
+    """stretch, n, started, ended of its burst: one opens where nothing before lasts to ``gap`` ahead of it."""
+    placed = stretches.withColumn("chunk", F.col("stretch") - F.pmod("stretch", gap * CHUNK))
+    after = _so_far(placed, "last", "_before", -1)
+    opened = after.withColumn("_opened", F.when(F.col("_before").isNull() | (F.col("first") > F.col("_before") + gap), F.col("first")))
+    begun = _so_far(opened, "_opened", "started", 0)
+    ends = begun.groupBy("started").agg(F.max("last").alias("ended"))
+    return begun.select("stretch", "n", "started").join(ends, "started").select("stretch", "n", "started", "ended")
+
+
+def _so_far(stretches: DataFrame, value: str, name: str, upto: int) -> DataFrame:
+    """With the greatest ``value`` of all stretches up to the own one (0) or the one before it (-1): of a chunk's, then of the chunks before it."""
+    chunks = stretches.groupBy("chunk").agg(F.max(value).alias("_most"))
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.select("chunk", F.max("_most").over(earlier).alias("_earlier"))
+    own = Window.partitionBy("chunk").orderBy("stretch").rowsBetween(Window.unboundedPreceding, upto)
+    return stretches.join(before, "chunk").withColumn(name, F.greatest(F.max(value).over(own), "_earlier")).drop("_earlier")
+
+
+def bursts(spark: SparkSession, out: str) -> DataFrame:
+    """started, ended, path: the closed bursts that ``debounce`` has written, a row for each distinct path; they end when ``quiet`` begins."""
+    rows = spark.read.schema(BURSTS).parquet(out).where("closed")
+    return rows.select(F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"), "path")
+
+
 def rolling(feed: DataFrame, window: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
     """path, started, n: sliding counters of changes."""
     w = feed.withWatermark("ts", late).groupBy("path", F.window("ts", window, slide)).agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodemap.functions import text as T
@@ -191,3 +192,61 @@ def test_streams_equal_batches(spark, tmp_path):
     n = {r["session"]: r["count"] for r in u.groupBy("session").count().collect()}
     got = {r["session"]: r["count"] for r in spark.table("alerts").groupBy("session").count().collect()}
     assert got == {k: 1 + (v - 1) // monitor.EVERY for k, v in n.items()}
+
+
+def brute_bursts(batches, gap, late):
+    """(started, ended, path) of the closed bursts, batch by batch, in milliseconds."""
+    seen, held, out = None, [], []
+    for batch in batches:
+        pieces = [(t, t, {p}) for p, t in batch if t is not None and (seen is None or t + gap >= seen - late)]
+        merged = []
+        for first, last, paths in sorted(held + pieces, key=lambda x: x[:2]):
+            if merged and first <= merged[-1][1] + gap:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], last), merged[-1][2] | paths)
+            else:
+                merged.append((first, last, paths))
+        seen = max([last for _, last, _ in merged], default=seen)
+        out += [(a, b, p) for a, b, paths in merged if b + gap < seen - late for p in paths]
+        held = [x for x in merged if x[1] + gap >= seen - late]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("heavy", [feed.HEAVY, 3])
+def test_bursts_over_batches(spark, tmp_path, monkeypatch, heavy):
+    import random
+
+    monkeypatch.setattr(feed, "CHUNK", 3)
+    monkeypatch.setattr(feed, "HEAVY", heavy)
+    draw = random.Random(3)
+    batches, now = [], 1_700_000_000_000
+    for k in range(5):
+        at = lambda: draw.choice([draw.randrange(60) * 500, draw.randrange(60_000)])  # noqa: E731  # many lie just ``quiet`` apart
+        batches.append([(draw.choice(["a", "b", "c", None]), None if draw.random() < 0.05 else now + at()) for _ in range(40)] if k != 2 else [("late", now - 40_000), (None, None)])
+        now += draw.choice([500, 20_000, 55_000])
+    for b in batches:
+        e = spark.createDataFrame(b, "path string, ms long").select("path", F.timestamp_millis("ms").alias("ts"))
+        e.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+
+    def run():
+        feed.debounce(s, out, f"{tmp_path}/ck").awaitTermination(120)
+        got = feed.bursts(spark, out).select(F.unix_millis("started"), F.unix_millis("ended"), "path")
+        return sorted(map(tuple, got.collect()), key=str)
+
+    want = brute_bursts(batches, 500, 2000)
+    assert run() == want and len({w[0] for w in want}) > 20 and any(a < b for a, b, _ in want) and any(p is None for *_, p in want)
+    assert not (tmp_path / "out/batch=0/closed=false").exists()
+    for name in ("4", ".4.crc"):  # as if the last batch had ended before it was noted
+        (tmp_path / "ck/commits" / name).unlink()
+    assert run() == want and (tmp_path / "ck/commits/4").exists()
+
+
+def test_a_feed_without_events_has_no_bursts(spark, tmp_path):
+    s = spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path))
+    feed.debounce(s, f"{tmp_path}-out", f"{tmp_path}-ck").awaitTermination(60)
+    assert feed.bursts(spark, f"{tmp_path}-out").columns == ["started", "ended", "path"] and feed.bursts(spark, f"{tmp_path}-out").isEmpty()
+    spark.range(3).selectExpr("'a' AS path", "CAST(NULL AS TIMESTAMP) AS ts").write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("path string, ts timestamp").parquet(f"{tmp_path}/in")
+    feed.debounce(s, f"{tmp_path}-out", f"{tmp_path}-ck2").awaitTermination(60)
+    assert feed.bursts(spark, f"{tmp_path}-out").isEmpty()

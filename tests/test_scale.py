@@ -1,8 +1,11 @@
 """What keeps work in proportion to the input: small joins, work dealt out over the tasks."""
 
+import pytest
+
 from lodemap.llm import spelling
 from lodemap.operators import code_graph, graph, stores
 from lodemap.sources import manifests, source_code, structure
+from lodemap.streaming import feed
 
 
 def plan_of(df):
@@ -137,3 +140,38 @@ def test_a_layer_takes_one_table(spark, monkeypatch):
     got = graph.topological_layers(dense)
     assert sorted(map(tuple, got.collect())) == [(k, k) for k in range(n)]
     assert len(kept) < 2 * n
+
+
+def most_read(spark, after=-1):
+    """(last job's last stage, records that the largest task since has read from a shuffle)."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    most, last = 0, after
+    for i in range(found.size()):
+        stage = found.apply(i)
+        if stage.stageId() > after:
+            last = max(last, stage.stageId())
+            tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
+            most = max([most, *[m.get().shuffleReadMetrics().recordsRead() for k in range(tasks.size()) if (m := tasks.apply(k).taskMetrics()).isDefined()]])
+    return last, most
+
+
+@pytest.mark.parametrize("apart", [10, 0.1])
+def test_bursts_of_one_feed_do_not_meet_in_one_task(spark, tmp_path, monkeypatch, apart):
+    from lodemap.plans import catalogue
+
+    monkeypatch.setattr(feed, "HEAVY", 1000, raising=False)
+    n = 6000  # one burst of 16 hours or 10 minutes, then an event much later that closes it
+    spark.range(n + 1).selectExpr("id AS user_id", f"timestamp_seconds(id * {apart} + if(id = {n}, 86400, 0)) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        before, _ = most_read(spark)
+        got = catalogue.queries()["debounced_stream"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r["paths"] for r in got] == [n]
+    assert 0 < most_read(spark, before)[1] < n / 2
